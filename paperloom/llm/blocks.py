@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 
 def bounded_groups(rows: DataFrame, key: list[str], payload: list[str], spread: str, cap: int) -> DataFrame:
-    """Groups in which any two rows of one ``key`` meet, as columns ``key``, ``part``, ``members`` (array of payload structs).
+    """Groups in which any two rows of one ``key`` meet: ``key``, ``across``, ``members`` (array of payload, chunk).
 
     A key of at most ``cap`` rows is one group.  A larger one is dealt by the hash of ``spread`` into chunks of about
-    ``cap`` rows, and each pair of chunks is a group (``part`` names the pair), so no row is lost and no task holds a
-    whole hot key.  Keys with a single row are left out.  Rows must be settled: they are read twice."""
-    sizes = rows.groupBy(*key).count().filter("count > 1").withColumn("_m", F.ceil(F.col("count") / cap).cast("int")).drop("count")
-    hot = sizes.filter("_m > 1")
-    small = rows.join(sizes.filter("_m = 1").drop("_m"), key, "left_semi").withColumn("part", F.lit(0).cast("long"))
-    c = F.pmod(F.xxhash64(spread), F.col("_m").cast("long"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda j: F.least(c, j.cast("long")) * F.col("_m") + F.greatest(c, j.cast("long")))
-    large = rows.join(hot, key).withColumn("part", F.explode(pairs)).drop("_m")
-    cols = [*key, "part", *payload]
-    every = small.select(*cols).unionByName(large.select(*cols))
-    return every.groupBy(*key, "part").agg(F.collect_list(F.struct(*payload)).alias("members"))
+    ``cap`` rows; each chunk is a group, and so is each pair of chunks (``across``: only rows of different chunks need to
+    be compared there).  No row is lost and no task holds a whole hot key.  Keys with a single row are left out.  Rows
+    must be settled: they are read more than once."""
+    sizes = rows.groupBy(*key).count().filter("count > 1").withColumn("_m", F.ceil(F.col("count") / cap)).drop("count")
+    small = rows.join(sizes.filter("_m = 1").drop("_m"), key, "left_semi").select(*key, *payload, *[F.lit(0).cast("long").alias(c) for c in ("chunk", "low_", "high_")])
+    c = F.pmod(F.xxhash64(spread), F.col("_m")).cast("long")
+    large = rows.join(sizes.filter("_m > 1"), key).withColumn("chunk", c).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    large = large.select(*key, *payload, "chunk", F.least("chunk", "_j").alias("low_"), F.greatest("chunk", "_j").alias("high_"))
+    every = small.unionByName(large).groupBy(*key, "low_", "high_").agg(F.collect_list(F.struct(*payload, "chunk")).alias("members"))
+    return every.withColumn("across", F.col("low_") < F.col("high_"))

@@ -12,6 +12,8 @@ Pieces then look up their place by (length, rank among pieces of that length).""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator:
         for b in batches:
             rows = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*enc.ids(text.as_py()), separator], dtype=np.uint32)
+                ids = np.frombuffer(array("I", [*enc.ids(text.as_py()), separator]), dtype=np.uint32)
                 first = len(ids) % capacity or capacity
                 ends = [min(first, len(ids)), *range(first + capacity, len(ids) + 1, capacity)]
                 at = 0

@@ -23,6 +23,12 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, separator=0)
 
 
+def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddups import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
@@ -47,5 +53,5 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), block=64, ceiling=3.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op8_token_file, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op6_embedding_dups, op8_token_file, op9_token_counts, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

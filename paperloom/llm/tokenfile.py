@@ -14,6 +14,8 @@ checkpoints of a block."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,13 +72,17 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
     n = lengths[ids].astype(np.int64)
     end = np.cumsum(n)
     at = end - n
-    first = at >> 3
-    window = codes[ids].astype(np.uint64) << (32 - n - (at & 7)).astype(np.uint64)  # at most 25 bits from the first byte on
-    size = int(end[-1] + 7) // 8 + 4 if len(ids) else 4
-    total = np.zeros(size)
-    for k in range(4):
-        total += np.bincount(first + k, weights=((window >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), minlength=size)[:size]
-    return total.astype(np.uint8).tobytes()[: (int(end[-1]) + 7) // 8 if len(ids) else 0], at
+    if not len(ids):
+        return b"", at
+    word, code = at >> 6, codes[ids].astype(np.uint64)
+    shift = 64 - (at & 63) - n  # below 0 where a code runs on into the next word
+    over = np.flatnonzero(shift < 0)
+    here = code << np.maximum(shift, 0).astype(np.uint64)
+    here[over] = code[over] >> (-shift[over]).astype(np.uint64)
+    out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
+    out[:-1] = np.bitwise_or.reduceat(here, np.searchsorted(word, np.arange(int(word[-1]) + 1)))  # a code begins in every word
+    out[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -111,10 +117,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 
     def run(batches):
         enc = tokens.encoder(tokenizer)
-        kind = "<u2" if enc.size <= 1 << 16 else "<u4"
+        code = "H" if enc.size <= 1 << 16 else "I"
         tail = [] if end_id is None else [end_id]
         for b in batches:
-            ids = [np.array([*enc.ids(t.as_py()), *tail], dtype=kind).tobytes() for t in b.column(1)]
+            ids = [array(code, enc.ids(t.as_py()) + tail).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -126,11 +132,10 @@ def count_ids(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype=kind), minlength=size)[:size] if len(x.as_py()) > 2 * size else 0
-            small = [y for x in b.column(0) if len(y := x.as_py()) <= 2 * size]
-            if small:
-                total += np.bincount(np.frombuffer(b"".join(small), dtype=kind), minlength=size)
+            x = b.column(0).cast(pa.binary())
+            ends = np.frombuffer(x.buffers()[1], dtype="<i4", count=x.offset + len(x) + 1)[x.offset :]
+            if ends[-1] > ends[0]:
+                total += np.bincount(np.frombuffer(x.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -34,9 +34,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["id"] for t in spec["added_tokens"]}
@@ -46,10 +45,17 @@ class Encoder:
             if i not in special:
                 end = bool(ends) and token.endswith(ends) and token != ends
                 ranks[bytes(chars[c] for c in (token[: -len(ends)] if end else token)) + b"\0" * end] = i
+        self.size = 1 + max(*spec["model"]["vocab"].values(), *special)
         self.words = regex.compile(_WORD_PATTERN) if ends else None
         #: With word ends, NUL closes each word, as no ordinary text holds it.
         self.bpe = tiktoken.Encoding("paperloom", pat_str=r"[^\x00]*\x00" if ends else _BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = self.full.get_vocab_size()
+
+    @cached_property
+    def full(self):
+        """The library's own encoder, loaded with the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str | None) -> list[int]:
         """Null counts as empty."""

@@ -36,6 +36,12 @@ def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
@@ -60,5 +66,5 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), block=64, ceiling=3.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op4_neighbours, op6_embedding_dups, op8_token_file, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op4_neighbours, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

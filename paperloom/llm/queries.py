@@ -30,6 +30,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents")).withColumn("finding_crc32", F.crc32(F.col("finding").cast("binary"))).drop("finding")
+
+
 def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddups import near_duplicates
 
@@ -66,5 +72,5 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), block=64, ceiling=3.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op4_neighbours, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op4_neighbours, op5_secrets, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

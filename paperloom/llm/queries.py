@@ -66,11 +66,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_read(spark, sf_dir, "documents"), block=64, ceiling=3.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_pack, op4_neighbours, op5_secrets, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mix, op3_pack, op4_neighbours, op5_secrets, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

@@ -188,7 +188,7 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, ceiling: f
     times = slots(docs.sparkSession, plan, block, shard_slots, seed).groupBy("k", "block_no", "words").agg(F.count("*").alias("times"))
     lo = F.greatest(F.col("first"), F.col("block_no") * block)
     hi = F.least(F.col("first") + F.col("size"), F.col("block_no") * block + F.col("words"))
-    hits = _spans(placed, block).join(times, ["k", "block_no"])
+    hits = _spans(placed, block).join(times.hint("merge"), ["k", "block_no"])  # its size is not known before it runs
     sums = hits.groupBy("k", "first").agg(F.sum(F.greatest(hi - lo, F.lit(0)) * F.col("times")).alias("taken"))
     cols = ["doc_id", "source", "size", "source_size", "target"]
     some = placed.filter("size > 0").join(sums, ["k", "first"], "left").select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -209,7 +209,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14
     rest = slots(spark, plan, block, shard_slots, seed).join(whole, F.col("k") == F.col("_k")).filter("pass_no = _passes").select("k", "block_no", "words")
     lo = F.greatest(F.col("first"), F.col("block_no") * block)
     hi = F.least(F.col("first") + F.col("size"), F.col("block_no") * block + F.col("words"))
-    spans = _spans(placed, block).join(rest, ["k", "block_no"]).filter(hi > lo).select("doc_id", "source", "size", "first", (lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
+    spans = _spans(placed, block).join(rest.hint("merge"), ["k", "block_no"]).filter(hi > lo).select("doc_id", "source", "size", "first", (lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
     spans = spans.groupBy("doc_id", "source", "size", "first").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_spans"))
     # Rows that agree in doc_id, source and size share their spans in order of first, each its own.
     rank = lambda d, *by: d.withColumn("_rank", F.row_number().over(Window.partitionBy("_d", "_src", "_size").orderBy(*by)))

@@ -21,9 +21,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut, columns still pruned."""
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in at most four partitions per core, or a sixteenth of the shuffle partitions if that is more: for small rows
+    after a shuffle, whose many tiny files would cost more than their contents."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def settle(df: DataFrame, compression: str = "zstd", shuffled: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut, columns still pruned.
+
+    ``shuffled``: small rows that come out of a shuffle; see ``fewer``."""
     path = scratch_dir(df.sparkSession)
+    df = fewer(df) if shuffled else df
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

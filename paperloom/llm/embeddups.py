@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bounded_groups
-from .common import settle
+from .common import fewer, settle
 from .graph import Forest, connected_components
 from .vectors import element_type, takes_part
 
@@ -146,7 +146,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, blocks: int = 4, axes:
             v = b.column(1)
             yield pa.RecordBatch.from_arrays([b.column(0), v, pa.array([len(x) for x in v], pa.int32()), pa.array([np.array(x.as_py(), dtype=kind).tobytes() for x in v], pa.binary()), b.column(2), b.column(3)], names=["label", "embedding", "dim", "vec", "least", "n"])
 
-    classes = settle(classes.mapInArrow(pack, f"label string, embedding array<{code}>, dim int, vec binary, least long, n long").withColumn("cid", F.monotonically_increasing_id()))
+    classes = settle(classes.mapInArrow(pack, f"label string, embedding array<{code}>, dim int, vec binary, least long, n long").withColumn("cid", F.monotonically_increasing_id()), shuffled=True)
     dims = [r[0] for r in classes.select("dim").distinct().collect()]  # as many as there are lengths of vectors
     turn = {}
     for d in dims:
@@ -156,7 +156,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, blocks: int = 4, axes:
     cells = settle(_cells(classes, kind, turn, least, blocks, axes))
     key = ["label", "dim", "block", "cell"]
     groups = bounded_groups(cells, key, ["cid", "n", "low", "vec"], "cid", cap)
-    found = settle(_join_cells(groups, kind, turn, least, blocks))
+    found = settle(_join_cells(groups, kind, turn, least, blocks), shuffled=True)
     links = found.filter("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("a is not null").select("a", "b"))
     named = classes.select("cid", "label", "embedding", "least", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -164,4 +164,4 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, blocks: int = 4, axes:
     lookup = named.select("label", "embedding", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = valid.join(lookup, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = base.filter(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return fewer(out).unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps: each node links its larger, then its smaller neighbours to the least
     neighbour it knows, until every edge points at its component's least node.  Least neighbours are pre-aggregated
     before the shuffle, so a hub costs no task more than its share; the edges are written once per round."""
-    e = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), shuffled=True)
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("mark")
     seen = e.agg(mark).head()[0]
     while seen[0]:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = settle(small)
+        e = settle(small, shuffled=True)
         now = e.agg(mark).head()[0]
         if now == seen:
             break

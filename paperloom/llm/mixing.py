@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import balanced_chunks, grouped_offsets, settle
+from .common import balanced_chunks, fewer, grouped_offsets, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -167,7 +167,7 @@ def _place(docs: DataFrame, block: int, ceiling: float, weights: dict | None) ->
     plan = source_plan(d, block, ceiling, weights)
     table = d.sparkSession.createDataFrame([(p["source"], p["k"], p["size"], p["target"]) for p in plan], "_s string, k long, source_size long, target double")
     d = d.join(F.broadcast(table) if len(plan) <= 10_000 else table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return settle(grouped_offsets(d, ["k"], ["doc_id", "size"], F.col("size"), "first", balanced_chunks(d.count()))), plan
+    return settle(grouped_offsets(d, ["k"], ["doc_id", "size"], F.col("size"), "first", balanced_chunks(d.count())), shuffled=True), plan
 
 
 def _spans(placed: DataFrame, block: int) -> DataFrame:
@@ -192,7 +192,7 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, ceiling: f
     sums = hits.groupBy("k", "first").agg(F.sum(F.greatest(hi - lo, F.lit(0)) * F.col("times")).alias("taken"))
     cols = ["doc_id", "source", "size", "source_size", "target"]
     some = placed.filter("size > 0").join(sums, ["k", "first"], "left").select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return some.unionByName(placed.filter("size = 0").select(*cols, F.lit(0).cast("long").alias("taken")))
+    return fewer(some.unionByName(placed.filter("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"))))
 
 
 def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, ceiling: float = 3.0, weights: dict | None = None, seed: int = 7) -> DataFrame:

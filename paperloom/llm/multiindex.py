@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fewer, settle
 from .vectors import element_type, takes_part
 
 TRAIN = 1 << 14
@@ -120,7 +120,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
 
     least = Window.partitionBy("v").orderBy("vec_id")
     unique = base.select("vec_id", "v").distinct().withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1).select("vec_id", "v")
-    index = settle(unique.mapInArrow(assign, "vec_id long, vec binary, cell long"))
+    index = settle(unique.mapInArrow(assign, "vec_id long, vec binary, cell long"), shuffled=True)
     counts = np.zeros(len(books[0]) * wide, dtype=np.int64)
     for cell, n in index.groupBy("cell").count().collect():  # at most one row per pair of centroids
         counts[cell] = n
@@ -152,7 +152,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "qno", "query_id", "vec", "cells"])
 
     asked = settle(base.filter("_q").select("vec_id", "v").withColumn("qno", F.monotonically_increasing_id()))
-    probes = settle(asked.select("vec_id", "v", "qno").repartition(max(1, min(4096, entries // 4096)), "qno").mapInArrow(route, "block long, qno long, query_id long, vec binary, cells array<long>"))
+    probes = settle(asked.select("vec_id", "v", "qno").repartition(max(1, min(4096, entries // 4096)), "qno").mapInArrow(route, "block long, qno long, query_id long, vec binary, cells array<long>"), shuffled=True)
     chunks = max(1, -(-probes.count() // (blocks * QUERY_CHUNK)))
     probes = probes.withColumn("chunk", F.pmod(F.xxhash64("qno"), F.lit(chunks)).cast("long"))
 
@@ -190,4 +190,4 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
 
     found = probes.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(rank, "qno long, query_id long, vec_id long, score double")
     order = Window.partitionBy("qno").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return fewer(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import balanced_chunks, grouped_offsets, settle
+from .common import balanced_chunks, fewer, grouped_offsets, settle
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
 
     kinds = {"piece": "int", "ids": "binary"}
     schema = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in [*names, "sequence_id", "offset"])
-    return ranked.mapInArrow(place, schema)
+    return fewer(ranked.mapInArrow(place, schema))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

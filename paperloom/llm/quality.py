@@ -197,7 +197,7 @@ def co_train(views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, picks: i
     model = _fit(own, held)
     if not rounds or not picks:
         return model
-    free = settle(views.join(y, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti"))
+    free = settle(views.join(y, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti"), shuffled=True)
     for _ in range(rounds):
         scored = settle(_score_table(free, model))
         extra = []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bounded_groups
-from .common import settle
+from .common import fewer, settle
 from .graph import Forest, connected_components
 
 BITS = 64
@@ -154,12 +154,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataF
     and never names a component unless it is alone (then null).  Repeated rows are kept.  An empty table gives an empty
     result."""
     rows = settle(fingerprints(docs, shingle))
-    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), shuffled=True)
     parts = connected_components(near_links(classes.select("fp"), budget, classes.count()))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = named.join(least, "component").select("fp", "component_id")
-    return rows.join(lookup, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fewer(rows.join(lookup, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -167,7 +167,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
 
     Rows with a null doc_id cannot be told apart and all stay.  Of rows that share a doc_id, one stays if any of them
     leads a group."""
-    near = settle(near_duplicates(docs, shingle, budget).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"))
+    near = settle(near_duplicates(docs, shingle, budget).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
     ids = near.groupBy("doc_id").agg(F.bool_or("lead").alias("lead"), F.count("*").alias("n"))
     kept = docs.join(ids.filter("not lead").select("doc_id"), "doc_id", "left_anti")
     again = settle(ids.filter("lead and n > 1").select("doc_id"))

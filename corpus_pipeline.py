@@ -1,13 +1,59 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: each stage is one operator over all rows that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner writes it as Parquet and rereads it as the next
+stage's ``docs``.  All stages but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from paperloom.llm import common, mixing, packing, quality, secrets, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return quality.filter_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, by five-word shingles."""
+    return simhash.keep_one(docs, shingle=5, budget=4)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, a row for each pass over a document."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, separator=0)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("secret scan", secrets_stage),
+    ("source mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: No SQL expresses these stages; tests hold each against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole table ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = common.settle(docs)
+    return docs

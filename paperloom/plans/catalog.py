@@ -1,10 +1,4 @@
-"""Registered queries of the curation operators and their SQL counterparts."""
+"""All registered queries of the curation operators and their SQL counterparts."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from paperloom.plans import pairs, texts  # noqa: F401  they register
+from paperloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -161,20 +161,20 @@ def changed(before: Column, after: Column) -> Column:
     return F.trim(F.coalesce(before, F.lit(""))) != F.trim(F.coalesce(after, F.lit("")))
 
 
-def flatten_columns(df: DataFrame, prefix: str = "") -> DataFrame:
-    """Nested structs as dotted columns; arrays of scalars joined by '; ', arrays of structs as JSON with a count beside."""
+def flatten_columns(df: DataFrame, sep: str = ".") -> DataFrame:
+    """Nested structs as columns named by their path; arrays of scalars joined by '; ', arrays of structs as JSON with a count beside."""
     from pyspark.sql import types as T
 
     def walk(path: list[str], kind: T.DataType):
         c = F.col(".".join(f"`{p}`" for p in path))
-        name = prefix + ".".join(path)
+        name = sep.join(path)
         if isinstance(kind, T.StructType):
             for f in kind.fields:
                 yield from walk([*path, f.name], f.dataType)
         elif isinstance(kind, T.ArrayType):
             yield (F.to_json(c) if isinstance(kind.elementType, T.StructType) else F.array_join(c.cast("array<string>"), "; ")).alias(name)
             if isinstance(kind.elementType, T.StructType):
-                yield F.size(c).alias(f"{name}.count")
+                yield F.size(c).alias(f"{name}{sep}count")
         else:
             yield c.alias(name)
 

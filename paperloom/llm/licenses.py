@@ -7,8 +7,6 @@ comes first.  What remains labels the document."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +69,17 @@ NAMES = [
     ("cc-by", "commons", "creative commons attribution(?: [1-4] [05])?"),
 ]
 
-#: How a text refers to a licence NAME, with the priority of such a mention.
+#: How a text refers to a licence NAME, as (form, keyword, priority of such a mention).
 FORMS = [
-    ("spdx license identifier NAME", 9),
-    ("licen[cs]ed under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", 8),
-    ("(?:released|distributed|published|available) under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", 7),
-    ("under the terms of(?: the)? NAME(?: licen[cs]e)?", 6),
-    ("NAME (?:public )?licen[cs]e(?:d)?", 5),
-    ("licen[cs]e NAME", 4),
+    ("spdx license identifier NAME", "spdx", 9),
+    ("licen[cs]ed under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", "licen", 8),
+    ("released under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", "released", 7),
+    ("distributed under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", "distributed", 7),
+    ("published under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", "published", 7),
+    ("available under(?: the)?(?: terms of)?(?: the)? NAME(?: licen[cs]e)?", "available", 7),
+    ("under the terms of(?: the)? NAME(?: licen[cs]e)?", "terms", 6),
+    ("NAME (?:public )?licen[cs]e(?:d)?", "licen", 5),
+    ("licen[cs]e NAME", "licen", 4),
 ]
 
 #: Signatures that stand alone, as (label, keyword, pattern, priority).
@@ -104,34 +105,33 @@ def pattern(words: str) -> str:
     return f"(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])(?:{spaced})(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
 
 
-def rules() -> list[tuple[str, str, int, str]]:
-    """(label, keyword, priority, pattern), in order."""
-    out = [(label, word, rank, pattern(p)) for label, word, p, rank in ALONE]
-    for form, rank in FORMS:
-        out += [(label, word, rank, pattern(form.replace("NAME", f"(?:{name})"))) for label, word, name in NAMES]
+def rules() -> list[tuple[str, tuple[str, str], int, str]]:
+    """(label, keywords, priority, pattern), in order; a text must hold both keywords for the pattern to be tried."""
+    out = [(label, (word, word), rank, pattern(p)) for label, word, p, rank in ALONE]
+    for form, word, rank in FORMS:
+        out += [(label, (word, name_word), rank, pattern(form.replace("NAME", f"(?:{name})"))) for label, name_word, name in NAMES]
     return out
 
 
-def _lit(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), kind)
+#: A text without any of these holds no match.
+GATES = sorted({words[0] for _, words, _, _ in rules()})
+TOP = max(r for _, _, r, _ in rules())
 
 
-#: Every rule but the ones that stand alone also has one of these in its text.
-GATES = ["licen", "spdx", "under", *sorted({w for _, w, _, _ in ALONE})]
-TOP = max(r for _, _, r, _ in rules())
+def _keywords(low: Column) -> Column:
+    """The rules' keywords that a lower-cased text holds."""
+    return F.filter(F.array(*[F.lit(w) for w in sorted({w for r in rules() for w in r[1]})]), lambda k: F.contains(low, k))
 
 
-def _matches(text: Column, low: Column) -> Column:
-    """All matches of all rules whose keyword occurs: array of (start, end, priority, order, label), start and end in characters."""
-    table = [{"o": i, "l": label, "k": word, "p": rank, "x": p} for i, (label, word, rank, p) in enumerate(rules())]
-    every = _lit(table, "array<struct<o int, l string, k string, p int, x string>>")
-    words = _lit(sorted({r["k"] for r in table}), "array<string>")
-    there = F.filter(words, lambda k: F.contains(low, k))
-    live = F.filter(every, lambda r: F.array_contains(there, r["k"]) & F.regexp_like(text, r["x"]))
+def _matches(text: Column, there: Column) -> Column:
+    """All matches of all rules whose keywords are ``there`` (a column, as a lambda would compute an expression per rule): array of (start, end, priority, order, label), start and end in characters."""
+    # literals, which the optimiser folds to one constant
+    every = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (("o", i), ("l", label), ("a", words[0]), ("b", words[1]), ("p", rank), ("x", p))]) for i, (label, words, rank, p) in enumerate(rules())])
+    live = F.filter(every, lambda r: F.array_contains(there, r["a"]) & F.array_contains(there, r["b"]) & F.regexp_like(text, r["x"]))
 
     def spans(r: Column) -> Column:
-        part = F.regexp_extract_all(text, F.concat(F.lit("(?s).*?(?:"), r["x"], F.lit(")")), F.lit(0))
-        hit = F.regexp_extract_all(text, F.concat(F.lit("(?s).*?("), r["x"], F.lit(")")), F.lit(1))
+        part = F.regexp_extract_all(text, F.concat(F.lit("(?s)\\G.*?(?:"), r["x"], F.lit(")")), F.lit(0))
+        hit = F.regexp_extract_all(text, F.concat(F.lit("(?s)\\G.*?("), r["x"], F.lit(")")), F.lit(1))
         both = F.transform(F.arrays_zip(part.alias("a"), hit.alias("b")), lambda z: F.struct(F.length(z["a"]).alias("a"), F.length(z["b"]).alias("b")))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s int, e int, p int, o int, l string>>").alias("out"))
         step = lambda acc, z: F.struct((acc["at"] + z["a"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["a"] - z["b"]).alias("s"), (acc["at"] + z["a"]).alias("e"), r["p"].alias("p"), r["o"].alias("o"), r["l"].alias("l")))).alias("out"))
@@ -178,7 +178,9 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<s int, e int, p int, l string>>")
     d = d.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
     d = d.withColumn("n_base", F.when(some, F.regexp_count("text", F.lit(alone))).otherwise(0).cast("long"))
-    d = d.withColumn("spans", F.when(gate, _kept(_matches(F.col("text"), F.col("_low")))).otherwise(none))
+    d = d.withColumn("_there", F.when(gate, _keywords(F.col("_low"))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("_found", F.when(F.size("_there") > 0, _matches(F.col("text"), F.col("_there"))))
+    d = d.withColumn("spans", F.when(F.size("_found") > 0, _kept(F.col("_found"))).otherwise(none))
     before = lambda x: F.regexp_count(x, F.lit(WORD)).cast("long")
     d = d.withColumn("first_word", F.when(F.col("n_base") > 0, before(F.regexp_extract("text", f"(?s)^(.*?){alone}", 1))))
     d = d.withColumn("last_word", F.when(F.col("n_base") > 0, before(F.regexp_extract("text", f"(?s)^(.*){alone}", 1))))

@@ -20,8 +20,8 @@ def base(text):
 
 def slow_spans(text):
     found = []
-    for order, (label, word, rank, p) in enumerate(licenses.rules()):
-        if word in text.lower():
+    for order, (label, words, rank, p) in enumerate(licenses.rules()):
+        if all(w in text.lower() for w in words):
             found += [(m.start(), m.end(), rank, order, label) for m in re.compile(p, re.A).finditer(text)]
     better = lambda a, b: (-a[2], -(a[1] - a[0]), a[3]) < (-b[2], -(b[1] - b[0]), b[3])
     return sorted((s, e, p, label) for s, e, p, o, label in found if not any(a[0] <= s and e <= a[1] and a[2] >= p and better(a, (s, e, p, o)) for a in found))

@@ -20,6 +20,8 @@ _TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,
 _VALUE = r"(?<=[A-Za-z][\"']{0,1} {0,1}[:=] {0,1}[\"']{0,1})(?<![A-Za-z0-9+/_\-.])[^\s\"'`,;<>(){}]{8,}+"
 _KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 CANDIDATE = f"(?:{_KEY}|{_VALUE}|{_TOKEN})"
+#: Every candidate holds one of these characters, or is a key header; a scan for them is cheap.
+HINT = "[0-9:=]|-----BEGIN"
 CONTEXT = 48  # characters before a candidate that its neighbouring words are taken from
 
 #: Formats of credentials, as (kind, pattern of the whole candidate).
@@ -44,9 +46,9 @@ FEATURES = ["f_length", "f_turns", "f_digits", "f_upper", "f_lower", "f_other",
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Each candidate of each row of ``docs`` (doc_id, text, source): doc_id, path, start, length, finding, before (the context)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text")).filter(F.regexp_like("text", F.lit(CANDIDATE)))
-    part = F.regexp_extract_all("text", F.lit(f"(?s).*?{CANDIDATE}"), F.lit(0))
-    hit = F.regexp_extract_all("text", F.lit(f"(?s).*?({CANDIDATE})"), F.lit(1))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text")).filter(F.regexp_like("text", F.lit(HINT)) & F.regexp_like("text", F.lit(CANDIDATE)))
+    part = F.regexp_extract_all("text", F.lit(f"(?s)\\G.*?{CANDIDATE}"), F.lit(0))
+    hit = F.regexp_extract_all("text", F.lit(f"(?s)\\G.*?({CANDIDATE})"), F.lit(1))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start bigint, length bigint, finding string, before string>>").alias("out"))
 
     def step(acc: Column, z: Column) -> Column:
@@ -153,7 +155,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None =
 
     Texts without a candidate pass unchanged and are not shuffled.  Rows that share a doc_id share their findings; rows
     with a null doc_id share those of all such rows."""
-    looks = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(CANDIDATE)), F.lit(False))
+    looks = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(HINT)) & F.regexp_like(F.col("text").cast("string"), F.lit(CANDIDATE)), F.lit(False))
     secrets = scan(docs, findings, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set("finding"), lambda a, b: F.length(b) - F.length(a)).alias("_found"))
     some = docs.filter(looks)
     some = some.join(secrets, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")

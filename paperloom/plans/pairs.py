@@ -8,18 +8,22 @@ from paperloom.functions import values as V
 from paperloom.operators import ranking, relational, reports
 from paperloom.plans.registry import PAIRS, pairs, query, table
 
-CATEGORY = F.when(~F.col("paper_available"), "not_available").when(F.col("alias_in_text"), "mentioned").otherwise("no_mention")
 CATEGORY_SQL = "CASE WHEN NOT paper_available THEN 'not_available' WHEN alias_in_text THEN 'mentioned' ELSE 'no_mention' END"
 RANGES = [(1, 1, "1"), (2, 2, "2"), (3, 3, "3"), (4, 4, "4"), (5, 5, "5"), (6, 6, "6"), (7, None, "7+")]
 RANGE_SQL = "CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n = 3 THEN '3' WHEN n = 4 THEN '4' WHEN n = 5 THEN '5' WHEN n = 6 THEN '6' WHEN n >= 7 THEN '7+' END"
 
 
+def _category():
+    """Three-way outcome of a pre-check."""
+    return F.when(~F.col("paper_available"), "not_available").when(F.col("alias_in_text"), "mentioned").otherwise("no_mention")
+
+
 @query(f"""WITH {PAIRS}, c AS (SELECT database, {CATEGORY_SQL} AS category, pmid FROM pairs),
 t AS (SELECT database, count(*) AS total FROM c GROUP BY 1)
 SELECT c.database, category, count(*) AS n, count(DISTINCT pmid) AS papers, round_even(100.0::DOUBLE * count(*) / any_value(total), 1) AS pct
 FROM c JOIN t USING (database) GROUP BY 1, 2""")
 def precheck_category_by_db(spark, sf_dir):
-    d = pairs(spark, sf_dir).withColumn("category", CATEGORY)
+    d = pairs(spark, sf_dir).withColumn("category", _category())
     n = reports.measures(d, ["database", "category"], {"n": F.lit(True)}, {"papers": "pmid"})
     total = n.groupBy("database").agg(F.sum("n").alias("total"))
     return n.join(total, "database").select("database", "category", "n", "papers", V.percent(F.col("n"), F.col("total")).alias("pct"))
@@ -34,7 +38,7 @@ def paper_size_bucket_crosstab(spark, sf_dir):
     p = pairs(spark, sf_dir)
     size = p.groupBy("pmid").agg(F.countDistinct("gene_id").alias("n")).select("pmid", V.bucket(F.col("n"), RANGES).alias("bucket"))
     names = ["mentioned", "no_mention", "not_available"]
-    x = reports.crosstab(p.join(size, "pmid").withColumn("category", CATEGORY), "bucket", "category", names)
+    x = reports.crosstab(p.join(size, "pmid").withColumn("category", _category()), "bucket", "category", names)
     return reports.in_order(x, "bucket", [r[2] for r in RANGES], names)
 
 
@@ -195,7 +199,7 @@ def value_counts_top(spark, sf_dir):
 SELECT database, round_even(100.0::DOUBLE * m / nullif(m + o + a, 0), 1) AS mentioned, round_even(100.0::DOUBLE * o / nullif(m + o + a, 0), 1) AS no_mention, round_even(100.0::DOUBLE * a / nullif(m + o + a, 0), 1) AS not_available FROM x""")
 def crosstab_row_percent(spark, sf_dir):
     names = ["mentioned", "no_mention", "not_available"]
-    return reports.row_percent(reports.crosstab(pairs(spark, sf_dir).withColumn("category", CATEGORY), "database", "category", names), names)
+    return reports.row_percent(reports.crosstab(pairs(spark, sf_dir).withColumn("category", _category()), "database", "category", names), names)
 
 
 @query(f"""WITH {PAIRS} SELECT gene_id, pmid, database FROM (SELECT *, row_number() OVER (PARTITION BY gene_id, pmid ORDER BY pos, database) AS rn FROM pairs) WHERE rn = 1""")

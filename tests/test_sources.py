@@ -1,0 +1,186 @@
+"""Sources, sinks, archives, stages and streams on small fixtures."""
+
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from paperloom.functions import text
+from paperloom.operators import relational, reports, stages, status, supplements
+from paperloom.sources import files, remote, sinks
+from paperloom.streaming import resume
+
+
+def test_delimited(spark, tmp_path):
+    p = tmp_path / "x.tsv"
+    p.write_text('id\ttext\tflag\n"7"\t"two\nlines ""q"""\tTRUE\n8\tNA\t\n')
+    df = files.all_strings(spark, str(p), ["id", "text", "flag"], "\t")
+    assert [tuple(r) for r in df.collect()] == [("7", 'two\nlines "q"', "TRUE"), ("8", None, None)]
+    assert files.delimited(spark, str(p), files.strings(["id", "text", "flag"]), "\t", ["id"]).columns == ["id"]
+    with pytest.raises(ValueError, match="gone"):
+        relational.require_columns(df, ["id", "gone"])
+
+
+def test_status_folder(spark, tmp_path):
+    doc = {"getSummary": {"G1": {"gene_ID": "G-1", "m": {"model": "m", "success": True, "data": {"a": 1}, "seconds": 1.5}}}}
+    (tmp_path / "11.json").write_text(json.dumps(doc))
+    (tmp_path / "12.json").write_text("{broken")
+    d = files.status_documents(spark, str(tmp_path))
+    assert [r.pmid for r in d.collect()] == ["11"]
+    row = files.point_lookup(d, "11", "getSummary", "G-1", "m").collect()[0]
+    assert row.success and json.loads(row.data) == {"a": 1} and row.seconds == 1.5
+    assert files.point_lookup(d, "11", "x", "G-1", "m").count() == 0
+
+
+def test_other_files(spark, tmp_path):
+    for n in ("art", "dump", "jsonl", "bin"):
+        (tmp_path / n).mkdir()
+    art = [{"documents": [{"passages": [{"infons": {"section_type": "title"}, "text": "T"}, {"infons": {"section_type": "REF"}, "text": "no"}]}]}]
+    (tmp_path / "art" / "5.json").write_text(json.dumps(art))
+    a = files.articles(spark, str(tmp_path / "art"))
+    assert a.select("pmid", text.article_text(F.col("passages"))).collect()[0][1] == "T\n"
+    (tmp_path / "dump" / "d.txt").write_text('x\nOriginal content:\n{"a":\n1}\n\nSchema:\n{}')
+    assert files.debug_dumps(spark, str(tmp_path / "dump")).collect()[0].content == '{"a":\n1}'
+    (tmp_path / "jsonl" / "c.json").write_text(json.dumps({"id": "1", "pubmed_ids": ["2", "3"], "created": 1000}) + "\n" + json.dumps({"id": "9"}))
+    c = files.comments(spark, str(tmp_path / "jsonl"), spark.createDataFrame([("1",)], "id string")).collect()
+    assert len(c) == 1 and c[0].pubmed_ids == "2; 3" and c[0].created.timestamp() == 1.0
+    (tmp_path / "jsonl" / "l.json").write_text(json.dumps({"ts": 1, "provider": "p", "step": "s", "model": "m", "elapsed_s": 2.0, "metrics": {"total_tokens": 5, "cost": 0.5}}))
+    log = files.call_log(spark, str(tmp_path / "jsonl" / "l.json"))
+    assert reports.call_rollup(log).collect()[0].tokens == 5
+    (tmp_path / "bin" / "a.zip").write_bytes(b"12345")
+    (tmp_path / "bin" / "b.zip").write_bytes(b"1")
+    assert files.binaries(spark, str(tmp_path / "bin"), 3).count() == 1
+
+
+def test_remote_retry_and_kinds(spark):
+    waits = []
+    answers = iter([remote.Response(503), remote.Response(429, retry_after=7), remote.Response(200, '{"a":1}')])
+    assert remote.fetch("k", lambda k: next(answers), sleep=waits.append, jitter=lambda: 0.0) == {"a": 1} and waits == [1.5, 7]
+    with pytest.raises(remote.NotAvailable):
+        remote.fetch("k", lambda k: remote.Response(200, "<html>"))
+    with pytest.raises(remote.FetchFailed):
+        remote.fetch("k", lambda k: remote.Response(500), retries=1, sleep=lambda s: None)
+    with pytest.raises(remote.Unauthorized):
+        remote.fetch("k", lambda k: remote.Response(401))
+    keys = spark.createDataFrame([("1",), ("2",), ("1",)], "pmid string")
+    got = remote.fetch_all(keys, "pmid", lambda k: remote.Response(200, '{"x":2}') if k == "1" else remote.Response(404))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", '{"x": 2}', ""), ("2", None, "not_available")]
+    ids = remote.resolve_ids(spark.createDataFrame([("pmc7",), ("5",), ("6",)], "id string"), "id", spark.createDataFrame([("5", "pmc5")], "id string, pmcid string"))
+    assert sorted((r.id, r.pmcid) for r in ids.collect()) == [("5", "PMC5"), ("6", None), ("pmc7", "PMC7")]
+
+
+def archive():
+    out, inner, doc, sheet = io.BytesIO(), io.BytesIO(), io.BytesIO(), io.BytesIO()
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(doc, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:p><w:r><w:t>para ABC1</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:document>")
+    with zipfile.ZipFile(sheet, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>gene</t></si><si><t>abc-1</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c></row><row><c t="s"><v>1</v></c><c><v>5</v></c></row></sheetData></worksheet>')
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep.txt", "ABC1 inside\n")
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("t.csv", "gene;n\nABC1;1\nother;2\nABC1 ABC1;3\n")
+        z.writestr("a.docx", doc.getvalue())
+        z.writestr("b.xlsx", sheet.getvalue())
+        z.writestr("n.zip", inner.getvalue())
+        z.writestr("p.html", "<p>ABC1 <b>x</b></p>")
+        z.writestr("old.doc", b"\x00\x01ABC1 word\x01\x01" + "wide text".encode("utf-16-le"))
+        z.writestr("pic.png", b"\x89PNG")
+        z.writestr("big.txt", "y" * 5000)
+    return out.getvalue()
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    a = spark.createDataFrame([("1", bytearray(archive())), ("2", bytearray(b"no zip"))], "pmid string, content binary")
+    return supplements.archive_lines(a, supplements.Caps(file_bytes=4000)).cache()
+
+
+def test_archive_lines(lines):
+    rows = lines.collect()
+    kinds = {r.file: r.kind for r in rows}
+    assert kinds == {"t.csv": "table", "a.docx": "text", "b.xlsx": "table", "n.zip/deep.txt": "text", "p.html": "text", "old.doc": "text", "pic.png": "image", "big.txt": "skipped", "": "error"}
+    of = lambda f: [r.line for r in rows if r.file == f]
+    assert of("t.csv")[0] == "gene | n" and of("a.docx") == ["para ABC1", "c1 | c2"] and of("b.xlsx") == ["gene", "abc-1 | 5"] and of("old.doc") == ["wide text", "ABC1 word"]
+
+
+def test_archive_counts_and_context(spark, lines):
+    pairs = spark.createDataFrame([("1", "G1", ["ABC1", "x"]), ("1", "G2", ["nothing"]), ("3", "G1", ["ABC1"])], "pmid string, gene_id string, terms array<string>")
+    got = {(r.pmid, r.gene_id): (r.mentions, r.files) for r in supplements.mention_counts(pairs, lines).collect()}
+    assert got[("1", "G1")][0] == 8 and got[("1", "G2")][0] == 0 and got[("3", "G1")][0] == 0
+    assert {f.file: f.n for f in got[("1", "G1")][1]}["t.csv"] == 3
+    block = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, matches=1).collect()}
+    assert "## t.csv\ngene | n\nABC1 | 1\n" in block[("1", "G1")] and block[("1", "G2")] == "" and "ABC1 ABC1" not in block[("1", "G1")]
+    small = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, budget=20).collect()}
+    assert small[("1", "G1")] == "## a.docx\npara ABC1\n"[:20] or len(small[("1", "G1")]) <= 20
+    shares = {r.ext: r.mentions for r in supplements.by_file_type(pairs, lines).collect()}
+    assert shares[".csv"] == 3 and shares[".txt"] == 1
+
+
+def test_captions(spark):
+    xml = '<article><supplementary-material><label>S1</label><caption><p>Table of x</p></caption><media href="F1.PDF"/></supplementary-material></article>'
+    c = supplements.captions(spark.createDataFrame([("1", xml)], "pmid string, xml string"))
+    assert tuple(c.collect()[0]) == ("1", "F1.PDF", "S1 — Table of x")
+    f = spark.createDataFrame([("1", "dir/F1.PDF"), ("1", "f1.docx"), ("1", "z.txt")], "pmid string, file string")
+    assert {r.file: r.caption for r in supplements.match_captions(f, c).collect()} == {"dir/F1.PDF": "S1 — Table of x", "f1.docx": "S1 — Table of x", "z.txt": None}
+
+
+def test_stages(spark):
+    pairs = spark.createDataFrame([("1", f"G{i}") for i in range(6)] + [("2", "G9")], "pmid string, gene_id string")
+    papers = spark.createDataFrame([("1", "text one"), ("2", "text two")], "pmid string, text string")
+    calls = {"summary": F.concat("text", "gene_id"), "describe": F.concat(F.lit("d"), "gene_id")}
+    out = stages.curate(pairs, papers, calls, done=spark.createDataFrame([("2", "G9")], "pmid string, gene_id string"))
+    rows = out.collect()
+    assert {r.pmid for r in rows} == {"1"} and all(r.success for r in rows)
+    first = {r.gene_id for r in rows if r.stage == "summary" and '"only_in_passing":false' in r.data}
+    assert {r.gene_id for r in rows if r.stage == "describe"} == first
+    broken = stages.run_stage(pairs, stages.Stage("s", F.col("gene_id"), retries=1), lambda s, p, m: ("no json", {}, 1.0))
+    assert {(r.success, r.error, r.seconds) for r in broken.collect()} == {(False, "json parsing failed after retries", 2.0)}
+    assert stages.parse_answer('{"a": [1', None) == '{"a":[1]}' and stages.parse_answer("", lambda t: "{}") is None and stages.parse_answer("x", lambda t: '{"k":1}') == '{"k":1}'
+    once = stages.run_distinct(spark.createDataFrame([("aa",), ("aa",), (None,)], "t string"), "t", "n", lambda s: s.str.len(), "long")
+    assert sorted(r.n or 0 for r in once.collect()) == [0, 2, 2]
+
+
+def leaf(n):
+    return json.dumps({"success": True, "data": {"n": n}})
+
+
+def test_upsert_and_stream(spark, tmp_path):
+    kind = "pmid string, stage string, gene_id string, model string, leaf string"
+    store = str(tmp_path / "store")
+    sinks.upsert_status(spark, store, spark.createDataFrame([("1", "s", "g", "m", leaf(1)), ("1", "s", "h", "m", leaf(2))], kind), 0)
+    docs = sinks.upsert_status(spark, store, spark.createDataFrame([("1", "s", "g", "m", leaf(3))], kind), 1)
+    got = {r.gene_id: json.loads(r.data)["n"] for r in status.explode_status(docs).collect()}
+    assert got == {"g": 3, "h": 2}
+    (tmp_path / "in").mkdir()
+    rows = [{"pmid": "1", "stage": "s", "gene_id": "g", "model": "m", "leaf": leaf(n)} for n in (5, 6)]
+    for i, r in enumerate(rows):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(r))
+        resume.upsert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert [json.loads(r.leaf)["data"]["n"] for r in sinks.latest_status(spark, str(tmp_path / "out")).collect()] == [6]
+
+
+def test_calls_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    calls = [("2026-01-01T00:01:00", "a"), ("2026-01-01T00:02:00", "a"), ("2026-01-01T05:00:00", "b")]
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"ts": t, "step": s, "elapsed": 1.0}) for t, s in calls))
+    resume.calls_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert [(r.step, r.calls) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a\nb", 2)], "id string, t string, n int")
+    assert sinks.write_table(df, str(tmp_path / "o"), ["n", "t", "gone"]) and not sinks.write_table(df.limit(0), str(tmp_path / "p"), ["n"])
+    assert files.delimited(spark, str(tmp_path / "o"), files.strings(["n", "t"])).collect()[0].t == "a\nb"
+    sinks.append_events(df, str(tmp_path / "e"))
+    sinks.append_events(df, str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e")).count() == 2
+    sinks.write_side_texts(df, str(tmp_path / "s"), "t", "id")
+    assert (tmp_path / "s" / "id=1").is_dir()
+    both = sinks.before_after(df, df.withColumn("n", F.lit(3)), ["id"]).collect()[0]
+    assert (both.before.n, both.after.n) == (2, 3)
+    assert "title" in reports.text_report(df, "title") and "id" in reports.text_report(df, "title")

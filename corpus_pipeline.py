@@ -16,8 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, by five-word shingles."""
-    return simhash.keep_one(docs, shingle=5, budget=4)
+    """One document of each SimHash group: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8, shingle=5)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

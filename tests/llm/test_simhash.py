@@ -57,7 +57,46 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 6, 7, 9, 10]  # 11 reads as 6
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 6, 7, 9, 10]  # 11 reads as 6, and 2 and 3 have no words either
+
+
+def near_components(ids, texts):
+    """Components under the wide fingerprints' rule, over all pairs."""
+    f = np.array([simhash.wide_fingerprint(t) for t in texts], dtype=np.int64)
+    v, n = f[:, :4].view(np.uint64), f[:, 4]
+    first, whole = simhash.wide_budget(0.8)
+    step = np.floor(np.log(np.maximum(n, 1)) / -np.log(0.8) + 1e-9)
+    comp = list(ids)
+    near = [np.flatnonzero((np.bitwise_count(v[:, 0] ^ v[i, 0]) <= first) & (np.bitwise_count(v ^ v[i]).sum(axis=1) <= whole) & (np.abs(step - step[i]) <= 1) & ((n > 0) == (n[i] > 0))) for i in range(len(ids))]
+    while True:
+        new = [min(comp[j] for j in near[i]) for i in range(len(ids))]
+        if new == comp:
+            return comp
+        comp = new
+
+
+def test_near_copies_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in rows], near_components([r.doc_id for r in rows], [r.text for r in rows]), strict=True))
+    for cap in (1 << 13, 40):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, cap=cap).collect()} == want
+
+
+def test_near_copies_are_caught_and_others_left(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[vocabulary[i] for i in rng.integers(0, 3000, n)] for n in rng.integers(60, 900, 60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):  # each changed word costs up to five shingles
+        x = list(w)
+        for at in rng.choice(len(x), max(1, len(x) // 60), replace=False):
+            x[at] = "changed"
+        rows.append((1000 + i, " ".join(x)))
+        rows.append((2000 + i, " ".join(w[: len(w) // 2] + [vocabulary[k] for k in rng.integers(0, 3000, len(w) // 2)])))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i] == i for i in range(60)) >= 58
+    assert all(got[2000 + i] == 2000 + i and got[i] == i for i in range(60))
 
 
 @pytest.mark.parametrize("n,cap,target", [(3000, 8192, 4096), (3000, 64, 4096), (2000, 256, 2)])

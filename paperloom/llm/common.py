@@ -21,11 +21,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """``df`` in at most four partitions per core, or a sixteenth of the shuffle partitions if that is more: for small rows
-    after a shuffle, whose many tiny files would cost more than their contents."""
+def fewer(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """``df`` in at most ``per_core`` partitions per core, or a sixteenth of the shuffle partitions for each if that is more: for
+    rows after a shuffle whose many small files would cost more than their contents."""
     spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    return df.coalesce(per_core * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
 def settle(df: DataFrame, compression: str = "zstd", shuffled: bool = False) -> DataFrame:

@@ -223,5 +223,5 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14
         on = e if on is None else on & e
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = mine.join(order, on).withColumn("_w", words).withColumn("text", F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), s["at"] + 1, s["n"]))), " ")).select(docs.columns)
-    out = full.unionByName(part)
+    out = full.unionByName(fewer(part, 4))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fewer, settle
 
 _TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 _VALUE = r"(?<=[A-Za-z][\"']{0,1} {0,1}[:=] {0,1}[\"']{0,1})(?<![A-Za-z0-9+/_\-.])[^\s\"'`,;<>(){}]{8,}+"
@@ -163,4 +163,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None =
     some = some.withColumn("text", clean)
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~looks).select(docs.columns).unionByName(some.select(docs.columns))
+    return docs.filter(~looks).select(docs.columns).unionByName(fewer(some.select(docs.columns)))

@@ -234,7 +234,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cap:
     classes = rows.groupBy(*names, "n").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id())
     classes = settle(classes, shuffled=True)
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9))
-    keyed = settle(classes.filter("n > 0").select("cid", *names, F.explode(F.array(step, step + 1)).alias("size")), shuffled=True)
+    keyed = classes.filter("n > 0").select("cid", *names, F.explode(F.array(step, step + 1)).alias("size"))
 
     def run(batches):
         for b in batches:
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     leads a group."""
     near = settle(near_copies(docs, similarity, shingle).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
     ids = near.groupBy("doc_id").agg(F.bool_or("lead").alias("lead"), F.count("*").alias("n"))
-    kept = docs.join(ids.filter("not lead").select("doc_id"), "doc_id", "left_anti")
+    kept = fewer(docs.join(ids.filter("not lead").select("doc_id"), "doc_id", "left_anti"), 4)
     again = settle(ids.filter("lead and n > 1").select("doc_id"))
     if again.isEmpty():
         return kept.select(docs.columns)

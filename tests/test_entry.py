@@ -23,3 +23,14 @@ def test_imports_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "paperloom" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'precheck_category_by_db' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+e.queries()["string_similarity"](s, "/root/testdata/sf0.001").collect()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

@@ -79,4 +79,12 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mix, op3_pack, op4_neighbours, op5_secrets, op6_embedding_dups, op7_licenses, op8_token_file, op9_token_counts, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+#: The join over all pairs of a label and the closure of its links: fit for a small table only.
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dups": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM ok UNION SELECT r.x, n.b FROM r JOIN n ON n.a = r.y),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x), k AS (SELECT a, count(*) AS k FROM n GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept FROM v LEFT JOIN c ON c.x = vec_id LEFT JOIN k ON k.a = vec_id""",
+}

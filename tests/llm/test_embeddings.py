@@ -60,3 +60,12 @@ def test_doubles_and_nothing(spark, odd):
     df = spark.createDataFrame(odd, "vec_id long, embedding array<double>, label string")
     assert got(embeddups.near_duplicates(df, 0.9)) == slow_links(odd, 0.9)
     assert embeddups.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    rows = c.execute(queries.ORACLE_SQL["op6_embedding_dups"]).fetchall()
+    assert sorted(rows) == sorted(map(tuple, queries.op6_embedding_dups(spark, sf).collect()))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a local temporary folder only where that is unset and Spark is local."""
     sc = spark.sparkContext
@@ -18,7 +21,19 @@ def scratch_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch table of this process and return how many there were.  Call it once results are written: DataFrames
+    that the operators returned read these tables."""
+    made = list(_MADE)
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.remove(path)
+    return len(made)
 
 
 def fewer(df: DataFrame, per_core: int = 1) -> DataFrame:

@@ -209,19 +209,22 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14
     rest = slots(spark, plan, block, shard_slots, seed).join(whole, F.col("k") == F.col("_k")).filter("pass_no = _passes").select("k", "block_no", "words")
     lo = F.greatest(F.col("first"), F.col("block_no") * block)
     hi = F.least(F.col("first") + F.col("size"), F.col("block_no") * block + F.col("words"))
-    spans = _spans(placed, block).join(rest.hint("merge"), ["k", "block_no"]).filter(hi > lo).select("doc_id", "source", "size", "first", (lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
-    spans = spans.groupBy("doc_id", "source", "size", "first").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_spans"))
-    # Rows that agree in doc_id, source and size share their spans in order of first, each its own.
-    rank = lambda d, *by: d.withColumn("_rank", F.row_number().over(Window.partitionBy("_d", "_src", "_size").orderBy(*by)))
-    order = placed.filter("size > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("first").alias("_first"))
-    order = rank(order, "_first").join(spans.select("source", "first", "_spans"), F.col("_src").eqNullSafe(F.col("source")) & (F.col("_first") == F.col("first"))).select("_d", "_src", "_size", "_rank", "_spans")
-    mine = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_src", F.col("source").cast("string")).withColumn("_size", F.regexp_count("text", F.lit(WORD)).cast("long")).filter("_size > 0")
-    mine = rank(mine, F.xxhash64("text"))
-    on = None
-    for c in ("_d", "_src", "_size", "_rank"):
-        e = mine[c].eqNullSafe(order[c]) if c in ("_d", "_src") else mine[c] == order[c]
-        on = e if on is None else on & e
+    spans = _spans(placed, block).join(rest.hint("merge"), ["k", "block_no"]).filter(hi > lo).select("k", "first", (lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
+    spans = spans.groupBy("k", "first").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_spans"))
+    # Rows that agree in doc_id, source and size have a span list each, in order of first; the rows take them in order of hash.
+    key = ["_d", "_src", "_size"]
+    empty = F.array().cast("array<struct<at:int,n:int>>")
+    own = placed.filter("size > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_size"), "k", "first")
+    own = own.join(spans.select("k", "first", "_spans"), ["k", "first"], "left").select(*key, "first", F.coalesce("_spans", empty).alias("_spans"))
+    own = own.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "_spans"))), lambda x: x["_spans"]).alias("_lists"))
+    own = own.filter(F.exists("_lists", lambda x: F.size(x) > 0)).withColumnsRenamed({c: f"{c}2" for c in key})
+    mine = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_src", F.col("source").cast("string")).withColumn("_size", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    both = mine.join(own.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_size") == F.col("_size2")))
+    one = both.filter(F.size("_lists") == 1).withColumn("_spans", F.get("_lists", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    more = both.filter(F.size("_lists") > 1).withColumn("_rank", rank).withColumn("_spans", F.get("_lists", F.col("_rank") - 1)).drop("_rank")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = mine.join(order, on).withColumn("_w", words).withColumn("text", F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), s["at"] + 1, s["n"]))), " ")).select(docs.columns)
+    part = one.unionByName(more).filter(F.size("_spans") > 0).withColumn("_w", words)
+    part = part.withColumn("text", F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), s["at"] + 1, s["n"]))), " ")).select(docs.columns)
     out = full.unionByName(fewer(part, 4))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

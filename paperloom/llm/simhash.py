@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     leads a group."""
     near = settle(near_copies(docs, similarity, shingle).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
     ids = near.groupBy("doc_id").agg(F.bool_or("lead").alias("lead"), F.count("*").alias("n"))
-    kept = fewer(docs.join(ids.filter("not lead").select("doc_id"), "doc_id", "left_anti"), 4)
+    kept = fewer(docs.join(ids.filter("not lead").select("doc_id").hint("merge"), "doc_id", "left_anti"), 4)
     again = settle(ids.filter("lead and n > 1").select("doc_id"))
     if again.isEmpty():
         return kept.select(docs.columns)

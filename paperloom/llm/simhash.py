@@ -9,6 +9,7 @@ the tries small; a trie over the cap is dealt into pairs of parts."""
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -178,22 +179,32 @@ WORDS = 4  # 64-bit words of a wide fingerprint
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
-    """SimHash of the *set* of shingles in 256 bits, as four signed words, and the number of distinct shingles.
-
-    The first word comes from the shingles' XXH64, the others from that hash mixed three ways."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of the text's shingles, sorted; words as in ``fingerprint``."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return (0,) * WORDS + (0,)
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(n + 1) - 1
     k = min(shingle, len(words))
     start, end = (end - n)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    v = np.unique(np.array([h(line[a:b], 42) for a, b in zip(start, end, strict=True)], dtype="<u8"))
+    return np.unique(np.array([h(line[a:b], 42) for a, b in zip(start, end, strict=True)], dtype="<u8"))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
+    """``sketch`` of the text's shingle set, and the number of distinct shingles."""
+    v = shingle_set(text, shingle)
+    return (*sketch(v), len(v))
+
+
+def sketch(v: np.ndarray) -> tuple[int, ...]:
+    """SimHash of a *set* of shingles in 256 bits, as four signed words; zeros for an empty set.
+
+    The first word comes from the shingles' XXH64, the others from that hash mixed three ways."""
     total = np.zeros((WORDS, BITS), dtype=np.int64)
     for at in range(0, len(v), 1 << 14):
         x = v[at : at + (1 << 14)]
@@ -201,7 +212,7 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
             y = x if not w else (x ^ (x >> np.uint64(31))) * _MIX[w - 1]
             y = y if not w else y ^ (y >> np.uint64(29))
             total[w] += np.unpackbits(y.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (*np.packbits(total * 2 > len(v), axis=1, bitorder="little").view("<i8")[:, 0].tolist(), len(v))
+    return (*np.packbits(total * 2 > len(v), axis=1, bitorder="little").view("<i8")[:, 0].tolist(),)
 
 
 def wide_budget(similarity: float) -> tuple[int, int]:
@@ -259,12 +270,113 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cap:
     return fewer(rows.join(lookup, [*names, "n"]).select("doc_id", "component_id"))
 
 
+def safe_budget(similarity: float, n: int) -> tuple[int, int]:
+    """Differing bits, in the first word and in all, that sets of at least this similarity stay within, the smaller of ``n``
+    shingles: five standard deviations above the mean.  A bit differs a little more often where the sets are small."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 0.2 / max(n, 1)
+    within = lambda bits: int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
+    return within(BITS), within(BITS * WORDS)
+
+
+def similar_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cap: int = 1 << 13, part: int = 1 << 9) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, component_id, linking documents whose shingle sets have at least this Jaccard
+    similarity, and no others.
+
+    Candidates are found as in ``near_copies``, within the wider ``safe_budget``, and joined to candidate components.  The
+    shingle sets of those documents alone are then gathered, and inside a component each pair that its sketches do not
+    rule out and no verified link connects yet is compared exactly.  Rows are as in ``near_copies``."""
+    names = [f"f{w}" for w in range(WORDS)]
+
+    def sketches(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            cols = list(zip(*[(*sketch(v), len(v)) for v in sets], strict=True)) or [[]] * (WORDS + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(v) for v in sets], pa.binary()), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "digest", *names, "n"])
+
+    def shingles(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(v) for v in sets], pa.binary()), pa.array([v.tobytes() for v in sets], pa.binary())], names=["digest", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = settle(texts.mapInArrow(sketches, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in names) + ", n long"))
+    classes = rows.groupBy("digest", *names, "n").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id())
+    classes = settle(classes, shuffled=True)
+    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9))
+    smallest = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else np.iinfo(np.int64).max  # of unequal sets that similar
+    keyed = classes.filter(F.col("n") >= smallest).select("cid", "n", *names, F.explode(F.array(step, step + 1)).alias("size"))
+
+    def members(b):
+        lists = b.column(0)
+        m, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        f = [m.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]
+        cid, n, chunk = (m.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "n", "chunk"))
+        return m, f, cid, n, chunk, zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+
+    def propose(batches):
+        for b in batches:
+            _, f, cid, n, _, groups = members(b)
+            for s, e in groups:
+                order = np.argsort(f[0][s:e], kind="stable") + s
+                g, c, k, forest = [x[order] for x in f], cid[order], n[order], Forest(e - s)
+                first, whole = safe_budget(similarity, int(k.min()))
+                for i, j in trie_pairs(g[0], np.array([0, e - s]), first, leaf=512):
+                    fit = np.minimum(k[i], k[j]) >= similarity * np.maximum(k[i], k[j]) - 1e-9
+                    i, j = i[fit], j[fit]
+                    near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in g) <= whole
+                    if near.any():
+                        forest.add(i[near], j[near])
+                t = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c[t[:, 0]]), pa.array(c[t[:, 1]])], names=["a", "b"])
+
+    def verify(batches):
+        for b in batches:
+            m, f, cid, n, chunk, groups = members(b)
+            sets, across = m.field("shingles"), b.column(1)
+            for g, (s, e) in enumerate(groups):
+                order = np.argsort(n[s:e], kind="stable") + s
+                v = [np.frombuffer(sets[int(i)].as_py(), dtype="<u8") for i in order]
+                w, k, c, d = np.stack([x[order] for x in f]), n[order], cid[order], chunk[order]
+                tree, out = np.arange(e - s), []
+                for i in range(e - s - 1):
+                    hi = int(np.searchsorted(k, k[i] / similarity + 1e-9, side="right"))
+                    near = np.bitwise_count(w[:, i + 1 : hi] ^ w[:, i, None]).sum(axis=0, dtype=np.int64) <= safe_budget(similarity, int(k[i]))[1]
+                    if across[g].as_py():
+                        near &= d[i + 1 : hi] != d[i]
+                    for j in (np.flatnonzero(near & (tree[i + 1 : hi] != tree[i])) + i + 1).tolist():
+                        if tree[i] == tree[j]:
+                            continue
+                        both = len(np.intersect1d(v[i], v[j], assume_unique=True))
+                        if both * (1 + similarity) >= similarity * (len(v[i]) + len(v[j])) - 1e-9:
+                            tree[tree == tree[j]] = tree[i]
+                            out.append((i, j))
+                t = np.array(out, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c[t[:, 0]]), pa.array(c[t[:, 1]])], names=["a", "b"])
+
+    proposed = bounded_groups(keyed, ["size"], [*names, "n", "cid"], "cid", cap).select("members").mapInArrow(propose, "a long, b long")
+    maybe = settle(connected_components(proposed).withColumnRenamed("node", "cid").withColumnRenamed("component", "family").join(classes, "cid"), shuffled=True)
+    ids = maybe.select("least").distinct()
+    some = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi")
+    if not maybe.filter("least is null").isEmpty():
+        some = some.unionByName(texts.filter("doc_id is null"))
+    sets = settle(maybe.join(some.mapInArrow(shingles, "digest binary, shingles binary"), "digest").dropDuplicates(["cid"]))
+    links = bounded_groups(sets, ["family"], [*names, "n", "cid", "shingles"], "cid", part).select("members", "across").mapInArrow(verify, "a long, b long")
+    parts = connected_components(links)
+    named = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    lookup = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
+    return fewer(rows.join(lookup, "digest").select("doc_id", "component_id"))
+
+
+def _digest(v: np.ndarray) -> bytes:
+    return hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each group of near copies (see ``near_copies``): the one whose doc_id names the component.
+    """``docs`` with one row for each group of copies (see ``similar_copies``): the one whose doc_id names the component.
 
     Rows with a null doc_id cannot be told apart and all stay.  Of rows that share a doc_id, one stays if any of them
     leads a group."""
-    near = settle(near_copies(docs, similarity, shingle).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
+    near = settle(similar_copies(docs, similarity, shingle).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
     ids = near.groupBy("doc_id").agg(F.bool_or("lead").alias("lead"), F.count("*").alias("n"))
     kept = fewer(docs.join(ids.filter("not lead").select("doc_id").hint("merge"), "doc_id", "left_anti"), 4)
     again = settle(ids.filter("lead and n > 1").select("doc_id"))

@@ -99,6 +99,43 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert all(got[2000 + i] == 2000 + i and got[i] == i for i in range(60))
 
 
+def jaccard_components(rows, similarity=0.8, shingle=5):
+    """Components over all pairs of word shingle sets of at least this Jaccard similarity, as {doc_id: smallest}."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in words]
+    comp = [i for i, _ in rows]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if comp[i] != comp[j] and min(len(a), len(sets[j])) >= similarity * max(len(a), len(sets[j])) - 1e-9 and len(a & sets[j]) >= similarity * len(a | sets[j]) - 1e-9:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    return dict(zip([i for i, _ in rows], comp, strict=True))
+
+
+@pytest.mark.parametrize("part", [512, 7])
+def test_links_are_those_of_the_jaccard_similarity(spark, part):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 100000, n)]
+    rows = []
+    for cut, kept in ((1, 9), (3, 19), (20, 100), (25, 100), (30, 100), (40, 100), (21, 104)):  # a text of ``kept`` words and its first ones
+        for _ in range(25):
+            w = word(kept)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: kept - cut]))]
+    chain = word(400)  # neighbours at 0.88 or so, ends unlike
+    rows += [(10000 + i, " ".join(chain[i * 8 : i * 8 + 130])) for i in range(30)]
+    want = jaccard_components(rows)
+    assert len(set(want.values())) > 100 and {want[2 * i + 1] == 2 * i for i in range(25)} == {True}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_copies(docs, part=part).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
+
+
+def test_kept_documents_of_a_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = jaccard_components([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
+
+
 @pytest.mark.parametrize("n,cap,target", [(3000, 8192, 4096), (3000, 64, 4096), (2000, 256, 2)])
 def test_links_span_all_near_pairs(spark, n, cap, target):
     rng = np.random.default_rng(n + cap)

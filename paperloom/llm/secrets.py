@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame expressions and JVM models only.
 
-Candidates are strings that look like credentials: long tokens with digits, values assigned to a name, private key
-headers.  Their features are length, transitions between classes of characters, how much of them a dictionary covers, the path
+Candidates are strings that look like credentials: long tokens with digits, values assigned to a name, private
+keys.  Their features are length, transitions between classes of characters, how much of them a dictionary covers, the path
 they come from (``source``), and the words before them.  The forest is trained on labelled findings; without any,
 on findings that are generated from the formats of public credential kinds and of their common look-alikes."""
 
@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from .common import fewer, settle
 
 _TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-_VALUE = r"(?<=[A-Za-z][\"']{0,1} {0,1}[:=] {0,1}[\"']{0,1})(?<![A-Za-z0-9+/_\-.])[^\s\"'`,;<>(){}]{8,}+"
-_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+#: Between a name and its value: a sign of assignment, runs of spaces and tabs, quotes.
+_SIGN = r"[0-9_]{0,8}[\"']{0,1}[ \t]{0,16}[:=]{1,3}>{0,1}[ \t]{0,16}[\"']{0,1}"
+# The single character before a value is looked at first, as it is cheap.
+_VALUE = rf"(?<=[:=> \t\"'])(?<=[A-Za-z]{_SIGN})(?<![A-Za-z0-9+/_\-.])(?!=)[^\s\"'`,;<>(){{}}]{{8,}}+"
+# To the END line; without one, lines of base64.
+_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^\-]{0,16384}+(?:-(?!----)[^\-]{0,16384}+){0,64}+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/]{40,128}+={0,2}){0,256}+)"
 CANDIDATE = f"(?:{_KEY}|{_VALUE}|{_TOKEN})"
 #: Every candidate holds one of these characters, or is a key header; a scan for them is cheap.
 HINT = "[0-9:=]|-----BEGIN"
-CONTEXT = 48  # characters before a candidate that its neighbouring words are taken from
+CONTEXT = 80  # characters before a candidate that its neighbouring words are taken from
 
 #: Formats of credentials, as (kind, pattern of the whole candidate).
 KINDS = [
@@ -86,9 +90,9 @@ def features(found: DataFrame) -> DataFrame:
         "f_look_alike": (kind == "uuid").cast("double"),
         "f_path_test": F.regexp_like(path, F.lit("test|spec|example|sample|fixture|doc|mock")).cast("double"),
         "f_path_code": F.regexp_like(path, F.lit("config|env|deploy|secret|settings|\\.ya?ml|\\.json|\\.py|\\.js")).cast("double"),
-        "f_for": F.regexp_like(before, F.lit(f"(?:{FOR})[^a-z0-9]{{0,6}}$")).cast("double"),
-        "f_against": F.regexp_like(before, F.lit(f"(?<![a-z])(?:{AGAINST})[^a-z0-9]{{0,6}}$")).cast("double"),
-        "f_assigned": F.regexp_like(before, F.lit("[:=][ \"']{0,2}$")).cast("double"),
+        "f_for": F.regexp_like(before, F.lit(f"(?:{FOR})(?:[^a-z0-9]{{0,6}}|{_SIGN})$")).cast("double"),
+        "f_against": F.regexp_like(before, F.lit(f"(?<![a-z])(?:{AGAINST})(?:[^a-z0-9]{{0,6}}|{_SIGN})$")).cast("double"),
+        "f_assigned": F.regexp_like(before, F.lit("[:=]>{0,1}[ \t\"']{0,17}$")).cast("double"),
         "f_repeat": F.regexp_count(s, F.lit("(.)\\1")) / n,
     }
     return found.withColumns({c: e.cast("double") if c != "kind" else e for c, e in columns.items()})

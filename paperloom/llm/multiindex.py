@@ -3,7 +3,7 @@
 Each half of the vectors has its own codebook; the pair of codes is a vector's cell.  A query sorts the centroids of both
 halves by distance and takes pairs off a heap in order of summed distance until the cells hold enough entries; these
 are reranked by exact distance.  How much is enough is measured, not guessed: on the training sample, the share of
-entries that must be visited to reach the wanted recall against brute force.
+entries that must be visited to reach the wanted recall against brute force.  The sample is drawn from the indexed rows.
 
 Codebooks are fitted on a bounded sample (``TRAIN`` vectors); every vector is indexed.  Of equal vectors the k + 1 with
 the smallest ids are indexed, as no other can be among the k nearest of any query.  Cells are gathered to blocks of
@@ -101,7 +101,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
         return spark.createDataFrame([], schema)
     dim, total = int(common[0]), int(common[1])
     base = base.filter(F.size("v") == dim)
-    sample = base.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(TRAIN).collect()
+    least = Window.partitionBy("v").orderBy("vec_id")
+    unique = settle(base.select("vec_id", "v").distinct().withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1).select("vec_id", "v"))
+    sample = unique.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(TRAIN).collect()
     x = np.array([r[0] for r in sample], dtype=np.float64)
     half, size = dim // 2, max(2, min(256, int(total**0.5 / 4)))
     books = [centroids(x[:, :half], size), centroids(x[:, half:], size)]
@@ -118,8 +120,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
             cell = nearest_centroid(y[:, :half], books[0]) * wide + nearest_centroid(y[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), pa.array(cell, pa.int64())], names=["vec_id", "vec", "cell"])
 
-    least = Window.partitionBy("v").orderBy("vec_id")
-    unique = base.select("vec_id", "v").distinct().withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1).select("vec_id", "v")
     index = settle(unique.mapInArrow(assign, "vec_id long, vec binary, cell long"), shuffled=True)
     counts = np.zeros(len(books[0]) * wide, dtype=np.int64)
     for cell, n in index.groupBy("cell").count().collect():  # at most one row per pair of centroids

@@ -57,6 +57,24 @@ def test_recall_with_larger_codebooks(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 3000] == [0, *range(3001, 3007)]
 
 
+def test_recall_with_a_third_of_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 64)).astype(np.float32)
+    copied = rng.random(20000) < 1 / 3
+    x[copied] = x[np.flatnonzero(copied)[0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    asked = [i for i in range(0, 20000, 80) if not copied[i]]
+    got = {}
+    for r in multiindex.nearest(df, F.col("vec_id") % 80 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y, hits = x.astype(np.float64), 0
+    for i in asked:
+        d = ((y - y[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert hits / (10 * len(asked)) >= 0.9
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 5.0]), (3, [1.0, 0.5, 0.0]), (100, [1.0, 0.0, 0.1])]
     odd = [(4, None), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [None, 1.0, 0.0]), (8, [float("inf"), 1.0, 0.0]), (9, [1.0]), (None, [1.0, 0.0, 0.0]), (200, None)]

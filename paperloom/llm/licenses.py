@@ -1,6 +1,7 @@
 """Licence scan by ordered signature rules, in DataFrame expressions only.
 
-A rule is a regular expression with a label, a priority and a keyword.  A text without the keywords is never matched
+A rule is a regular expression with a label, a priority and keywords: single words that every match holds, as any gap may
+separate words.  A text without the keywords is never matched
 against the rules; where a keyword occurs, its rules run and every match is an interval of the text.  An interval inside
 another one is suppressed if the other's rule has the higher priority, or the same and the interval is longer or the rule
 comes first.  What remains labels the document."""
@@ -19,7 +20,8 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 #: Licences as (label, keyword, how texts name them).  A space stands for any gap between words.
 NAMES = [
-    ("mit", "mit", "mit|expat"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
     ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? v?1 1"),
     ("apache", "apache", "apache(?: software)?"),
@@ -51,19 +53,19 @@ NAMES = [
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("eupl-1.2", "european", "european union public(?: licen[cs]e)?(?: v?1 [12])?"),
-    ("ofl-1.1", "open font", "sil open font(?: license)?(?: version)?(?: 1 1)?"),
+    ("ofl-1.1", "font", "sil open font(?: license)?(?: version)?(?: 1 1)?"),
     ("odbl-1.0", "database", "open database(?: license)?(?: v?1 0)?"),
     ("python-2.0", "python", "python software foundation"),
     ("postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl"),
     ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "by-nc-nd", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "by-nc-sa", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "by-nc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "by-nd", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "by-sa", "cc by sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc", "cc by(?: [1-4] [05])?"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
     ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?"),
     ("cc-by", "commons", "creative commons attribution(?: [1-4] [05])?"),
@@ -84,17 +86,17 @@ FORMS = [
 
 #: Signatures that stand alone, as (label, keyword, pattern, priority).
 ALONE = [
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 9),
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 9),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 9),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 9),
-    ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation", 9),
-    ("apache-2.0", "apache.org", "www apache org licenses license 2 0", 9),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 9),
+    ("gpl", "foundation", "under the terms of the gnu general public license as published by the free software foundation", 9),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0", 9),
     ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] [05]", 8),
     ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] [05]", 8),
     ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] [05]", 8),
     ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 8),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain", 5),
-    ("proprietary", "all rights", "all rights reserved", 3),
+    ("public-domain", "domain", "(?:in|into|to) the public domain", 5),
+    ("proprietary", "reserved", "all rights reserved", 3),
     ("warranty-disclaimer", "warrant", "without warrant(?:y|ies) of any kind", 2),
 ]
 

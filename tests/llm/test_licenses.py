@@ -60,6 +60,21 @@ def test_odd_rows(docs):
     assert licenses.scan(docs.selectExpr("cast(null as bigint) doc_id", "text")).filter("doc_id is null").count() == len(rows)
 
 
+def test_no_match_is_lost_to_the_keywords(spark):
+    texts = [
+        "Licensed under CC BY NC SA 4.0", "Licence CC BY NC", "licensed under cc-by\nnd 3.0", "CC by  SA license", "license CC\nBY_NC ND", "Creative Commons Attribution Non-Commercial 4.0 License", "Expat License",
+        "under the terms of the GNU General Public License as published by the Free\n# Software Foundation", "in the public\ndomain", "All\nrights reserved", "Permission to\nuse, copy, modify, and/or distribute this software for any purpose",
+        "Permission\nis hereby granted, free of charge, to any person obtaining a copy", "SIL Open\nFont License 1.1 licensed", "www apache org licenses LICENSE 2 0",
+    ]
+    assert all(re.fullmatch("[a-z0-9]+", w) for _, words, _, _ in licenses.rules() for w in words)
+    every = [(label, rank, re.compile(p, re.A)) for label, _, rank, p in licenses.rules()]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        found = [(m.start(), m.end(), rank, label) for label, rank, p in every for m in p.finditer(texts[r.doc_id])]
+        best = {f for f in found if not any(g[0] <= f[0] and f[1] <= g[1] and (g[2], g[1] - g[0]) > (f[2], f[1] - f[0]) and g[2] >= f[2] for g in found)}
+        assert best and set(map(tuple, r.spans)) <= best and {(s, e, p) for s, e, p, _ in best} == {(m.s, m.e, m.p) for m in r.spans}, texts[r.doc_id]
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     rows = queries.op7_licenses(spark, sf).collect()

@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) joined to ``least`` (u, m, n) on u.  Nodes with over a thousandth of the edges, at most a thousand by that
+    count, are broadcast, so the edges of a hub are not gathered in one task."""
+    hubs = F.broadcast(least.filter(F.col("n") > max(total // 1000, 1000)).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node of ``edges`` (a long, b long): node, component (the smallest node reachable).
 
     Alternates large-star and small-star steps: each node links its larger, then its smaller neighbours to the least
     neighbour it knows, until every edge points at its component's least node.  Least neighbours are pre-aggregated
-    before the shuffle, so a hub costs no task more than its share; the edges are written once per round."""
+    before the shuffle and a hub's is broadcast, so a hub costs no task more than its share; the edges are written once
+    per round."""
     e = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), shuffled=True)
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("mark")
     seen = e.agg(mark).head()[0]
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), least, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = settle(small, shuffled=True)
         now = e.agg(mark).head()[0]
         if now == seen:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bounded_groups
+from .blocks import linked_groups, members
 from .common import fewer, settle
 from .graph import Forest, connected_components
 
@@ -56,11 +56,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: int, leaf: int = 8, width: int = 1 << 17):
+def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: np.ndarray, leaf: int = 8, width: int = 1 << 17):
     """Index pairs (i < j) of near values, per trie, in slices.
 
     ``values`` (unsigned 64-bit) are sorted inside each trie, ``roots`` holds where each trie begins and the end.
-    A frontier entry is a pair of nodes, each a range of values with a common prefix, and their differing bits."""
+    A frontier entry is a pair of nodes, each a range of values with a common prefix, and their differing bits; it is
+    dropped where these exceed ``budget`` at its depth (0 to 64).  Pairs of few values are compared by the last budget."""
     ones = np.zeros((BITS, len(values) + 1), dtype=np.int32)
     for d in range(BITS):
         np.cumsum((values >> np.uint64(BITS - 1 - d)) & np.uint64(1), out=ones[d, 1:])
@@ -75,7 +76,7 @@ def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: int, leaf: int = 8
             continue
         done = ((b - a) * (d - c) <= leaf * leaf) | (depth == BITS)
         if done.any():
-            yield from _leaves(values, a[done], b[done], c[done], d[done], budget, width)
+            yield from _leaves(values, a[done], b[done], c[done], d[done], int(budget[-1]), width)
             a, b, c, d, diff = (x[~done] for x in (a, b, c, d, diff))
         if not len(a):
             continue
@@ -85,7 +86,7 @@ def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: int, leaf: int = 8
         cross = ~same
         nodes = [(a, m, c, n, diff), (m, b, n, d, diff), (a, m, n, d, diff + 1), (m[cross], b[cross], c[cross], n[cross], diff[cross] + 1)]
         a, b, c, d, diff = (np.concatenate(x) for x in zip(*nodes, strict=True))
-        keep = (a < b) & (c < d) & (diff <= budget) & ~((a == c) & (b - a == 1) & (d - c == 1))
+        keep = (a < b) & (c < d) & (diff <= budget[depth + 1]) & ~((a == c) & (b - a == 1) & (d - c == 1))
         if keep.any():
             stack.append((depth + 1, a[keep], b[keep], c[keep], d[keep], diff[keep]))
 
@@ -140,23 +141,22 @@ def near_links(fps: DataFrame, budget: int, n: int, cap: int = 1 << 13, target:
 
     def run(batches):
         for b in batches:
-            lists = b.column(0)
-            held, values = [], lists.flatten().field(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            for s, e in zip(ends[:-1], ends[1:], strict=True):
-                held.append(np.sort(values[s:e]))
+            held = list(members(b))
             for at in range(0, len(held), 2048):
-                some = held[at : at + 2048]
-                v, roots = np.concatenate(some), np.cumsum([0, *map(len, some)])
+                some = [(g["fp"].view(np.uint64), g["side"], g["comp"], across) for g, across in held[at : at + 2048]]
+                order = [np.argsort(v, kind="stable") for v, _, _, _ in some]
+                v, side, comp = (np.concatenate([x[k][o] for x, o in zip(some, order, strict=True)]) for k in range(3))
+                v, roots = v.copy(), np.cumsum([0, *map(len, order)])
+                met = np.repeat([not across for *_, across in some], np.diff(roots))
                 forest = Forest(len(v))
-                for i, j in trie_pairs(v, roots, budget):
-                    forest.add(i, j)
+                for i, j in trie_pairs(v, roots, np.full(BITS + 1, budget)):
+                    ok = met[i] | ((side[i] != side[j]) & (comp[i] != comp[j]))
+                    forest.add(i[ok], j[ok])
                 e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
                 s = v.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s[e[:, 0]]), pa.array(s[e[:, 1]])], names=["a", "b"])
 
-    groups = bounded_groups(rows, ["r", "k"], ["fp"], "fp", cap)
-    return groups.select("members").mapInArrow(run, "a long, b long")
+    return linked_groups(rows, ["r", "k"], ["fp"], "fp", cap, run)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -176,6 +176,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataF
 
 
 WORDS = 4  # 64-bit words of a wide fingerprint
+MISS = 0.002  # share of pairs at the wanted similarity that no table may propose, at most
+SMALL = 25  # sets below this many shingles enter more tables, as their bits differ more often
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -195,12 +197,6 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([h(line[a:b], 42) for a, b in zip(start, end, strict=True)], dtype="<u8"))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
-    """``sketch`` of the text's shingle set, and the number of distinct shingles."""
-    v = shingle_set(text, shingle)
-    return (*sketch(v), len(v))
-
-
 def sketch(v: np.ndarray) -> tuple[int, ...]:
     """SimHash of a *set* of shingles in 256 bits, as four signed words; zeros for an empty set.
 
@@ -215,172 +211,174 @@ def sketch(v: np.ndarray) -> tuple[int, ...]:
     return (*np.packbits(total * 2 > len(v), axis=1, bitorder="little").view("<i8")[:, 0].tolist(),)
 
 
-def wide_budget(similarity: float) -> tuple[int, int]:
-    """Differing bits that sets of this Jaccard similarity stay within: in the first word (five standard deviations above the
-    mean), and in all (two)."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    within = lambda n, z: int(n * p + z * (n * p * (1 - p)) ** 0.5)
-    return within(BITS, 5.0), within(BITS * WORDS, 2.0)
+def bit_rate(similarity: float, n: int) -> float:
+    """How often a bit differs between sets of this similarity, the smaller of ``n`` shingles; a little more where sets are small."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 0.2 / max(n, 1)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cap: int = 1 << 13) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, component_id, linking documents by the Jaccard similarity of their shingles.
+def safe_budget(similarity: float, n: int, bits: int = BITS * WORDS) -> int:
+    """Differing bits that sets of at least this similarity stay within: five standard deviations above the mean."""
+    p = bit_rate(similarity, n)
+    return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
 
-    Sets that similar differ in size by at most that factor, so a document meets those of its size class and the next.
-    There a trie self-join over the first words, with the budget of ``wide_budget``, finds candidates, and all 256 bits
-    decide.  The estimate finds about 98 of 100 pairs at the given similarity and more above it; some pairs a tenth
-    below it link too.  Nulls, repeats and empty tables: see ``near_duplicates``; texts without words link with each
-    other."""
-    first, whole = wide_budget(similarity)
-    names = [f"f{w}" for w in range(WORDS)]
 
-    def sketch(batches):
+def tables(n: int, similarity: float, target: int) -> tuple[list[tuple[int, ...]], int]:
+    """Masks of the bits that must agree, as signed words, for ``n`` sketches; and how many of them larger sets enter.
+
+    Each mask samples bits of the whole sketch, as many as leave about ``target`` sketches to a trie.  There are enough
+    masks for a pair at the wanted similarity to agree under one of them but for ``MISS`` of such pairs."""
+    wide = max(4, int(np.ceil(np.log2(max(2, n / target)))))
+    need = lambda size: int(np.ceil(np.log(MISS) / np.log1p(-((1 - bit_rate(similarity, size)) ** wide))))
+    draw, out = np.random.default_rng(wide), []
+    for _ in range(max(need(4), need(SMALL))):
+        bits = np.zeros(BITS * WORDS, dtype=np.uint8)
+        bits[draw.choice(BITS * WORDS, wide, replace=False)] = 1
+        out.append((*np.packbits(bits, bitorder="little").view("<i8").tolist(),))
+    return out, need(int(SMALL * similarity))
+
+
+def _digest(v: np.ndarray) -> bytes:
+    return hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+
+
+def _edges(ids: np.ndarray, pairs: list) -> pa.RecordBatch:
+    t = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[t[:, 0]]), pa.array(ids[t[:, 1]])], names=["a", "b"])
+
+
+def _proposer(similarity: float, names: list[str]):
+    """Links inside the tries of a batch: pairs whose first words stay within a budget at every depth, and whose sketches do."""
+
+    def propose(batches):
         for b in batches:
-            rows = [wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            cols = list(zip(*rows, strict=True)) or [[]] * (WORDS + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names, "n"])
+            for g, across in members(b):
+                order = np.argsort(g["f0"].view(np.uint64), kind="stable")
+                f = [g[c].view(np.uint64)[order] for c in names]
+                ids, k, side, comp = (g[c][order] for c in ("cid", "n", "side", "comp"))
+                least, forest = int(k.min()), Forest(len(order))
+                first = np.array([safe_budget(similarity, least, d) for d in range(BITS + 1)])
+                whole = safe_budget(similarity, least)
+                for i, j in trie_pairs(f[0], np.array([0, len(order)]), first, leaf=64):
+                    near = np.minimum(k[i], k[j]) >= similarity * np.maximum(k[i], k[j]) - 1e-9
+                    if across:
+                        near &= (side[i] != side[j]) & (comp[i] != comp[j])
+                    i, j = i[near], j[near]
+                    near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f) <= whole
+                    if near.any():
+                        forest.add(i[near], j[near])
+                yield _edges(ids, forest.edges)
 
-    kind = "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", n long"
-    rows = settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, kind))
-    classes = rows.groupBy(*names, "n").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id())
-    classes = settle(classes, shuffled=True)
-    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9))
-    keyed = classes.filter("n > 0").select("cid", *names, F.explode(F.array(step, step + 1)).alias("size"))
+    return propose
 
-    def run(batches):
+
+def _verifier(similarity: float, names: list[str]):
+    """Links inside candidate families by the exact similarity of shingle sets: each pair that sketches do not rule out and that no
+    verified link connects yet."""
+
+    def verify(batches):
         for b in batches:
-            lists = b.column(0)
-            m, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            f = [m.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]
-            cid = m.field("cid").to_numpy(zero_copy_only=False)
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                order = np.argsort(f[0][s:e], kind="stable") + s
-                g, c, forest = [x[order] for x in f], cid[order], Forest(e - s)
-                for i, j in trie_pairs(g[0], np.array([0, e - s]), first, leaf=512):
-                    bits = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in g)
-                    if (bits <= whole).any():
-                        forest.add(i[bits <= whole], j[bits <= whole])
-                t = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c[t[:, 0]]), pa.array(c[t[:, 1]])], names=["a", "b"])
-
-    links = bounded_groups(keyed, ["size"], [*names, "cid"], "cid", cap).select("members").mapInArrow(run, "a long, b long")
-    parts = connected_components(links)
-    named = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lookup = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*names, "n", "component_id")
-    return fewer(rows.join(lookup, [*names, "n"]).select("doc_id", "component_id"))
+            for g, across in members(b):
+                order = np.argsort(g["n"], kind="stable")
+                w = np.stack([g[c].view(np.uint64)[order] for c in names])
+                ids, k, side, comp = (g[c][order] for c in ("cid", "n", "side", "comp"))
+                raw, sets = g["shingles"], {}
+
+                def of(i):
+                    if i not in sets:
+                        sets[i] = np.frombuffer(raw[int(order[i])].as_py(), dtype="<u8")
+                    return sets[i]
+
+                _, tree = np.unique(comp, return_inverse=True)
+                out = []
+                for i in range(len(order) - 1):
+                    hi = int(np.searchsorted(k, k[i] / similarity + 1e-9, side="right"))
+                    near = np.bitwise_count(w[:, i + 1 : hi] ^ w[:, i, None]).sum(axis=0, dtype=np.int64) <= safe_budget(similarity, int(k[i]))
+                    if across:
+                        near &= side[i + 1 : hi] != side[i]
+                    for j in (np.flatnonzero(near & (tree[i + 1 : hi] != tree[i])) + i + 1).tolist():
+                        if tree[i] == tree[j]:
+                            continue
+                        both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                        if both * (1 + similarity) >= similarity * int(k[i] + k[j]) - 1e-9:
+                            tree[tree == tree[j]] = tree[i]
+                            out.append((i, j))
+                yield _edges(ids, out)
 
+    return verify
 
-def safe_budget(similarity: float, n: int) -> tuple[int, int]:
-    """Differing bits, in the first word and in all, that sets of at least this similarity stay within, the smaller of ``n``
-    shingles: five standard deviations above the mean.  A bit differs a little more often where the sets are small."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 0.2 / max(n, 1)
-    within = lambda bits: int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
-    return within(BITS), within(BITS * WORDS)
 
+def _text_id(doc_id, text):
+    """Names a row's content: rows that agree in it are repeats of one document."""
+    return F.xxhash64(doc_id, text)
 
-def similar_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cap: int = 1 << 13, part: int = 1 << 9) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, component_id, linking documents whose shingle sets have at least this Jaccard
-    similarity, and no others.
 
-    Candidates are found as in ``near_copies``, within the wider ``safe_budget``, and joined to candidate components.  The
-    shingle sets of those documents alone are then gathered, and inside a component each pair that its sketches do not
-    rule out and no verified link connects yet is compared exactly.  Rows are as in ``near_copies``."""
+def _copy_groups(docs: DataFrame, similarity: float, shingle: int, target: int, cap: int, part: int, heavy: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, tid (see ``_text_id``), lead (struct none, doc_id, tid of the row that stands for its group)."""
     names = [f"f{w}" for w in range(WORDS)]
 
     def sketches(batches):
         for b in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             cols = list(zip(*[(*sketch(v), len(v)) for v in sets], strict=True)) or [[]] * (WORDS + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(v) for v in sets], pa.binary()), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "digest", *names, "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_digest(v) for v in sets], pa.binary()), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "tid", "digest", *names, "n"])
 
     def shingles(batches):
         for b in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(v) for v in sets], pa.binary()), pa.array([v.tobytes() for v in sets], pa.binary())], names=["digest", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = settle(texts.mapInArrow(sketches, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in names) + ", n long"))
-    classes = rows.groupBy("digest", *names, "n").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("tid", _text_id("doc_id", "text"))
+    rows = settle(texts.mapInArrow(sketches, "doc_id long, tid long, digest binary, " + ", ".join(f"{c} long" for c in names) + ", n long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid"))
+    classes = rows.groupBy("digest", *names, "n").agg(first.alias("least")).withColumn("cid", F.monotonically_increasing_id())
     classes = settle(classes, shuffled=True)
-    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9))
     smallest = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else np.iinfo(np.int64).max  # of unequal sets that similar
-    keyed = classes.filter(F.col("n") >= smallest).select("cid", "n", *names, F.explode(F.array(step, step + 1)).alias("size"))
-
-    def members(b):
-        lists = b.column(0)
-        m, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        f = [m.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]
-        cid, n, chunk = (m.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "n", "chunk"))
-        return m, f, cid, n, chunk, zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-
-    def propose(batches):
-        for b in batches:
-            _, f, cid, n, _, groups = members(b)
-            for s, e in groups:
-                order = np.argsort(f[0][s:e], kind="stable") + s
-                g, c, k, forest = [x[order] for x in f], cid[order], n[order], Forest(e - s)
-                first, whole = safe_budget(similarity, int(k.min()))
-                for i, j in trie_pairs(g[0], np.array([0, e - s]), first, leaf=512):
-                    fit = np.minimum(k[i], k[j]) >= similarity * np.maximum(k[i], k[j]) - 1e-9
-                    i, j = i[fit], j[fit]
-                    near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in g) <= whole
-                    if near.any():
-                        forest.add(i[near], j[near])
-                t = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c[t[:, 0]]), pa.array(c[t[:, 1]])], names=["a", "b"])
-
-    def verify(batches):
-        for b in batches:
-            m, f, cid, n, chunk, groups = members(b)
-            sets, across = m.field("shingles"), b.column(1)
-            for g, (s, e) in enumerate(groups):
-                order = np.argsort(n[s:e], kind="stable") + s
-                v = [np.frombuffer(sets[int(i)].as_py(), dtype="<u8") for i in order]
-                w, k, c, d = np.stack([x[order] for x in f]), n[order], cid[order], chunk[order]
-                tree, out = np.arange(e - s), []
-                for i in range(e - s - 1):
-                    hi = int(np.searchsorted(k, k[i] / similarity + 1e-9, side="right"))
-                    near = np.bitwise_count(w[:, i + 1 : hi] ^ w[:, i, None]).sum(axis=0, dtype=np.int64) <= safe_budget(similarity, int(k[i]))[1]
-                    if across[g].as_py():
-                        near &= d[i + 1 : hi] != d[i]
-                    for j in (np.flatnonzero(near & (tree[i + 1 : hi] != tree[i])) + i + 1).tolist():
-                        if tree[i] == tree[j]:
-                            continue
-                        both = len(np.intersect1d(v[i], v[j], assume_unique=True))
-                        if both * (1 + similarity) >= similarity * (len(v[i]) + len(v[j])) - 1e-9:
-                            tree[tree == tree[j]] = tree[i]
-                            out.append((i, j))
-                t = np.array(out, dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c[t[:, 0]]), pa.array(c[t[:, 1]])], names=["a", "b"])
-
-    proposed = bounded_groups(keyed, ["size"], [*names, "n", "cid"], "cid", cap).select("members").mapInArrow(propose, "a long, b long")
-    maybe = settle(connected_components(proposed).withColumnRenamed("node", "cid").withColumnRenamed("component", "family").join(classes, "cid"), shuffled=True)
-    ids = maybe.select("least").distinct()
-    some = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi")
-    if not maybe.filter("least is null").isEmpty():
-        some = some.unionByName(texts.filter("doc_id is null"))
+    able = classes.filter(F.col("n") >= smallest)
+    masks, large = tables(able.count(), similarity, target)
+    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(names, mask, strict=True)]) for t, mask in enumerate(masks)]
+    keyed = able.select("cid", "n", *names, F.explode(F.when(F.col("n") < SMALL, F.array(*keys)).otherwise(F.array(*keys[:large]))).alias("k"))
+    proposed = connected_components(linked_groups(keyed, ["k"], ["cid", "n", *names], "cid", cap, _proposer(similarity, names)))
+    maybe = settle(proposed.withColumnRenamed("node", "cid").withColumnRenamed("component", "family").join(classes, "cid"), shuffled=True)
+    some = texts.join(maybe.select(F.col("least.tid").alias("tid")).distinct(), "tid", "left_semi").select("doc_id", "text")
     sets = settle(maybe.join(some.mapInArrow(shingles, "digest binary, shingles binary"), "digest").dropDuplicates(["cid"]))
-    links = bounded_groups(sets, ["family"], [*names, "n", "cid", "shingles"], "cid", part).select("members", "across").mapInArrow(verify, "a long, b long")
+    links = linked_groups(sets, ["family"], [*names, "n", "cid", "shingles"], "cid", part, _verifier(similarity, names), F.col("n"), heavy)
     parts = connected_components(links)
     named = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lookup = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
-    return fewer(rows.join(lookup, "digest").select("doc_id", "component_id"))
+    lookup = named.join(named.groupBy("component").agg(F.min("least").alias("lead")), "component").select("digest", "lead")
+    return rows.join(lookup, "digest").select("doc_id", "tid", "lead")
 
 
-def _digest(v: np.ndarray) -> bytes:
-    return hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+def similar_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, target: int = 1 << 9, cap: int = 1 << 12, part: int = 1 << 9, heavy: int = 1 << 22) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, component_id, linking documents whose shingle sets have at least this Jaccard
+    similarity, and no others.
+
+    Candidates come from 256-bit SimHash of the sets.  The tries are entered through sampled bits that must agree (see ``tables``);
+    the traversal drops a pair of nodes whose differing bits exceed what sets that similar stay within at that depth,
+    and all 256 bits decide.  Candidates form families; the shingle sets of their documents alone are gathered, and links
+    inside a family are verified exactly.  ``target`` is the wanted size of a trie, ``cap``, ``part`` and ``heavy`` bound what a task
+    compares at once (sketches, shingle sets, shingles).
+
+    Texts without words link with each other, sets too small for an unequal one to be that similar only with equal ones.  Null
+    doc_ids are kept, take part in links and never name a component unless it has no other (then null).  Repeated rows
+    are kept.  An empty table gives an empty result; other columns are ignored."""
+    return fewer(_copy_groups(docs, similarity, shingle, target, cap, part, heavy).select("doc_id", F.col("lead.doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each group of copies (see ``similar_copies``): the one whose doc_id names the component.
-
-    Rows with a null doc_id cannot be told apart and all stay.  Of rows that share a doc_id, one stays if any of them
-    leads a group."""
-    near = settle(similar_copies(docs, similarity, shingle).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("lead")).filter("doc_id is not null"), shuffled=True)
-    ids = near.groupBy("doc_id").agg(F.bool_or("lead").alias("lead"), F.count("*").alias("n"))
-    kept = fewer(docs.join(ids.filter("not lead").select("doc_id").hint("merge"), "doc_id", "left_anti"), 4)
-    again = settle(ids.filter("lead and n > 1").select("doc_id"))
+    """``docs`` with one row for each group of copies (see ``similar_copies``): the one with the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are judged each by its own text, and
+    none is lost that has no copy.  Of rows that agree in both, one stays, the least by a hash of all its columns."""
+    near = _copy_groups(docs, similarity, shingle, 1 << 9, 1 << 12, 1 << 9, 1 << 22)
+    near = near.groupBy("doc_id", "tid").agg(F.bool_or(F.col("lead.tid") == F.col("tid")).alias("lead"), F.count("*").alias("n"))
+    near = settle(near.filter("not lead or n > 1"), shuffled=True)
+    named = docs.withColumn("_tid", _text_id(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    gone = near.select(F.col("tid").alias("_tid")).distinct()
+    kept = fewer(named.join(gone.hint("merge"), "_tid", "left_anti"), 4).select(docs.columns)
+    again = near.filter("lead").select(F.col("tid").alias("_tid"))
     if again.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return kept
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = named.join(again, "_tid", "left_semi").groupBy("_tid").agg(F.min_by(row, F.struct(F.xxhash64(*docs.columns))).alias("_row"))
+    return kept.unionByName(once.select("_row.*"))

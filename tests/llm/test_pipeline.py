@@ -7,7 +7,7 @@ import public_tokenizers as P
 import corpus_pipeline
 from paperloom.llm import common, quality
 from tests.llm.test_mixing import check as check_mix
-from tests.llm.test_simhash import near_components
+from tests.llm.test_simhash import jaccard_components
 from tests.llm.test_tokens import check_packing
 
 
@@ -28,8 +28,9 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in good.collect()} == kept and all(r == rows[r.doc_id] for r in good.collect())
     # 10: the smallest doc_id of each component, unchanged
     left = good.select("doc_id", "text").collect()
-    comp = near_components([r.doc_id for r in left], [r.text for r in left])
-    assert {r.doc_id for r in one.collect()} == set(comp) and one.count() == len(set(comp))
+    leads = set(jaccard_components([(r.doc_id, r.text) for r in left]).values())
+    assert {r.doc_id for r in one.collect()} == leads and one.count() == len(leads)
+    assert all(r == rows[r.doc_id] for r in one.collect())
     # 5: nothing but secrets changes
     before, after = {r.doc_id: r for r in one.collect()}, {r.doc_id: r for r in clean.collect()}
     assert before.keys() == after.keys()

@@ -25,15 +25,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return _MADE[-1]
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete every scratch table of this process and return how many there were.  Call it once results are written: DataFrames
-    that the operators returned read these tables."""
-    made = list(_MADE)
-    for path in made:
+def clear_scratch(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete the scratch tables of this process, but for those that ``keep`` reads, and return how many went.  Call it once
+    results are written: DataFrames that the operators returned read these tables."""
+    read = " ".join(keep.inputFiles()) if keep is not None else ""
+    gone = [p for p in _MADE if p.rsplit("/", 1)[1] not in read]
+    for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         _MADE.remove(path)
-    return len(made)
+    return len(gone)
+
+
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> list:
+    """At most ``n`` rows of ``df`` (without repeated rows), the least by the hash of ``keys``.  A bound on the hash, set from the number of rows, is
+    applied in the tasks first, so about ``n`` rows reach the driver whatever the size of the table."""
+    total = df.count()
+    h = F.xxhash64(*keys)
+    if total > n:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (n + 5 * n**0.5) / total)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), *keys).limit(n).collect()
 
 
 def fewer(df: DataFrame, per_core: int = 1) -> DataFrame:

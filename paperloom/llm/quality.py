@@ -1,26 +1,30 @@
 """Quality classifier by co-training.
 
 Two views of a document are learnt apart: its text (shape of words, repetition, classes of characters) and the metadata
-of its page (source, language, stated length, layout of lines).  Each starts from the labelled rows.  In every round each
-view scores all unlabelled documents, and the ones it is confident of, a fixed number for each class, join the other
-view's training rows with the label it gave them.  At the end both views are calibrated on labelled rows kept apart and
+of its page (source, language, stated length, layout of lines; no word enters it).  Each starts from the labelled rows.
+In every round each view scores all unlabelled documents, and all those it is confident of join the other view's
+training rows with the label it gave them.  At the end both views are calibrated on labelled rows kept apart and
 combined there; the combination scores every document.
 
-The models are fitted on bounded samples: at most ``FIT_ROWS`` labelled rows, and ``PICKS`` pseudo-labelled rows per class, view and
-round, both chosen by hash.  Scoring, candidates for pseudo-labels and the result cover all documents."""
+Labelled rows are bounded: at most ``FIT_ROWS`` of them, chosen by hash, are fitted on the driver.  Pseudo-labelled rows are not:
+every Newton step sums gradient and curvature over all of them in the tasks.  Those of a class weigh ``WEIGHT`` times the
+labelled rows of the class together, so the balance is the same at any number of documents."""
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hash_sample, settle
 
 FIT_ROWS = 20_000
-PICKS = 500
+WEIGHT = 0.5  # of all pseudo-labelled rows of a class, as a share of its labelled rows
 ROUNDS = 2
+STEPS = 3  # Newton steps over pseudo-labelled rows, from the fit before
 CONFIDENT = 0.97
 BINS = 12  # each feature is cut at quantiles of the fitting rows
 SOURCES = 64  # buckets that sources are hashed to
@@ -84,9 +88,15 @@ def meta_view(text: str | None, lang: str | None, source: str | None, stated: fl
 class View:
     """Additive logistic model over quantile bins of each feature (two hashed features are categories)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, categories: tuple[int, ...] = ()):
+    def __init__(self, x: np.ndarray, y: np.ndarray, categories: tuple[int, ...] = ()):
         self.cuts = [np.unique(np.floor(x[:, j]) + 0.5) if j in categories else np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        self.beta = _logistic(self.bins(x), y, weight, 1.0)
+        self.beta = _logistic(self.bins(x), y, 1.0)
+
+    def refit(self, x: np.ndarray, y: np.ndarray, more) -> View:
+        """The view fitted to labelled rows and to those that ``more`` sums over, see ``_logistic``."""
+        new = copy.copy(self)
+        new.beta = _logistic(self.bins(x), y, 1.0, STEPS, self.beta, more)
+        return new
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         out, at = np.zeros((len(x), 1 + sum(len(c) + 1 for c in self.cuts)), dtype=np.float32), 1
@@ -100,16 +110,24 @@ class View:
         return self.bins(x) @ self.beta if len(x) else np.zeros(0)
 
 
-def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column, the intercept, is barely shrunk."""
+def _slope(a: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the weighted log likelihood at ``beta``."""
+    p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+    return a.T @ (weight * (y - p)), (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a
+
+
+def _logistic(a: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25, beta: np.ndarray | None = None, more=None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the first column, the intercept, is barely shrunk.  ``more`` gives gradient and
+    curvature of further rows at a point."""
     a = a.astype(np.float64)
-    beta, shrink = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
+    beta, shrink = np.zeros(a.shape[1]) if beta is None else beta, np.full(a.shape[1], ridge)
     shrink[0] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        w = weight * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((a * w[:, None]).T @ a + np.diag(shrink), a.T @ (weight * (y - p)) - shrink * beta)
-        beta += step
+        g, h = _slope(a, y, np.ones(len(y)), beta)
+        if more is not None:
+            g, h = (u + v for u, v in zip((g, h), more(beta), strict=True))
+        step = np.linalg.solve(h + np.diag(shrink), g - shrink * beta)
+        beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
     return beta
@@ -128,14 +146,13 @@ class Model:
         return [1 / (1 + np.exp(-x)) for x in (*z, both)]
 
 
-def _fit(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
-    """parts: (features, labels, weights) of each view; held: labelled rows kept apart, (text, meta, labels)."""
-    views = [View(*parts[0]), View(*parts[1], categories=(0, 1))]
+def _combine(views: list[View], held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
+    """held: labelled rows kept apart, (text, meta, labels)."""
     one = np.ones(len(held[2]))
     z = [v.logit(x) for v, x in zip(views, held[:2], strict=True)]
-    calibration = [_logistic(np.stack([one, x], axis=1), held[2], one, 0.1) for x in z]
+    calibration = [_logistic(np.stack([one, x], axis=1), held[2], 0.1) for x in z]
     z = [np.clip(c[0] + c[1] * x, -30, 30) for c, x in zip(calibration, z, strict=True)]
-    return Model(views, calibration, _logistic(np.stack([one, *z], axis=1), held[2], one, 0.1))
+    return Model(views, calibration, _logistic(np.stack([one, *z], axis=1), held[2], 0.1))
 
 
 def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -181,35 +198,63 @@ def _score_table(views: DataFrame, model: Model) -> DataFrame:
     return views.select("doc_id", "v").mapInArrow(run, "doc_id long, v array<float>, text_score double, meta_score double, score double")
 
 
-def co_train(views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, picks: int = PICKS) -> Model | None:
+def _pseudo_sums(scored: DataFrame, teacher: str, columns: slice, view: View, weights: tuple[float, float], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature at ``beta`` over all rows that ``teacher`` is confident of; ``weights`` of a row labelled 0 and 1.
+
+    Tasks send one sum each, which a few tasks add up for the driver."""
+    wide = len(beta)
+
+    def run(batches):
+        g, h = np.zeros(wide), np.zeros((wide, wide))
+        for b in batches:
+            s = b.column(1).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero((s >= CONFIDENT) | (s <= 1 - CONFIDENT))
+            x = np.asarray(b.column(0).take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, TEXT_WIDTH + META_WIDTH)
+            y = (s[at] >= CONFIDENT).astype(np.float64)
+            for i in range(0, len(at), 8192):
+                part = slice(i, i + 8192)
+                dg, dh = _slope(view.bins(x[part, columns]).astype(np.float64), y[part], np.where(y[part] > 0, weights[1], weights[0]), beta)
+                g, h = g + dg, h + dh
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() + h.tobytes()], pa.binary())], names=["sums"])
+
+    def add(batches):
+        total = sum((np.frombuffer(x.as_py()) for b in batches for x in b.column(0)), np.zeros(wide + wide * wide))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = scored.select("v", teacher).mapInArrow(run, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()
+    total = sum((np.frombuffer(bytes(r[0])) for r in parts), np.zeros(wide + wide * wide))
+    return total[:wide], total[wide:].reshape(wide, wide)
+
+
+def co_train(views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, fit_rows: int = FIT_ROWS) -> Model | None:
     """The model for ``views`` (see ``view_table``) and ``labels`` (doc_id, quality); None where labels lack a class.
 
     Null labels and doc_ids are ignored; a doc_id labelled more than once takes the label of most of its rows, 1 on ties."""
     y = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     known = views.join(y, F.col("doc_id") == F.col("_d"))
-    rows = known.select("v", "y", "doc_id").orderBy(F.xxhash64("doc_id"), F.hash("v")).limit(FIT_ROWS).collect()
+    rows = hash_sample(known.select("v", "y", "doc_id").distinct(), ["doc_id", "v"], fit_rows)
     apart = np.arange(len(rows)) % 4 == 0
     x, t = _matrix(rows), np.array([r["y"] for r in rows], dtype=np.float64)
     if min(sum(t[apart]), sum(1 - t[apart]), sum(t[~apart]), sum(1 - t[~apart])) < 1:
         return None
     held = (x[0][apart], x[1][apart], t[apart])
-    own = [(v[~apart], t[~apart], np.ones((~apart).sum())) for v in x]
-    model = _fit(own, held)
-    if not rounds or not picks:
+    own, mine = [v[~apart] for v in x], t[~apart]
+    model = _combine([View(own[0], mine), View(own[1], mine, (0, 1))], held)
+    if not rounds:
         return model
     free = settle(views.join(y, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti"), shuffled=True)
+    columns = (slice(0, TEXT_WIDTH), slice(TEXT_WIDTH, None))
     for _ in range(rounds):
         scored = settle(_score_table(free, model))
-        extra = []
-        for other, mine in (("meta_score", 0), ("text_score", 1)):
-            for label, sure in ((1.0, F.col(other) >= CONFIDENT), (0.0, F.col(other) <= 1 - CONFIDENT)):
-                extra.append((mine, label, scored.filter(sure).select("v").distinct().orderBy(F.xxhash64("v"), F.hash("v")).limit(picks).collect()))
-        for mine, label, got in extra:
-            if got:
-                more = _matrix(got)[mine]
-                old = own[mine]
-                own[mine] = (np.concatenate([old[0], more]), np.concatenate([old[1], np.full(len(more), label)]), np.concatenate([old[2], np.full(len(more), 0.5)]))
-        model = _fit(own, held)
+        teachers = ("meta_score", "text_score")  # of the text view, and of the metadata view
+        sure = scored.agg(*[F.count_if(c).alias(f"{k}{i}") for i, k in enumerate(teachers) for c, k in ((F.col(k) <= 1 - CONFIDENT, "n"), (F.col(k) >= CONFIDENT, "p"))]).head()
+        new = []
+        for i, teacher in enumerate(teachers):
+            n = sure[2 * i], sure[2 * i + 1]
+            weights = tuple(WEIGHT * float(c) / max(1, k) for c, k in zip((sum(1 - mine), sum(mine)), n, strict=True))
+            more = lambda beta, i=i, teacher=teacher, weights=weights: _pseudo_sums(scored, teacher, columns[i], model.views[i], weights, beta)
+            new.append(model.views[i].refit(own[i], mine, more) if sum(n) else model.views[i])
+        model = _combine(new, held)
     return model
 
 
@@ -228,7 +273,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 
 
 def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, unchanged; scored as they pass, without a shuffle of texts."""
+    """The rows of ``docs`` that ``score`` keeps, unchanged; scored as they pass, without a shuffle of texts.
+
+    Nulls, repeated rows and missing labels are treated as there; other columns stay."""
     model = co_train(settle(view_table(docs)), labels)
     if model is None:
         return docs

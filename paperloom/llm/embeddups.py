@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bounded_groups
-from .common import fewer, settle
+from .common import fewer, hash_sample, settle
 from .graph import Forest, connected_components
 from .vectors import element_type, takes_part
 
@@ -150,7 +150,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, blocks: int = 4, axes:
     dims = [r[0] for r in classes.select("dim").distinct().collect()]  # as many as there are lengths of vectors
     turn = {}
     for d in dims:
-        sample = classes.filter(F.col("dim") == d).select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+        sample = hash_sample(classes.filter(F.col("dim") == d).select("vec"), ["vec"], SAMPLE)
         x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), dtype=kind).reshape(-1, d).astype(np.float64)
         turn[d] = rotation(_unit(x), d, blocks)
     cells = settle(_cells(classes, kind, turn, least, blocks, axes))

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fewer, settle
+from .common import fewer, hash_sample, settle
 from .vectors import element_type, takes_part
 
 TRAIN = 1 << 14
 PROBES = 256  # sampled queries that the visited share is measured with
-QUERY_CHUNK = 1 << 12
+QUERY_CHUNK = 1 << 16  # queries that meet one copy of the index
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -103,8 +103,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96
     base = base.filter(F.size("v") == dim)
     least = Window.partitionBy("v").orderBy("vec_id")
     unique = settle(base.select("vec_id", "v").distinct().withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1).select("vec_id", "v"))
-    sample = unique.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(TRAIN).collect()
-    x = np.array([r[0] for r in sample], dtype=np.float64)
+    x = np.array([r["v"] for r in hash_sample(unique, ["vec_id", "v"], TRAIN)], dtype=np.float64)
     half, size = dim // 2, max(2, min(256, int(total**0.5 / 4)))
     books = [centroids(x[:, :half], size), centroids(x[:, half:], size)]
     share = visited_share(x, books, k, recall)

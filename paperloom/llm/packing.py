@@ -4,8 +4,11 @@ Documents become token ids, each closed by a separator id; only a document longe
 needs nothing but the number of pieces of each length, so the driver holds at most ``capacity`` counters at any scale:
 
 1. lengths above a threshold are sorted and dealt into groups of equal cardinality, each rounded up to its longest;
-2. a linear program over these few sizes (columns generated by a knapsack) finds how often to use which configuration;
-3. actual lengths take the places of rounded ones, run by run;
+2. a linear program over these few sizes (columns generated by a knapsack) finds how often to use which configuration: it
+   covers all large pieces with the fewest sequences;
+3. actual lengths take the places of rounded ones; where a configuration is meant to be full, the last place takes the longest
+   piece that fits.  Sequences left with useless room are kept as long as that room is within what the best
+   possible packing leaves anyway, the others are dissolved;
 4. what is left, and all small pieces, go longest first to the fullest sequence with room (best fit).
 
 Pieces then look up their place by (length, rank among pieces of that length)."""
@@ -52,48 +55,68 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator:
 
 
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most worthy multiset of sizes that fits ``capacity`` (unbounded knapsack)."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    lo = int(sizes.min())
-    for c in range(lo, capacity + 1):
-        fits = np.searchsorted(sizes, c, side="right")
-        v = best[c - sizes[:fits]] + worth[:fits]
-        k = int(v.argmax())
-        if v[k] > best[c - 1] + 1e-12:
-            best[c], took[c] = v[k], k
-        else:
-            best[c] = best[c - 1]
-    pattern, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c >= lo:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= int(sizes[took[c]])
-    return best[capacity], pattern
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Patterns over ascending ``sizes`` with whole multiplicities that cover at most ``demand``: the LP optimum, rounded down."""
-    k = len(sizes)
+    """The multiset of sizes that fits and has the greatest worth (a knapsack by number of pieces and room used); of equal ones that
+    with the fewest pieces and the least room used."""
+    most = capacity // int(sizes.min())
+    best = np.full((most + 1, capacity + 1), -np.inf)
+    took = np.full((most + 1, capacity + 1), -1, dtype=np.int32)
+    best[0, 0] = 0
+    for j in range(1, most + 1):
+        for i, (n, w) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+            v = best[j - 1, : capacity + 1 - n] + w
+            more = v > best[j, n:]
+            best[j, n:][more] = v[more]
+            took[j, n:][more] = i
+    j, used = np.unravel_index(int(best.argmax()), best.shape)
+    value, pattern = float(best[j, used]), np.zeros(len(sizes), dtype=np.int64)
+    while j:
+        i = int(took[j, used])
+        pattern[i] += 1
+        j, used = j - 1, used - int(sizes[i])
+    return value, pattern
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
+    """Patterns over ascending ``sizes`` and how often the linear program, which wants the fewest sequences, uses each to meet
+    ``demand``; those of most pieces first."""
     basis = np.diag(capacity // sizes).astype(np.float64)
-    for _ in range(rounds):
-        inv = np.linalg.inv(basis)
-        x, worth = inv @ demand, inv.sum(axis=0)
-        value, pattern = _best_pattern(sizes, np.maximum(worth, 0), capacity)
+    inv = np.linalg.inv(basis)
+    for n in range(rounds):
+        x = inv @ demand
+        value, pattern = _best_pattern(sizes, inv.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
         step = inv @ pattern
-        ratio = np.full(k, np.inf)
+        ratio = np.full(len(sizes), np.inf)
         np.divide(x, step, out=ratio, where=step > 1e-9)
-        basis[:, int(ratio.argmin())] = pattern
+        out = int(ratio.argmin())
+        basis[:, out] = pattern
+        row = inv[out] / step[out]
+        inv = np.linalg.inv(basis) if n % 50 == 49 else inv - np.outer(step, row)
+        if n % 50 != 49:
+            inv[out] = row
     x = np.linalg.inv(basis) @ demand
-    return [(basis[:, j].astype(np.int64), int(x[j] + 1e-9)) for j in range(k) if x[j] >= 1]
-
-
-def _plan(counts: np.ndarray, capacity: int, smallest: int, groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Kinds of sequence as (how many, [(length, copies)]), for counts by length."""
-    left, kinds = counts.copy(), []
+    used = [(basis[:, j].astype(np.int64), float(x[j])) for j in range(len(sizes)) if x[j] > 1e-9]
+    return sorted(used, key=lambda u: -int(u[0].sum()))
+
+
+def _longest(counts: np.ndarray, top: int, used: dict[int, int]) -> int:
+    """The longest length up to ``top`` that is left besides ``used``; 0 if none is."""
+    while top > 0:
+        held = np.flatnonzero(counts[: top + 1])
+        if not len(held):
+            return 0
+        top = int(held[-1])
+        if counts[top] > used.get(top, 0):
+            return top
+        top -= 1
+    return 0
+
+
+def _plan(counts: np.ndarray, capacity: int, smallest: int, groups: int, useful: int, slack: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
+    """Kinds of sequence as (how many, [(length, copies)]), for counts by length; and how many large pieces stand in
+    configurations of two or more.  ``slack`` is the useless room that configurations may leave altogether."""
+    left, kinds, together = counts.copy(), [], 0
     if left[capacity]:
         kinds.append((int(left[capacity]), [(capacity, 1)]))
         left[capacity] = 0
@@ -101,43 +124,38 @@ def _plan(counts: np.ndarray, capacity: int, smallest: int, groups: int) -> list
     if len(large):
         cum = np.cumsum(left[large])
         edges = np.unique(np.searchsorted(cum, np.linspace(0, cum[-1], groups + 1)[1:]))
-        group = np.searchsorted(edges, np.arange(len(large)))
         sizes = large[edges]
-        demand = np.bincount(group, weights=left[large], minlength=len(edges))
-        runs = [[[int(n), int(left[n])] for n in large[group == g][::-1]] for g in range(len(edges))]
-        for pattern, times in configurations(sizes, demand, capacity):
-            slots = [g for g, a in enumerate(pattern) for _ in range(int(a))]
+        demand = np.bincount(np.searchsorted(edges, np.arange(len(large))), weights=left[large], minlength=len(edges))
+        filled = []
+        for pattern, often in configurations(sizes, demand, capacity):
+            slots = [g for g in range(len(sizes))[::-1] for _ in range(int(pattern[g]))]
+            full, times = capacity - int(pattern @ sizes) < useful, int(often + 0.5)
             while times > 0:
-                heads, need = {}, {}
-                for g in slots:
-                    need[g] = need.get(g, 0) + 1
-                for g in need:
-                    while runs[g] and runs[g][0][1] == 0:
-                        runs[g].pop(0)
-                    heads[g] = runs[g][0] if runs[g] else None
-                if any(h is None for h in heads.values()):
-                    break
-                whole = min(min(h[1] // need[g] for g, h in heads.items()), times)
-                held: dict[int, int] = {}
-                if whole:
-                    for g, h in heads.items():
-                        h[1] -= whole * need[g]
-                        held[h[0]] = held.get(h[0], 0) + need[g]
-                else:  # a run ends within this sequence
-                    whole = 1
-                    for g in slots:
-                        while runs[g] and runs[g][0][1] == 0:
-                            runs[g].pop(0)
-                        if runs[g]:
-                            runs[g][0][1] -= 1
-                            held[runs[g][0][0]] = held.get(runs[g][0][0], 0) + 1
-                kinds.append((whole, list(held.items())))
-                times -= whole
-        left[large] = 0
-        for g in runs:
-            for n, c in g:
-                left[n] += c
-    return _best_fit(left, kinds, capacity)
+                room, used = capacity, {}
+                for k, g in enumerate(slots):
+                    last = full and k and k == len(slots) - 1
+                    n = _longest(left, min(room, room if last else int(sizes[g])), used)
+                    if n < smallest:
+                        break
+                    used[n] = used.get(n, 0) + 1
+                    room -= n
+                else:
+                    whole = min(times, *(int(left[n]) // c for n, c in used.items()))
+                    for n, c in used.items():
+                        left[n] -= whole * c
+                    filled.append((room if room < useful else 0, whole, list(used.items())))
+                    times -= whole
+                    continue
+                break
+        for waste, times, held in sorted(filled, key=lambda f: f[0]):
+            keep = min(times, slack // waste) if waste else times
+            slack -= keep * waste
+            if keep:
+                kinds.append((keep, held))
+                together += keep * sum(c for _, c in held) * (sum(c for _, c in held) > 1)
+            for n, c in held:
+                left[n] += (times - keep) * c
+    return _best_fit(left, kinds, capacity), together
 
 
 def _best_fit(left: np.ndarray, kinds: list, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -176,21 +194,25 @@ def _best_fit(left: np.ndarray, kinds: list, capacity: int) -> list[tuple[int, l
     return [k for r in room for k in r]
 
 
+def best_plan(hist: np.ndarray, capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
+    """The plan of ``_plan`` with the fewest sequences, for counts by length.  Thresholds are a third and a quarter of the capacity, so
+    that a sequence may hold several large pieces; each is tried with the room that the best packing leaves, and with none."""
+    spare = int(-(hist @ np.arange(capacity + 1)) % capacity)
+    tries = [(-(-capacity // 3), capacity // 8, spare), (-(-capacity // 4), capacity // 16, spare), (-(-capacity // 3), 3 * capacity // 16, 0), (-(-capacity // 4), capacity // 16, 0)]
+    plans = [_plan(hist, capacity, max(1, smallest), 64, useful, slack) for smallest, useful, slack in tries]
+    return min(plans, key=lambda p: sum(t for t, _ in p[0]))
+
+
 def plan_places(counts: dict[int, int], capacity: int) -> np.ndarray:
     """Places as rows (length, first rank, sequence of that rank, offset), sorted; rank r is in sequence + r - first rank.
 
-    Tries a few thresholds between large and small and keeps the plan with the fewest sequences."""
+    Tries a few thresholds between large and small and keeps the plan with the fewest sequences, the first of equal ones."""
     hist = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         hist[n] += c
-    best = None
-    for smallest, groups in ((capacity // 2, 64), (capacity // 4, 48), (capacity // 8, 64)):
-        kinds = _plan(hist, capacity, smallest, groups)
-        n = sum(t for t, _ in kinds)
-        if best is None or n < best[0]:
-            best = (n, kinds)
+    kinds = best_plan(hist, capacity)[0]
     rank, seq, rows = np.zeros(capacity + 1, dtype=np.int64), 0, []
-    for times, held in best[1]:
+    for times, held in kinds:
         at = 0
         for n, copies in held:
             for _ in range(copies):

@@ -96,6 +96,29 @@ def test_plan_uses_every_piece_once():
     assert places[:, 2].max() < total / 2048 * 1.1
 
 
+def test_linear_grouping_decides_and_is_no_worse_than_best_fit(sf):
+    """Configurations of several large pieces hold most of them, in as few sequences as longest-first best fit of all pieces needs."""
+    import duckdb
+
+    enc, hist = tokens.encoder(P.path("byte_bpe_50k.json")), np.zeros(2049, dtype=np.int64)
+    for (t,) in duckdb.sql(f"select text from '{sf.replace('sf0.001', 'sf0.1')}/documents.parquet'").fetchall():
+        n = len(enc.ids(t)) + 1
+        hist[2048] += n // 2048
+        hist[n % 2048] += n % 2048 > 0
+    mixed = np.concatenate([[0], np.random.default_rng(5).permutation(hist[1:])])
+    for h in (hist, hist * 9, mixed):
+        kinds, together = packing.best_plan(h, 2048)
+        held = np.zeros(2049, dtype=np.int64)
+        for times, lengths in kinds:
+            assert sum(n * c for n, c in lengths) <= 2048
+            for n, c in lengths:
+                held[n] += times * c
+        assert (held == h).all()
+        assert sum(t for t, _ in kinds) <= sum(t for t, _ in packing._best_fit(h.copy(), [], 2048)) * 1.0005
+        assert together > h[683:2048].sum() / 2 or h is mixed
+    assert sum(t for t, _ in packing.best_plan(hist, 2048)[0]) <= sum(t for t, _ in packing._best_fit(hist.copy(), [], 2048))
+
+
 def check_file(rows, texts, tail=2):
     ids = expected([t for _, t in texts], "word_bpe_49k.json", tail)
     want = [(d, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for (d, _), x in zip(texts, ids, strict=True)]

@@ -7,10 +7,15 @@ piece that is a suffix of the prefix and that merges with nothing at its left bo
     count(prefix) = count(prefix without that piece) + 1
 
 and the table of (count, last piece) over prefixes, shared by all chunks that begin alike, answers every prefix.
-A character that no piece holds counts as its UTF-8 bytes."""
+A character that no piece holds counts as its UTF-8 bytes.  A chunk over ``SHARED`` characters keeps its table in arrays
+of its own, as a shared one would hold each of its prefixes in full; the recurrence is the same.
+
+Texts of a batch are split into words together, and each distinct word is looked up once."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+SHARED = 256
+SLICE = 1 << 23  # characters of texts that are split into words at once
+_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class PrefixCounter:
@@ -94,56 +102,44 @@ class PrefixCounter:
             table[chunk[:n]] = self._step(chunk[:n])
         return table[chunk][0]
 
-    def _chunk(self, word: str) -> int:
-        """The count of a space and a word."""
-        n = self.chunks.get(word)
+    def _prefixes(self, chunk: str) -> list[int]:
+        """Counts of the prefixes of a chunk, the empty one first."""
+        if len(chunk) > SHARED:
+            return self._long(chunk)
+        self._fill(chunk)
+        return [self.table[chunk[:n]][0] for n in range(len(chunk) + 1)]
+
+    def _whole(self, chunk: str) -> int:
+        """The count of a chunk."""
+        n = self.chunks.get(chunk)
         if n is None:
             if len(self.chunks) > self.memo:
                 self.chunks.clear()
-            if len(word) > 256 or not self.exact:
-                n = len(self.bare.encode(SPACE + word))
-            else:
-                n = self._fill(SPACE + word)
-            self.chunks[word] = n
+            n = self._long(chunk)[-1] if len(chunk) > SHARED else self._fill(chunk)
+            if len(chunk) <= SHARED:
+                self.chunks[chunk] = n
         return n
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.exact:
-            return len(self.direct.encode(text))
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            return int(self.prefix_counts(text)[-1])
-        get, words = self.chunks.get, text.split(" ")
-        found = [get(w) for w in words]
-        if None in found:
-            found = [self._chunk(w) if n is None else n for w, n in zip(words, found, strict=True)]
-        return sum(found)
+        return sum(map(self._whole, self._split(text))) if self.exact else len(self.direct.encode(text))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Entry i: the count of ``text[:i]``; the last entry is the count of the text."""
         if not self.exact:
             return np.array([0, *(len(self.direct.encode(text[:i])) for i in range(1, len(text) + 1))], dtype=np.int64)
-        out, base, at = np.zeros(len(text) + 1, dtype=np.int64), 0, 0
-        whole = SPACE + text.replace(" ", SPACE)
-        while at < len(whole) and text:
-            end = at
-            while end < len(whole) and whole[end] == SPACE:
-                end += 1
-            stop = whole.find(SPACE, end)
-            stop = len(whole) if stop < 0 else stop
-            chunk = whole[at:stop]
-            if len(chunk) > 4096:  # one endless word: the table would hold every prefix in full
-                n = self._long(chunk, out, at, base)
-            else:
-                n = self._fill(chunk)
-                for k in range(1, len(chunk) + 1):
-                    if at + k - 1 > 0:
-                        out[at + k - 1] = base + self.table[chunk[:k]][0]
-            base, at = base + n, stop
-        return out
-
-    def _long(self, chunk: str, out: np.ndarray, at: int, base: int) -> int:
+        out, at, base = np.zeros(len(text) + 2, dtype=np.int64), 1, 0
+        for chunk in self._split(text):  # positions count the space that the encoding puts before the text
+            counts = self._prefixes(chunk)
+            out[at : at + len(chunk)] = base + np.array(counts[1:])
+            at, base = at + len(chunk), base + counts[-1]
+        out[1] = 0  # the space alone: no text, no tokens
+        return out[1:]
+
+    def _long(self, chunk: str) -> list[int]:
         """The same recurrence over positions of one chunk, with arrays in place of the shared table."""
         counts, lasts = [0], [""]
         for n in range(1, len(chunk) + 1):
@@ -158,13 +154,62 @@ class PrefixCounter:
                 node = node.get(chunk[k]) if k >= 0 else None
             counts.append(step[0])
             lasts.append(step[1])
-            if at + n - 1 > 0:
-                out[at + n - 1] = base + step[0]
-        return counts[-1]
+        return counts
 
     def fitting(self, text: str, budget: int) -> int:
         """The length of the longest prefix that has at most ``budget`` tokens."""
-        return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1]) if budget >= 0 else 0
+        if not self.exact:
+            return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1]) if budget >= 0 else 0
+        chunks = self._split(text)
+        return self._fit(chunks, np.cumsum([self._whole(x) for x in chunks]), budget)
+
+    def _fit(self, chunks: list[str], ends: np.ndarray, budget: int) -> int:
+        """``fitting`` for a text's chunks and the counts at their ends.  A prefix that ends inside a chunk has a token more, at
+        least, than the chunks before it, so only one chunk is looked into."""
+        k = int(np.searchsorted(ends, budget - 1, side="right"))
+        before, base = sum(map(len, chunks[:k])), int(ends[k - 1]) if k else 0
+        if k < len(chunks):
+            fit = np.flatnonzero(np.array(self._prefixes(chunks[k])) + base <= budget)
+            before += int(fit[-1]) if len(fit) else 0
+        return max(0, before - 1)
+
+    def counts(self, texts: list[str], limit: int) -> tuple[list[int], list[int]]:
+        """Count of each text, and the length of its longest prefix within ``limit``."""
+        n, fit = [0] * len(texts), [len(t) for t in texts]
+        plain = []
+        for i, t in enumerate(texts):
+            if not self.exact or "  " in t or SPACE in t or t[:1] == " " or t[-1:] == " ":
+                n[i] = self.count(t)
+                fit[i] = self.fitting(t, limit) if n[i] > limit else len(t)
+            elif t:
+                plain.append(i)
+        for part in _slices(plain, texts):
+            words = pc.split_pattern(pa.array([texts[i] for i in part], pa.large_string()), " ")
+            ends = np.asarray(words.offsets)
+            coded = words.flatten().dictionary_encode()
+            each = np.array([self._whole(SPACE + w) for w in coded.dictionary.to_pylist()], dtype=np.int64)[np.asarray(coded.indices)]
+            sums = np.concatenate([[0], np.cumsum(each)])
+            for at, i in enumerate(part):
+                lo, hi = int(ends[at]), int(ends[at + 1])
+                n[i] = int(sums[hi] - sums[lo])
+                if n[i] > limit:
+                    k = int(np.searchsorted(sums[lo + 1 : hi + 1] - sums[lo], limit - 1, side="right"))
+                    head = texts[i].split(" ", k + 1)[: k + 1]
+                    fit[i] = self._fit([SPACE + w for w in head], sums[lo + 1 : lo + 2 + k] - sums[lo], limit)
+        return n, fit
+
+
+def _slices(which: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """``which`` in runs of about ``SLICE`` characters of text."""
+    held, size = [], 0
+    for i in which:
+        held.append(i)
+        size += len(texts[i])
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=2)
@@ -181,9 +226,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     def run(batches):
         c = counter(model)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            n = [c.count(t) for t in texts]
-            fit = [c.fitting(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)]
+            n, fit = c.counts([x or "" for x in b.column(1).to_pylist()], limit)
             size = pc.fill_null(pc.binary_length(b.column(1)).cast(pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 

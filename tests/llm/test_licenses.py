@@ -1,5 +1,6 @@
 """The licence scan against the same rules in Python."""
 
+import random
 import re
 from itertools import pairwise
 
@@ -83,11 +84,44 @@ def test_whole_table(spark, sf):
     assert sum(r.n_base > 0 for r in rows) > 0
 
 
-def test_rules_are_many_and_ordered():
+def written(tree, draw):
+    """A text that a parsed regular expression matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "y"
+        elif name == "IN":
+            kinds = [x for x in arg if str(x[0]) in ("LITERAL", "RANGE")]
+            out += " " if str(arg[0][0]) == "NEGATE" or any(str(k) == "RANGE" and v[0] <= 32 <= v[1] for k, v in kinds) else (lambda k, v: chr(v if str(k) == "LITERAL" else draw.randint(*v)))(*draw.choice(kinds))
+        elif name == "BRANCH":
+            out += written(draw.choice(arg[1]), draw)
+        elif name == "SUBPATTERN":
+            out += written(arg[3], draw)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(written(arg[2], draw) for _ in range(draw.randint(arg[0], min(arg[0] + 1, int(arg[1])))))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_rules_are_many_ordered_and_each_match_holds_its_keywords(spark):
+    signatures = licenses.SIGNATURES.strip().splitlines()
     r = licenses.rules()
-    assert len(r) > 250 and len({x[3] for x in r}) > 250
-    ranks = [x[2] for x in r[len(licenses.ALONE) :]]
+    assert len(signatures) > 200 and len({x[3] for x in r}) == len(r) > 600
+    ranks = [x[2] for x in r[len(signatures) :]]
     assert all(a >= b for a, b in pairwise(ranks))
+    draw, texts = random.Random(1), []
+    for _, words, _, p in r:
+        for _ in range(6):
+            t = written(re._parser.parse(p, re.A), draw)
+            assert re.search(p, t, re.A) and all(w in t.lower() for w in words), (words, t)
+        texts.append(t)
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(m.labels for m in rows)
+    check(rows, enumerate(texts))
 
 
 def test_no_python_in_the_plan(docs):

@@ -1,12 +1,17 @@
 """Secret scan with a random forest that removes false positives, in DataFrame expressions and JVM models only.
 
-Candidates are strings that look like credentials: long tokens with digits, values assigned to a name, private
-keys.  Their features are length, transitions between classes of characters, how much of them a dictionary covers, the path
-they come from (``source``), and the words before them.  The forest is trained on labelled findings; without any,
+Candidates are strings that look like credentials: tokens of 16 or more characters with a digit among them, values of 8 or
+more characters assigned to a name, and private keys.  Shorter ones are none: they are as likely to be any word or
+number.  Their features are length, character transitions (how likely they are in words, by a table of letter pairs, and
+how often the class of character changes), how much of them a dictionary covers, the path they come from
+(``source``), and the words before them.  The forest is trained on labelled findings; without any,
 on findings that are generated from the formats of public credential kinds and of their common look-alikes."""
 
 from __future__ import annotations
 
+import math
+from itertools import pairwise
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import fewer, settle
 
-_TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+_TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Between a name and its value: a sign of assignment, runs of spaces and tabs, quotes.
 _SIGN = r"[0-9_]{0,8}[\"']{0,1}[ \t]{0,16}[:=]{1,3}>{0,1}[ \t]{0,16}[\"']{0,1}"
 # The single character before a value is looked at first, as it is cheap.
@@ -41,16 +46,26 @@ KINDS = [
     ("hex", "^[0-9a-fA-F]{16,}$"),
 ]
 #: The dictionary that coverage is measured with.
-DICTIONARY = ["password", "passwd", "secret", "example", "changeme", "placeholder", "dummy", "sample", "default", "your", "here", "test", "token", "key", "user", "admin", "name", "value", "string", "null", "none", "true", "false", "http", "www", "com", "org", "html", "index", "version", "release", "config", "file", "path", "page", "data", "image", "content", "article", "section", "chapter", "table", "figure", "the", "and", "for", "with", "from", "this", "that", "xxxx", "0000", "1234", "abcd", "foo", "bar", "lorem", "ipsum", "self", "env", "get", "set", "process", "settings"]
+DICTIONARY = """
+password passwd secret example changeme placeholder dummy sample default your here test token key user admin name value string null none true false http
+www com org html index version release config file path page data image content article section chapter table figure xxxx 0000 1234 abcd foo bar lorem ipsum
+self env get set process settings the and for with from this that have not are was were will would there their what about which when make like time just
+know take people into year good some could them see other than then now look only come over think also back after use two how our work first well way even
+new want because any these give day most us between under while where should through before must house world still own last never right place number part
+point great small every found public private system group service server client account email login access request response message button option
+start stop open close read write update delete create select insert error result return class function method object array list module package import export
+build deploy local remote host port address street city country phone order item price total count report project title author date month
+""".split()
 #: Neighbouring words that speak for a credential, and against one.
 FOR = "pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|auth(?:orization)?|bearer|credential|login"
 AGAINST = "commit|sha-?[0-9]*|md5|checksum|digest|hash|integrity|etag|uuid|guid|isbn|doi|id|rev(?:ision)?|version|build|example|sample|placeholder|dummy|url|href|src|file|path|image"
-FEATURES = ["f_length", "f_turns", "f_digits", "f_upper", "f_lower", "f_other", "f_distinct", "f_covered", "f_hex", "f_known", "f_look_alike", "f_path_test", "f_path_code", "f_for", "f_against", "f_assigned", "f_repeat"]
+FEATURES = ["f_length", "f_likely", "f_turns", "f_digits", "f_upper", "f_lower", "f_other", "f_distinct", "f_covered", "f_hex", "f_known", "f_look_alike", "f_path_test", "f_path_code", "f_for", "f_against", "f_assigned", "f_repeat"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Each candidate of each row of ``docs`` (doc_id, text, source): doc_id, path, start, length, finding, before (the context)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text")).filter(F.regexp_like("text", F.lit(HINT)) & F.regexp_like("text", F.lit(CANDIDATE)))
+    """Each candidate of each row of ``docs`` (doc_id, text, source): doc_id, tid (a hash of the text), path, start, length, finding,
+    before (the context)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tid"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text")).filter(F.regexp_like("text", F.lit(HINT)) & F.regexp_like("text", F.lit(CANDIDATE)))
     part = F.regexp_extract_all("text", F.lit(f"(?s)\\G.*?{CANDIDATE}"), F.lit(0))
     hit = F.regexp_extract_all("text", F.lit(f"(?s)\\G.*?({CANDIDATE})"), F.lit(1))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start bigint, length bigint, finding string, before string>>").alias("out"))
@@ -62,7 +77,28 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.struct((acc["at"] + whole).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     found = F.aggregate(F.arrays_zip(part.alias("part"), hit.alias("hit")), start, step, lambda acc: acc["out"])
-    return d.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.start", "c.length", "c.finding", "c.before")
+    return d.select("doc_id", "tid", "path", F.explode(found).alias("c")).select("doc_id", "tid", "path", "c.start", "c.length", "c.finding", "c.before")
+
+
+def _pair_table() -> list[float]:
+    """Log probability (base 2) of each character after another in the dictionary's words, for 27 classes: a to z, and any other.
+    Every pair counts once more than it occurs."""
+    counts = [[1.0] * 27 for _ in range(27)]
+    kind = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    for word in DICTIONARY:
+        for a, b in pairwise(word):
+            counts[kind(a)][kind(b)] += 1
+    return [math.log2(n / sum(row)) for row in counts for n in row]
+
+
+def _likely(low: Column) -> Column:
+    """Mean log probability of the transitions in a lower-cased string; 0 for fewer than two characters."""
+    table = F.array(*[F.lit(x) for x in _pair_table()])
+    code = lambda i: F.ascii(F.substring(low, i, F.lit(1)))
+    kind = lambda i: F.when(code(i).between(97, 122), code(i) - 97).otherwise(26)
+    at = lambda i: kind(i) * 27 + kind(i + 1)
+    total = F.aggregate(F.sequence(F.lit(1), F.length(low) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, at(i)))
+    return F.when(F.length(low) > 1, total / (F.length(low) - 1)).otherwise(0.0)
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -78,6 +114,7 @@ def features(found: DataFrame) -> DataFrame:
     columns = {
         "kind": kind,
         "f_length": F.least(n, F.lit(256.0)),
+        "f_likely": _likely(low),
         "f_turns": F.regexp_count(s, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")) / n,
         "f_digits": share("[0-9]"),
         "f_upper": share("[A-Z]"),
@@ -149,20 +186,27 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
     Null texts hold no candidate; null doc_ids, null sources and repeated rows are kept; an empty table gives an empty
     result; other columns are ignored."""
+    return _scored(docs, findings, threshold).drop("tid")
+
+
+def _scored(docs: DataFrame, findings: DataFrame | None, threshold: float) -> DataFrame:
     model = train(generated_findings(docs.sparkSession) if findings is None else findings)
     scored = model.transform(features(candidates(docs))).withColumn("score", F.get(vector_to_array("_probability"), F.lit(1)))
-    return scored.select("doc_id", "start", "length", "kind", "finding", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "tid", "start", "length", "kind", "finding", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mark``; a column n_chars follows the new length.
 
-    Texts without a candidate pass unchanged and are not shuffled.  Rows that share a doc_id share their findings; rows
-    with a null doc_id share those of all such rows."""
-    looks = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(HINT)) & F.regexp_like(F.col("text").cast("string"), F.lit(CANDIDATE)), F.lit(False))
-    secrets = scan(docs, findings, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set("finding"), lambda a, b: F.length(b) - F.length(a)).alias("_found"))
+    Texts without a candidate pass unchanged and are not shuffled.  Rows find their secrets by doc_id and text, so rows that
+    share a doc_id, or have none, are judged each by its own text.  Null texts stay null, repeated rows are kept, an
+    empty table gives an empty result, other columns stay."""
+    text = F.col("text").cast("string")
+    looks = F.coalesce(F.regexp_like(text, F.lit(HINT)) & F.regexp_like(text, F.lit(CANDIDATE)), F.lit(False))
+    found = F.array_sort(F.collect_set("finding"), lambda a, b: F.length(b) - F.length(a))
+    secrets = _scored(docs, findings, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).agg(found.alias("_found"))
     some = docs.filter(looks)
-    some = some.join(secrets, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
+    some = some.join(secrets, (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
     clean = F.aggregate(F.coalesce("_found", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     some = some.withColumn("text", clean)
     if "n_chars" in docs.columns:

@@ -88,10 +88,15 @@ def _hypergeometric(draw, good: int, bad: int, take: int) -> int:
         return take
     if good + bad < 1_000_000_000:
         return int(draw.hypergeometric(good, bad, take))
-    n = good + bad  # beyond the library's range: the normal limit of the same law
+    # Beyond the library's range: by inversion, from the ratios of neighbouring probabilities within nine standard deviations.
+    n = good + bad
     mean = take * (good / n)
-    sd = (mean * (bad / n) * max(0.0, (n - take) / (n - 1))) ** 0.5
-    return int(min(max(round(draw.normal(mean, sd)), take - bad, 0), good, take))
+    reach = 9 * (mean * (bad / n) * max(0.0, (n - take) / (n - 1))) ** 0.5 + 50
+    lo, hi = max(0, take - bad, int(mean - reach)), min(good, take, int(mean + reach))
+    k = np.arange(lo, hi, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1)) + np.log((take - k) / (bad - take + k + 1)))])
+    chance = np.cumsum(np.exp(log - log.max()))
+    return lo + int(np.searchsorted(chance, draw.random() * chance[-1], side="right"))
 
 
 def source_plan(sizes: DataFrame, block: int, ceiling: float, weights: dict | None) -> list[dict]:
@@ -161,13 +166,14 @@ def slots(spark: SparkSession, plan: list[dict], block: int, shard_slots: int, s
 
 
 def _place(docs: DataFrame, block: int, ceiling: float, weights: dict | None) -> tuple[DataFrame, list[dict]]:
-    """doc_id, source, size, k, source_size, target and first (words of the source before the row, in the mix's order)."""
+    """doc_id, source, size, tid (a hash of the text), k, source_size, target and first (words of the source before the row, in the
+    mix's order)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")))
+    d = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tid")))
     plan = source_plan(d, block, ceiling, weights)
     table = d.sparkSession.createDataFrame([(p["source"], p["k"], p["size"], p["target"]) for p in plan], "_s string, k long, source_size long, target double")
     d = d.join(F.broadcast(table) if len(plan) <= 10_000 else table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return settle(grouped_offsets(d, ["k"], ["doc_id", "size"], F.col("size"), "first", balanced_chunks(d.count())), shuffled=True), plan
+    return settle(grouped_offsets(d, ["k"], ["doc_id", "size", "tid"], F.col("size"), "first", balanced_chunks(d.count())), shuffled=True), plan
 
 
 def _spans(placed: DataFrame, block: int) -> DataFrame:
@@ -198,33 +204,35 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, ceiling: f
 def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, ceiling: float = 3.0, weights: dict | None = None, seed: int = 7) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for each pass that takes words of a document.
 
-    Whole passes keep the text; the last, partial pass keeps the words of the blocks it takes, joined by spaces.  A column
-    n_chars becomes the length of the text.  Documents that the mix leaves out are absent; see ``mix``."""
-    spark = docs.sparkSession
+    All passes come from the slots: those of a pass that hold words of a document are gathered, and its words taken in
+    order, joined by spaces; a pass that takes all of them keeps the text as it is.  A column n_chars becomes the length of the
+    text.  Documents that the mix leaves out are absent; see ``mix``, also for nulls and odd rows.  Rows that agree in
+    doc_id, source and text stand for each other."""
     placed, plan = _place(docs, block, ceiling, weights)
-    whole = spark.createDataFrame([(p["source"], p["k"], p["passes"]) for p in plan], "_s string, _k long, _passes int")
-    whole = F.broadcast(whole) if len(plan) <= 10_000 else whole
-    full = docs.join(whole, docs["source"].cast("string").eqNullSafe(F.col("_s")))
-    full = full.filter((F.regexp_count("text", F.lit(WORD)) > 0) & (F.col("_passes") > 0)).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(docs.columns)
-    rest = slots(spark, plan, block, shard_slots, seed).join(whole, F.col("k") == F.col("_k")).filter("pass_no = _passes").select("k", "block_no", "words")
     lo = F.greatest(F.col("first"), F.col("block_no") * block)
     hi = F.least(F.col("first") + F.col("size"), F.col("block_no") * block + F.col("words"))
-    spans = _spans(placed, block).join(rest.hint("merge"), ["k", "block_no"]).filter(hi > lo).select("k", "first", (lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
-    spans = spans.groupBy("k", "first").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_spans"))
-    # Rows that agree in doc_id, source and size have a span list each, in order of first; the rows take them in order of hash.
-    key = ["_d", "_src", "_size"]
-    empty = F.array().cast("array<struct<at:int,n:int>>")
-    own = placed.filter("size > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_size"), "k", "first")
-    own = own.join(spans.select("k", "first", "_spans"), ["k", "first"], "left").select(*key, "first", F.coalesce("_spans", empty).alias("_spans"))
-    own = own.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "_spans"))), lambda x: x["_spans"]).alias("_lists"))
-    own = own.filter(F.exists("_lists", lambda x: F.size(x) > 0)).withColumnsRenamed({c: f"{c}2" for c in key})
-    mine = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_src", F.col("source").cast("string")).withColumn("_size", F.regexp_count("text", F.lit(WORD)).cast("long"))
-    both = mine.join(own.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_size") == F.col("_size2")))
-    one = both.filter(F.size("_lists") == 1).withColumn("_spans", F.get("_lists", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    more = both.filter(F.size("_lists") > 1).withColumn("_rank", rank).withColumn("_spans", F.get("_lists", F.col("_rank") - 1)).drop("_rank")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = one.unionByName(more).filter(F.size("_spans") > 0).withColumn("_w", words)
-    part = part.withColumn("text", F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), s["at"] + 1, s["n"]))), " ")).select(docs.columns)
-    out = full.unionByName(fewer(part, 4))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    hits = _spans(placed, block).join(slots(docs.sparkSession, plan, block, shard_slots, seed).hint("merge"), ["k", "block_no"]).filter(hi > lo)
+    spans = hits.select("k", "first", "pass_no", F.struct((lo - F.col("first")).cast("int").alias("at"), (hi - lo).cast("int").alias("n")).alias("s"))
+    spans = spans.groupBy("k", "first", "pass_no").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
+    turns = spans.groupBy("k", "first").agg(F.array_sort(F.collect_list(F.struct("pass_no", "_spans"))).alias("_turns"))  # as many as a source has passes
+    key = ["_d", "_src", "_t"]
+    names = {"doc_id": "_d", "source": "_src", "tid": "_t"}
+    own = placed.filter("size > 0").withColumnsRenamed(names).select(*key, "size", "k", "first").join(turns, ["k", "first"], "left")
+    own = settle(own.select(*key, F.col("size").alias("_size"), F.col("first").alias("_first"), F.coalesce("_turns", F.array().cast(turns.schema["_turns"].dataType)).alias("_turns")), shuffled=True)
+    each = own.groupBy(*key).agg(F.count("*").alias("_n"), F.max("_size").alias("_size"), F.min_by("_turns", "_first").alias("_turns"), F.max(F.size("_turns")).alias("_any"))
+    each = each.filter("_any > 0").drop("_any").withColumnsRenamed({c: f"{c}2" for c in key})
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"{c}2"))
+    mine = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_src", F.col("source").cast("string")).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    both = mine.join(each.hint("merge"), (F.col("_t") == F.col("_t2")) & same("_d") & same("_src"))
+    one = both.filter("_n = 1").select(*docs.columns, "_size", "_turns")
+    # Repeated rows: the i-th of them takes the i-th turns.
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("_first"))).select(*[F.col(c).alias(f"{c}2") for c in key], F.col("_rank").alias("_rank2"), "_turns")
+    more = both.filter("_n > 1").select(*docs.columns, *key, "_size").withColumn("_rank", rank)
+    more = more.join(ranked, (F.col("_rank") == F.col("_rank2")) & (F.col("_t") == F.col("_t2")) & same("_d") & same("_src")).select(*docs.columns, "_size", "_turns")
+    out = one.unionByName(more).withColumn("_spans", F.explode(F.col("_turns._spans")))
+    taken = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["n"])
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, s["at"] + 1, s["n"]))), " ")
+    out = out.withColumn("text", F.when(taken == F.col("_size"), F.col("text").cast("string")).otherwise(part)).select(docs.columns)
+    return fewer(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out, 4)

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
+HUBS = 4_000_000  # edges beyond which nodes of very many edges are looked for
+
+
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) joined to ``least`` (u, m, n) on u.  Nodes with over a thousandth of the edges, at most a thousand by that
+    """``edges`` (u, v) joined to ``least`` (u, m, n) on u.  Nodes with over a thousandth of many edges, at most a thousand by that
     count, are broadcast, so the edges of a hub are not gathered in one task."""
-    hubs = F.broadcast(least.filter(F.col("n") > max(total // 1000, 1000)).select("u", "m"))
-    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
+    rest = least.select("u", "m").hint("merge")  # as large as the edges, so never broadcast
+    if total <= HUBS:
+        return edges.join(rest, "u")
+    hubs = F.broadcast(least.filter(F.col("n") > total // 1000).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

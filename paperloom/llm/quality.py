@@ -24,6 +24,7 @@ from .common import hash_sample, settle
 FIT_ROWS = 20_000
 WEIGHT = 0.5  # of all pseudo-labelled rows of a class, as a share of its labelled rows
 ROUNDS = 2
+RIDGE = 1.0
 STEPS = 3  # Newton steps over pseudo-labelled rows, from the fit before
 CONFIDENT = 0.97
 BINS = 12  # each feature is cut at quantiles of the fitting rows
@@ -90,13 +91,7 @@ class View:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, categories: tuple[int, ...] = ()):
         self.cuts = [np.unique(np.floor(x[:, j]) + 0.5) if j in categories else np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        self.beta = _logistic(self.bins(x), y, 1.0)
-
-    def refit(self, x: np.ndarray, y: np.ndarray, more) -> View:
-        """The view fitted to labelled rows and to those that ``more`` sums over, see ``_logistic``."""
-        new = copy.copy(self)
-        new.beta = _logistic(self.bins(x), y, 1.0, STEPS, self.beta, more)
-        return new
+        self.beta = _logistic(self.bins(x), y)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         out, at = np.zeros((len(x), 1 + sum(len(c) + 1 for c in self.cuts)), dtype=np.float32), 1
@@ -116,19 +111,18 @@ def _slope(a: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -
     return a.T @ (weight * (y - p)), (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a
 
 
-def _logistic(a: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25, beta: np.ndarray | None = None, more=None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column, the intercept, is barely shrunk.  ``more`` gives gradient and
-    curvature of further rows at a point."""
-    a = a.astype(np.float64)
-    beta, shrink = np.zeros(a.shape[1]) if beta is None else beta, np.full(a.shape[1], ridge)
+def _newton(beta: np.ndarray, g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
+    """The next point of a ridge logistic regression; the first column, the intercept, is barely shrunk."""
+    shrink = np.full(len(beta), ridge)
     shrink[0] = 1e-3
+    return beta + np.linalg.solve(h + np.diag(shrink), g - shrink * beta)
+
+
+def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
+    a, beta = a.astype(np.float64), np.zeros(a.shape[1])
     for _ in range(rounds):
-        g, h = _slope(a, y, np.ones(len(y)), beta)
-        if more is not None:
-            g, h = (u + v for u, v in zip((g, h), more(beta), strict=True))
-        step = np.linalg.solve(h + np.diag(shrink), g - shrink * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-6:
+        last, beta = beta, _newton(beta, *_slope(a, y, np.ones(len(y)), beta), ridge)
+        if np.abs(beta - last).max() < 1e-6:
             break
     return beta
 
@@ -198,32 +192,42 @@ def _score_table(views: DataFrame, model: Model) -> DataFrame:
     return views.select("doc_id", "v").mapInArrow(run, "doc_id long, v array<float>, text_score double, meta_score double, score double")
 
 
-def _pseudo_sums(scored: DataFrame, teacher: str, columns: slice, view: View, weights: tuple[float, float], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature at ``beta`` over all rows that ``teacher`` is confident of; ``weights`` of a row labelled 0 and 1.
+TEACHERS = ("meta_score", "text_score")  # of the text view, and of the metadata view
+COLUMNS = (slice(0, TEXT_WIDTH), slice(TEXT_WIDTH, None))
+
 
-    Tasks send one sum each, which a few tasks add up for the driver."""
-    wide = len(beta)
+def _pseudo_sums(scored: DataFrame, views: list[View], weights: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view, gradient and curvature at its coefficients over all rows that its teacher is confident of; ``weights`` of a row
+    labelled 0 and 1.  Tasks send one sum each, which a few tasks add up for the driver."""
+    wide = [len(v.beta) for v in views]
+    size = sum(w + w * w for w in wide)
 
     def run(batches):
-        g, h = np.zeros(wide), np.zeros((wide, wide))
+        sums = [(np.zeros(w), np.zeros((w, w))) for w in wide]
         for b in batches:
-            s = b.column(1).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero((s >= CONFIDENT) | (s <= 1 - CONFIDENT))
-            x = np.asarray(b.column(0).take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, TEXT_WIDTH + META_WIDTH)
-            y = (s[at] >= CONFIDENT).astype(np.float64)
-            for i in range(0, len(at), 8192):
-                part = slice(i, i + 8192)
-                dg, dh = _slope(view.bins(x[part, columns]).astype(np.float64), y[part], np.where(y[part] > 0, weights[1], weights[0]), beta)
-                g, h = g + dg, h + dh
-        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() + h.tobytes()], pa.binary())], names=["sums"])
+            for k, view in enumerate(views):
+                s = b.column(1 + k).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero((s >= CONFIDENT) | (s <= 1 - CONFIDENT))
+                x = np.asarray(b.column(0).take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, TEXT_WIDTH + META_WIDTH)[:, COLUMNS[k]]
+                y = (s[at] >= CONFIDENT).astype(np.float64)
+                for i in range(0, len(at), 8192):
+                    part = slice(i, i + 8192)
+                    dg, dh = _slope(view.bins(x[part]).astype(np.float64), y[part], np.where(y[part] > 0, weights[k][1], weights[k][0]), view.beta)
+                    sums[k] = sums[k][0] + dg, sums[k][1] + dh
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(x.tobytes() for s in sums for x in s)], pa.binary())], names=["sums"])
+
+    def total(parts) -> np.ndarray:
+        return sum((np.frombuffer(bytes(p)) for p in parts), np.zeros(size))
 
     def add(batches):
-        total = sum((np.frombuffer(x.as_py()) for b in batches for x in b.column(0)), np.zeros(wide + wide * wide))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([total(x.as_py() for b in batches for x in b.column(0)).tobytes()], pa.binary())], names=["sums"])
 
-    parts = scored.select("v", teacher).mapInArrow(run, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()
-    total = sum((np.frombuffer(bytes(r[0])) for r in parts), np.zeros(wide + wide * wide))
-    return total[:wide], total[wide:].reshape(wide, wide)
+    parts = scored.select("v", *TEACHERS).mapInArrow(run, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()
+    whole, out, at = total(r[0] for r in parts), [], 0
+    for w in wide:
+        out.append((whole[at : at + w], whole[at + w : at + w + w * w].reshape(w, w)))
+        at += w + w * w
+    return out
 
 
 def co_train(views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, fit_rows: int = FIT_ROWS) -> Model | None:
@@ -243,18 +247,18 @@ def co_train(views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, fit_rows
     if not rounds:
         return model
     free = settle(views.join(y, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti"), shuffled=True)
-    columns = (slice(0, TEXT_WIDTH), slice(TEXT_WIDTH, None))
+    own_bins = [v.bins(z).astype(np.float64) for v, z in zip(model.views, own, strict=True)]
     for _ in range(rounds):
         scored = settle(_score_table(free, model))
-        teachers = ("meta_score", "text_score")  # of the text view, and of the metadata view
-        sure = scored.agg(*[F.count_if(c).alias(f"{k}{i}") for i, k in enumerate(teachers) for c, k in ((F.col(k) <= 1 - CONFIDENT, "n"), (F.col(k) >= CONFIDENT, "p"))]).head()
-        new = []
-        for i, teacher in enumerate(teachers):
-            n = sure[2 * i], sure[2 * i + 1]
-            weights = tuple(WEIGHT * float(c) / max(1, k) for c, k in zip((sum(1 - mine), sum(mine)), n, strict=True))
-            more = lambda beta, i=i, teacher=teacher, weights=weights: _pseudo_sums(scored, teacher, columns[i], model.views[i], weights, beta)
-            new.append(model.views[i].refit(own[i], mine, more) if sum(n) else model.views[i])
-        model = _combine(new, held)
+        sure = scored.agg(*[F.count_if(c) for k in TEACHERS for c in (F.col(k) <= 1 - CONFIDENT, F.col(k) >= CONFIDENT)]).head()
+        weights = [tuple(WEIGHT * float(c) / max(1, sure[2 * i + j]) for j, c in enumerate((sum(1 - mine), sum(mine)))) for i in range(2)]
+        views = [copy.copy(v) for v in model.views]
+        for _ in range(STEPS):
+            sums = _pseudo_sums(scored, views, weights)
+            for v, a, (g, h) in zip(views, own_bins, sums, strict=True):
+                dg, dh = _slope(a, mine, np.ones(len(mine)), v.beta)
+                v.beta = _newton(v.beta, g + dg, h + dh, RIDGE)
+        model = _combine(views, held)
     return model
 
 

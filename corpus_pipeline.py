@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = common.settle(docs)
+            common.clear_scratch(spark, keep=docs)  # what the stage read and wrote on its way
     return docs

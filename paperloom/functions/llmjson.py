@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
+_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 #: Evidence codes.
-EVIDENCE_CODES = "EXP IDA IPI IMP IGI IEP HTP HDA HMP HGI HEP ISS ISO ISA ISM IGC TAS NAS IC ND IEA".split()
+EVIDENCE_CODES = "EXP IDA IPI IMP IGI IEP HTP HDA HMP HGI HEP ISS ISO ISA ISM IGC RCA TAS NAS IC IEA".split()
 
 
 def find_json(text: str | None) -> str | None:
@@ -24,7 +24,7 @@ def find_json(text: str | None) -> str | None:
     if text is None:
         return None
     fence = _FENCE.search(text)
-    spans = [fence.group(1)] if fence else [text[text.find(a) : text.rfind(b) + 1] for a, b in ("{}", "[]") if text.find(a) >= 0] + [text]
+    spans = [fence.group(1)] if fence else [text[text.find(a) : text.rfind(b) + 1] for a, b in ("{}", "[]") if 0 <= text.find(a) < text.rfind(b)] + [text]
     for s in spans:
         try:
             return json.dumps(json.loads(s), ensure_ascii=False, separators=(",", ":"))
@@ -69,10 +69,16 @@ def repair_json(c: pd.Series) -> pd.Series:
 
 
 def extract_json_fast(c: Column) -> Column:
-    """The same without Python, for texts with a single value: the fenced block, else from the first { to the last }."""
-    fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(c.rlike(r"(?s)```(?:json)?\s*.*?```"), fence).otherwise(F.regexp_extract(c, r"(?s)(\{.*\})", 1))
-    return F.to_json(F.try_parse_json(body))
+    """The same without Python: the fenced block decides alone; else from the first { to the last }, else from the first [ to the
+    last ], else the whole text, the first of them that is JSON."""
+    fence = F.regexp_extract(c, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+
+    def value(t: Column) -> Column:  # in brackets, as the parser stops behind a first value
+        held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")
+        return F.when(F.size(held) == 1, F.to_json(F.get(held, F.lit(0))))
+
+    spans = [F.regexp_extract(c, p, 1) for p in (r"(?s)(\{.*\})", r"(?s)(\[.*\])")]
+    return F.when(c.rlike(r"(?is)```(?:json)?\s*.*?```"), value(fence)).otherwise(F.coalesce(*map(value, spans), value(c)))
 
 
 #: Where providers put token counts, by our name.
@@ -86,9 +92,9 @@ def usage(raw: Column, what: str) -> Column:
 
 
 def valid_evidence(c: Column) -> Column:
-    """Codes separated by semicolons, each known."""
+    """Known codes, separated by a semicolon and at most one space."""
     one = "(?:" + "|".join(EVIDENCE_CODES) + ")"
-    return F.coalesce(c.rlike(f"^{one}(?:\\s*;\\s*{one})*$"), F.lit(False))
+    return F.coalesce(c.rlike(f"^{one}(?:; ?{one})*$"), F.lit(False))
 
 
 def conforms(raw: Column, required: Sequence[str], enums: Mapping[str, Sequence[str]] | None = None) -> Column:

@@ -23,13 +23,16 @@ def _sets(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return F.size(F.array_except(a, b)), F.size(F.array_except(b, a)), F.size(F.array_intersect(a, b))
 
 
-def one_word_off(a: Column, b: Column, reordered: bool = True) -> Column:
-    """1 where two token arrays differ by one word added, dropped or swapped; ``reordered`` also counts equal sets in another order."""
-    left, right, _ = _sets(a, b)
-    swap = (F.greatest(left, right) == 1) & (left + right >= 1)
-    same = (left == 0) & (right == 0)
-    hit = swap | (same & (F.array_join(a, " ") != F.array_join(b, " "))) if reordered else swap
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), hit.cast("double"))
+def one_word_off(a: Column, b: Column) -> Column:
+    """1 where two texts differ by one word: of as many words with one changed (or the same ones in another order), or one word
+    more; 0 elsewhere, equal texts included.  Words are compared as sets once their numbers allow it.  Null where either is null or empty."""
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    x, y = words(a), words(b)
+    left, right, _ = _sets(x, y)
+    apart = F.size(x) - F.size(y)
+    level = (apart == 0) & ((left + right == 0) | (left + right == 2))
+    more = ((apart == 1) & (right == 0) & (left == 1)) | ((apart == -1) & (left == 0) & (right == 1))
+    return _both(a, b, ((a != b) & (level | more)).cast("double"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -37,8 +40,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def precision_jaccard(reference: Column, candidate: Column) -> Column:
-    """Share of the candidate's distinct tokens that the reference has."""
-    return F.when((F.size(reference) > 0) & (F.size(candidate) > 0), F.size(F.array_intersect(reference, candidate)) / F.size(F.array_distinct(candidate)))
+    """Share of the candidate's distinct tokens that the reference has: 0 for an empty reference, null for an empty candidate."""
+    known = F.coalesce(reference, F.array().cast("array<string>"))
+    return F.when(F.size(candidate) > 0, F.size(F.array_intersect(known, candidate)) / F.size(F.array_distinct(candidate)))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -120,3 +124,37 @@ def tfidf_cosine(pairs: DataFrame, key: list[str], a: str, b: str, fit_on: DataF
     left, right = (tfidf(char_grams(pairs, key, c), key, fitted, n) for c in (a, b))
     dot = left.withColumnRenamed("w", "_x").join(right, [*key, "gram"]).groupBy(*key).agg(F.sum(F.col("_x") * F.col("w")).alias("tfidf_cosine"))
     return pairs.select(*key).join(dot, key, "left").withColumn("tfidf_cosine", F.coalesce("tfidf_cosine", F.lit(0.0)))
+
+
+def score_pairs(pairs: DataFrame, key: list[str], target: str, candidates: list[str], symbols: str, fit_on: DataFrame, fit_text: str, embedded: dict[str, str] | None = None, lemma=None) -> DataFrame:
+    """All similarities of candidate descriptions to a target: key and, for each candidate column, ``SemSim_<column>_<measure>`` and
+    ``<column>_<flag>``; all null where the cleaned candidate is empty.
+
+    ``symbols`` is a column of symbols that count as names, not words.  ``embedded`` maps a text column to one of its
+    embedding, for an embedding cosine; ``lemma`` maps words to their base forms."""
+    from paperloom.functions.text import clean_text, strip_symbols, tokens
+
+    empty = F.array().cast("array<string>")
+    d = pairs.withColumn("_s", F.coalesce(F.col(symbols), empty))
+    for c in [target, *candidates]:
+        raw = F.lower(F.coalesce(F.col(c), F.lit("")))
+        d = d.withColumns({f"_raw_{c}": raw, f"_no_{c}": strip_symbols(raw, F.col("_s")), f"_clean_{c}": clean_text(F.col(c), F.col("_s"), lemma)})
+        d = d.withColumn(f"_tok_{c}", tokens(F.col(f"_no_{c}"), lemma=lemma))
+    out = d
+    for c in candidates:
+        vectors = tfidf_cosine(d.select(*key, f"_raw_{c}", f"_raw_{target}"), key, f"_raw_{c}", f"_raw_{target}", fit_on, fit_text)
+        out = out.join(vectors.withColumnRenamed("tfidf_cosine", f"_tfidf_{c}"), key, "left")
+    columns = []
+    for c in candidates:
+        some = F.size(f"_tok_{c}") > 0
+        name = lambda m, c=c: f"SemSim_{c}_{m}"
+        mine, goal = F.col(f"_tok_{c}"), F.col(f"_tok_{target}")
+        measures = {name("jaccard"): jaccard(mine, goal), name("soft_jaccard"): soft_jaccard(goal, mine), name("prec_jaccard"): precision_jaccard(goal, mine), name("levenshtein"): indel_ratio(F.col(f"_clean_{c}"), F.col(f"_clean_{target}")), name("tfidf_cosine"): F.col(f"_tfidf_{c}")}
+        if embedded:
+            measures[name("embed_cosine")] = cosine(F.col(embedded[c]), F.col(embedded[target]))
+        for kind in ("raw", "no", "clean"):
+            x, y = F.col(f"_{kind}_{c}"), F.col(f"_{kind}_{target}")
+            label = {"no": "nosym"}.get(kind, kind)
+            measures |= {f"{c}_Exact_{label}": exact_match(x, y), f"{c}_OneWord_{label}": one_word_off(x, y)}
+        columns += [F.when(some, m).alias(n) for n, m in measures.items()]
+    return out.select(*key, *columns)

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Greek letters and how they are spelt in Latin.
-GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(), strict=True))
+GREEK = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta",
+    "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta",
+    "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu",
+    "ν": "nu", "ξ": "xi", "ο": "omicron", "π": "pi",
+    "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon",
+    "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
+}
 #: Sections of an article that are read.
-SECTIONS = ["TITLE", "ABSTRACT", "INTRO", "METHODS", "RESULTS", "DISCUSS", "CONCL", "FIG", "TABLE"]
-#: Words that carry no meaning in a product description.
-STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was were will with".split()
+SECTIONS = ["RESULTS", "FIG", "DISCUSSION", "DISCUSS", "CONCLUSION", "FIGURE", "CONCL", "TABLE", "SUPPL"]
+#: English words that carry no meaning in a product description, and four more.
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its
+itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has had having do does did
+doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in
+out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than
+too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't
+haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+using based via data
+""".split()
 
 
 def term_pattern(term: Column) -> Column:
@@ -60,15 +77,30 @@ def strip_symbols(c: Column, symbols: Column) -> Column:
     return F.when(F.size(longest) > 0, F.regexp_replace(c, F.concat(F.lit(r"(?i)\b("), F.array_join(escaped, "|"), F.lit(r")\b")), F.lit(""))).otherwise(c)
 
 
-def tokens(c: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-case words split at white space and -_.(),/\\ that hold a letter and are no stop words."""
-    parts = F.split(F.lower(c), r"[\s\-_.(),/\\]+")
-    return F.filter(parts, lambda w: w.rlike("[a-z]") & ~w.isin(list(stop)))
+def tokens(c: Column, stop: Sequence[str] = STOP_WORDS, lemma=None) -> Column:
+    """Lower-case words, split at white space; each that is no stop word, as its base form (``lemma`` maps a column; by default the
+    word itself) with Greek letters spelt out, is split at -_.(),/\\, and parts that hold a letter and are no stop words stay."""
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: ~w.isin(list(stop)))
+    base = words if lemma is None else F.transform(words, lemma)
+    parts = F.flatten(F.transform(F.transform(base, greek_to_latin), lambda w: F.split(w, r"[-_.(),/\\]")))
+    return F.filter(F.transform(parts, lambda w: F.trim(w)), lambda w: w.rlike("[a-z]") & ~w.isin(list(stop)))
 
 
-def clean_text(c: Column, symbols: Column | None = None) -> Column:
-    t = greek_to_latin(c)
-    return F.array_join(tokens(t if symbols is None else strip_symbols(t, symbols)), " ")
+def clean_text(c: Column, symbols: Column | None = None, lemma=None) -> Column:
+    """The tokens of a description without the symbols, joined by spaces; '' for null."""
+    t = c if symbols is None else strip_symbols(c, symbols)
+    return F.coalesce(F.array_join(tokens(t, lemma=lemma), " "), F.lit(""))
+
+
+def plain_mentions(text: Column, terms: Sequence[str]) -> Column:
+    """Array of (term, n) for terms of ASCII letters alone, as ``mentions`` counts them.
+
+    Such a term matches a whole run of letters and digits or none of it, so one pass finds all terms."""
+    if not all(re.fullmatch("[A-Za-z]+", t) for t in terms):
+        raise ValueError("terms of ASCII letters only")
+    found = F.regexp_extract_all(text, F.lit("(?iU)(?<![A-Za-z0-9])(?:" + "|".join(terms) + ")(?![A-Za-z0-9])"), F.lit(0))
+    low = F.transform(F.coalesce(found, F.array().cast("array<string>")), F.lower)
+    return F.transform(F.array(*map(F.lit, terms)), lambda t: F.struct(t.alias("term"), F.size(F.filter(low, lambda w: w == F.lower(t))).cast("long").alias("n")))
 
 
 def known_as(name: Column, aliases: Column) -> Column:
@@ -80,10 +112,12 @@ def known_as_list(name: Column, aliases: Column) -> Column:
     return F.when(F.size(aliases) > 0, F.concat(name, F.lit(", also known as "), F.array_join(aliases, ", "))).otherwise(name)
 
 
-def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
-    """Each [KEY] replaced by its value, in the order given."""
+def fill_template(template: Column, values: Mapping[str, object]) -> Column:
+    """Each [KEY] replaced by its value, in the order given.  A value is a column, or a constant: text as it is, anything else as JSON
+    indented by two."""
     for key, value in values.items():
-        template = F.replace(template, F.lit(f"[{key}]"), F.coalesce(value.cast("string"), F.lit("")))
+        held = value.cast("string") if isinstance(value, Column) else F.lit(value if isinstance(value, str) else json.dumps(value, indent=2))
+        template = F.replace(template, F.lit(f"[{key}]"), F.coalesce(held, F.lit("")))
     return template
 
 

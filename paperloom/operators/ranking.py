@@ -8,13 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CUTS = 200  # ranges that a rank over all rows is dealt into
+
+
 def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank by descending value, ties share their mean rank, nulls share the last.
 
-    Counts per distinct value are ranked, not rows: the window sees one row per value and the join brings ranks back."""
+    Counts per distinct value are ranked, not rows, and joined back.  Without ``by`` the values are dealt into ranges between
+    some quantiles: sums of ranges run over those few, and each range is ranked in itself, so no task sees all values."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
+    order = F.desc_nulls_last(value)
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        n = n.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
+    else:
+        cuts = n.agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 10 * CUTS)).head()[0] or []
+        above = F.lit(0)
+        if cuts:
+            above = F.when(F.col(value).isNull(), CUTS).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c > F.col(value))))
+        n = n.withColumn("_b", above)
+        sums = n.groupBy("_b").agg(F.sum("_n").alias("_s"))  # at most CUTS + 1 rows
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+        inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        n = n.join(F.broadcast(sums), "_b").withColumn(out, F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_b", "_base")
     n = n.withColumnsRenamed({c: f"_k_{c}" for c in [*by, value]}).drop("_n")
     on = F.lit(True)
     for c in [*by, value]:

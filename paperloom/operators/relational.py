@@ -114,10 +114,12 @@ def union_first(frames: Sequence[DataFrame], keys: Cols, order: Sequence[str | C
 def mention_join(terms: DataFrame, lines: DataFrame, key: str, term: str = "term", line: str = "line") -> DataFrame:
     """Mentions of terms in the lines of the same key, for pairs that mention at all: terms' columns, lines' columns, n.
 
-    Equi-joined on the key first; a substring test drops most pairs before the pattern is built."""
-    r = lines.withColumnRenamed(key, "_key")
-    pairs = terms.join(r, terms[key] == r["_key"]).drop("_key").filter(F.contains(F.lower(line), longest_fragment(F.col(term))) & (F.trim(term) != ""))
-    return pairs.withColumn("n", F.regexp_count(line, term_pattern(F.col(term))).cast("long")).filter("n > 0")
+    Patterns and lower-cased lines are made once on each side; equi-joined on the key, a substring test drops most pairs before
+    the pattern is matched."""
+    t = terms.filter(F.trim(term) != "").withColumns({"_part": longest_fragment(F.col(term)), "_pattern": term_pattern(F.col(term))})
+    r = lines.withColumnRenamed(key, "_key").withColumn("_low", F.lower(line))
+    pairs = t.join(r, (t[key] == r["_key"]) & F.contains("_low", F.col("_part")))
+    return pairs.withColumn("n", F.regexp_count(line, F.col("_pattern")).cast("long")).filter("n > 0").drop("_key", "_low", "_part", "_pattern")
 
 
 def prefix_match(left: DataFrame, right: DataFrame, text: str, key: str, long: int = 250, short: int = 150) -> DataFrame:

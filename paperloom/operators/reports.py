@@ -57,8 +57,10 @@ def density(df: DataFrame, group: str, member: str, threshold: int) -> DataFrame
     return n.agg(F.count("*").alias("groups"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") >= threshold).alias("high"), F.count_if(F.col("n") < threshold).alias("low"))
 
 
-def text_report(df: DataFrame, title: str) -> str:
-    """A small aggregate as aligned text."""
-    rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in df.limit(1000).collect()]]
+def text_report(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small aggregate as aligned text; beyond ``most`` rows it says how many more there are."""
+    got = df.limit(most + 1).collect()
+    rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in got[:most]]]
     width = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join([title, *["  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in rows]]) + "\n"
+    more = [f"({df.count() - most} more rows)"] if len(got) > most else []
+    return "\n".join([title, *["  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in rows], *more]) + "\n"

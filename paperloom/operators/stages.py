@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,18 +87,87 @@ def run_distinct(df: DataFrame, text: str, out: str, call: Callable[[pd.Series],
     return df.join(once, text, "left")
 
 
-def curate(pairs: DataFrame, papers: DataFrame, prompts: Mapping[str, Column], client: Client = stub, done: DataFrame | None = None) -> DataFrame:
+class Batches(Protocol):
+    """A batch service: requests go in together, answers are fetched once it has ended."""
+
+    def submit(self, requests: list[dict]) -> str: ...
+
+    def state(self, batch: str) -> str: ...
+
+    def answers(self, batch: str) -> Iterator[tuple[str, str | None, str | None]]:
+        """(custom_id, text, error) of each request."""
+
+
+#: States in which a batch changes no more.
+ENDED = ("ended", "canceled", "expired")
+
+
+def run_batch(df: DataFrame, stage: Stage, service: Callable[[], Batches], client: Client = stub, formatter: Callable[[str], str] | None = None, wait: float = 60.0, sleep: Callable[[float], None] = time.sleep, parts: int = 8) -> DataFrame:
+    """``run_stage`` through a batch service, for pairs (pmid, gene_id): pmid, gene_id and the columns of ``RESULT``.
+
+    Each of ``parts`` partitions submits one batch, asks for its state every ``wait`` seconds and reads its answers one by one; an
+    answer's id is split at its first underscore.  Where the service cannot be had or refuses, the requests are called one
+    after the other.  Repeated pairs are one request."""
+    name, model, system = stage.name, stage.model, stage.system
+
+    def result(pmid, gene, text, error) -> tuple:
+        data = parse_answer(text, formatter)
+        if data is not None:
+            return pmid, gene, name, model, True, data, text, "{}", 0.0, None
+        return pmid, gene, name, model, False, None, text, "{}", 0.0, error or "JSON parsing failed"
+
+    def alone(pmid, gene, prompt) -> tuple:
+        try:
+            text, usage, spent = client(system, prompt, model)
+        except Exception as e:  # the call is foreign code  # noqa: BLE001
+            return pmid, gene, name, model, False, None, None, "{}", 0.0, f"{type(e).__name__}: {e}"
+        return (*result(pmid, gene, text, None)[:7], json.dumps(dict(usage)), spent, None if parse_answer(text, formatter) else "JSON parsing failed")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["pmid", "gene_id", *(c.split()[0] for c in RESULT.split(", "))]
+        rows = [tuple(r) for part in batches for r in part.itertuples(index=False)]
+        if not rows:
+            return
+        try:
+            api = service()
+            batch = api.submit([{"custom_id": f"{p}_{g}", "system": system, "model": model, "prompt": text} for p, g, text in rows])
+        except Exception:  # no service: the plain way  # noqa: BLE001
+            yield pd.DataFrame([alone(*r) for r in rows], columns=columns)
+            return
+        while api.state(batch) not in ENDED:
+            sleep(wait)
+        yield pd.DataFrame([result(*key.split("_", 1), text, error) for key, text, error in api.answers(batch)], columns=columns)
+
+    rows = df.select(F.col("pmid").cast("string").alias("pmid"), F.col("gene_id").cast("string").alias("gene_id"), stage.prompt.alias("_prompt")).dropDuplicates(["pmid", "gene_id"])
+    return rows.repartition(parts, "pmid").mapInPandas(run, f"pmid string, gene_id string, {RESULT}")
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a table in ``folder``, by default a new one in the shared folder of checkpoints: what was paid for is not asked again
+    when an executor is lost."""
+    spark = df.sparkSession
+    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir, or give a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def curate(pairs: DataFrame, papers: DataFrame, prompts: Mapping[str, Column], client: Client = stub, done: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Summary, then descriptions, then verification of pairs (pmid, gene_id) in papers (pmid, text), as results to upsert.
 
     A pair goes on while its stage succeeded and did not find the entity mentioned in passing only; pairs whose last stage
-    is in ``done`` (pmid, gene_id) are left out.  Each stage's results are written before the next one reads them, as a
-    call must not be made twice."""
+    is in ``done`` (pmid, gene_id) are left out.  Each stage's results are written (see ``written``) before the next one reads
+    them, as a call must not be made twice."""
     from paperloom.operators.relational import pending
 
     rows = (pairs if done is None else pending(pairs, done, ["pmid", "gene_id"])).join(papers, "pmid")
     out = None
     for name, prompt in prompts.items():
-        got = run_stage(rows, Stage(name, prompt), client).persist()
+        got = written(run_stage(rows, Stage(name, prompt), client), folder)
         out = got if out is None else out.unionByName(got)
         good = got.filter(F.col("success") & ~F.coalesce(F.get_json_object("data", "$.only_in_passing") == "true", F.lit(False)))
         rows = rows.join(good.select("pmid", "gene_id", F.col("data").alias(f"{name}_data")), ["pmid", "gene_id"])

@@ -7,10 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import variants as J
+
 MAPS = "map<string,map<string,map<string,string>>>"
 PD_FIELDS = ["description", "verification_status", "evidence_code", "code_reason", "audit_status", "audit_reason"]
 #: Stage key fragments and the variation they tell, in order of test.
-VARIATIONS = ["Option_1_baseline", "Option_2", "Option_3", "Option_4", "Option_5", "Option_6"]
+VARIATIONS = [
+    "Option_1_baseline",
+    "Option_2_verify_summary",
+    "Option_3_verify_pds",
+    "Option_4_select_pd",
+    "Option_2+3_combined",
+    "Option_2+4_combined",
+]
 
 
 def explode_status(docs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -20,16 +29,23 @@ def explode_status(docs: DataFrame, raw: str = "raw") -> DataFrame:
     d = docs.select("pmid", F.from_json(raw, MAPS).alias("_m")).select("pmid", F.explode("_m").alias("stage", "_g"))
     d = d.select("pmid", "stage", F.explode("_g").alias("_key", "_models"))
     d = d.select("pmid", "stage", F.coalesce(F.element_at("_models", "gene_ID"), F.col("_key")).alias("gene_id"), F.explode("_models").alias("model", "_leaf")).filter("model <> 'gene_ID'")
-    leaf = lambda k: F.get_json_object("_leaf", f"$.{k}")
-    return d.select("pmid", "stage", "gene_id", "model", F.coalesce(leaf("success") == "true", F.lit(False)).alias("success"), leaf("data").alias("data"), leaf("usage").alias("usage"), leaf("seconds").cast("double").alias("seconds"))
+    leaf = F.from_json("_leaf", "success boolean, data string, usage string, seconds double, error string")
+    d = d.select("pmid", "stage", "gene_id", "model", leaf.alias("_l"))
+    return d.select("pmid", "stage", "gene_id", "model", F.coalesce("_l.success", F.lit(False)).alias("success"), "_l.data", "_l.usage", "_l.seconds", "_l.error")
 
 
 def build_status(rows: DataFrame) -> DataFrame:
-    """The inverse: one document per pmid from (pmid, stage, gene_id, model, leaf JSON text)."""
-    models = rows.groupBy("pmid", "stage", "gene_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "leaf")))).alias("m"))
-    genes = models.groupBy("pmid", "stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("gene_id"), F.to_json(F.transform_values("m", lambda k, v: F.parse_json(v))).alias("j"))))).alias("g"))
-    stages = genes.groupBy("pmid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.to_json(F.transform_values("g", lambda k, v: F.parse_json(v))).alias("j"))))).alias("s"))
-    return stages.select("pmid", F.to_json(F.transform_values("s", lambda k, v: F.parse_json(v))).alias("raw"))
+    """The inverse: one document per pmid from (pmid, stage, gene_id, model, leaf JSON text).  Leaves are parsed once; the levels above
+    are put together as text.  A document holds all results of its paper."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+    def level(d: DataFrame, keys: Sequence[str], name: str, body: Column) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.concat(quoted(F.col(name)), F.lit(":"), body).alias("j"))))
+        return d.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("}")).alias("_j"))
+
+    d = level(rows, ["pmid", "stage", "gene_id"], "model", F.coalesce(F.to_json(F.try_parse_json("leaf")), F.lit("null")))
+    d = level(d, ["pmid", "stage"], "gene_id", F.col("_j"))
+    return level(d, ["pmid"], "stage", F.col("_j")).select("pmid", F.col("_j").alias("raw"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -51,69 +67,11 @@ def has_error(data: Column) -> Column:
 
 
 def variation(stage: Column) -> Column:
+    """The first of ``VARIATIONS`` that a stage key holds; baseline for none."""
     out = F.lit("baseline")
     for v in reversed(VARIATIONS):
         out = F.when(F.contains(stage, F.lit(v)), v).otherwise(out)
-    return F.when(F.contains(stage, F.lit("PD_without_summary")), "no_summary_step").otherwise(out)
-
-
-def _kind(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    return F.when(v.isNull() | F.is_variant_null(v), "null").when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object").otherwise("scalar")
-
-
-def _core(v: Column) -> list[Column]:
-    """The fields of a row from an element: an object's fields as text, a scalar as the description; null as ''."""
-    field = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))
-    kind = _kind(v)
-    first = F.when(kind == "object", field("description")).when(kind == "scalar", v.cast("string")).otherwise("")
-    return [first.alias("description"), *[F.when(kind == "object", field(f)).otherwise("").alias(f) for f in PD_FIELDS[1:]]]
-
-
-def flatten_candidates(df: DataFrame, raw: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of a polymorphic field given as JSON text: keys, the description fields, schema_followed.
-
-    A list gives a row per element; an object with a description or status one row; any other object a row per value; a scalar
-    one row with itself as description; null or bad JSON none.  Only lists of objects follow the schema."""
-    d = df.select(*keys, F.try_parse_json(raw).alias("_v")).withColumn("_k", _kind(F.col("_v")))
-    single = (F.col("_k") == "object") & F.coalesce(F.try_variant_get("_v", "$.description", "variant"), F.try_variant_get("_v", "$.verification_status", "variant")).isNotNull()
-    each = F.when(F.col("_k") == "list", F.try_variant_get("_v", "$", "array<variant>")).when(single | (F.col("_k") == "scalar"), F.array("_v")).when(F.col("_k") == "object", F.map_values(F.try_variant_get("_v", "$", "map<string,variant>")))
-    rows = d.select(*keys, "_k", F.explode(each).alias("_e"))
-    return rows.select(*keys, *_core(F.col("_e")), ((F.col("_k") == "list") & (_kind(F.col("_e")) == "object")).alias("schema_followed"))
-
-
-def first_row_core(df: DataFrame, raw: str, keys: Sequence[str]) -> DataFrame:
-    """One row per document from a field that should be an object: a list gives its first element, null empty fields."""
-    d = df.select(*keys, F.try_parse_json(raw).alias("_v"))
-    d = d.withColumn("_e", F.when(_kind(F.col("_v")) == "list", F.try_variant_get("_v", "$[0]", "variant")).otherwise(F.col("_v")))
-    return d.select(*keys, *_core(F.col("_e")))
-
-
-def flatten_bullets(df: DataFrame, raw: str, keys: Sequence[str]) -> DataFrame:
-    """Bullets of a list, or of a single object: keys, bullet_point, evidence_location, supporting_quotes joined by ;;;;;, schema_followed.
-
-    An element that is no object is a row with itself as the text, flagged."""
-    d = df.select(*keys, F.try_parse_json(raw).alias("_v")).withColumn("_k", _kind(F.col("_v")))
-    each = F.when(F.col("_k") == "list", F.try_variant_get("_v", "$", "array<variant>")).when(F.col("_k").isin("object", "scalar"), F.array("_v"))
-    rows = d.select(*keys, F.explode(each).alias("_e")).withColumn("_o", _kind(F.col("_e")) == "object")
-    text = lambda f: F.coalesce(F.try_variant_get("_e", f"$.{f}", "string"), F.lit(""))
-    quotes = F.array_join(F.coalesce(F.try_variant_get("_e", "$.supporting_quotes", "array<string>"), F.array().cast("array<string>")), ";;;;;")
-    return rows.select(*keys, F.when(F.col("_o"), text("bullet_point")).otherwise(F.coalesce(F.col("_e").cast("string"), F.lit(""))).alias("bullet_point"), F.when(F.col("_o"), text("evidence_location")).otherwise("").alias("evidence_location"), F.when(F.col("_o"), quotes).otherwise("").alias("supporting_quotes"), F.col("_o").alias("schema_followed"))
-
-
-def normal_candidates(items: Column) -> Column:
-    """Array of (description, evidence_code) structs without blank descriptions and without repeats by lower-cased text, first kept."""
-    filled = F.filter(items, lambda x: F.trim(F.coalesce(x["description"], F.lit(""))) != "")
-    same = lambda x: F.lower(F.trim(x["description"]))
-    return F.filter(filled, lambda x, i: ~F.exists(F.slice(filled, 1, i), lambda y: same(y) == same(x)))
-
-
-def summary_text(bullets: Column, extra: Column) -> Column:
-    """Bullet texts of those that did not fail, then a block of additional inferences if there are any."""
-    good = F.filter(bullets, lambda b: F.coalesce(F.upper(b["verification_status"]), F.lit("")) != "FAIL")
-    lines = F.transform(good, lambda b: F.concat(F.lit("- "), b["bullet_point"]))
-    more = F.when(F.size(extra) > 0, F.concat(F.array(F.lit("Additional inferences:")), F.transform(extra, lambda x: F.concat(F.lit("- "), x)))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(lines, more), "\n")
+    return out
 
 
 def step_log(results: DataFrame, keys: Sequence[str], stages: Sequence[str], any_model: Sequence[str], model: str) -> DataFrame:
@@ -138,23 +96,69 @@ def first_success(results: DataFrame, keys: Sequence[str], position: str, prefer
     return good.groupBy(*keys).agg(F.min_by("model", "_r").alias("model"), F.min_by("data", "_r").alias("data"))
 
 
+#: What an error of a blocked answer says.
+BLOCKED = ["content_filter", "refus", "json parsing failed after retries"]
+
+
 def guardrail(raw: Column, tokens: Column, error: Column) -> Column:
-    """Whether an answer was blocked."""
+    """Whether an answer was blocked: it is there but empty, has at most two tokens, or an error says so.  A missing answer alone
+    is not blocked."""
     e = F.lower(F.coalesce(error, F.lit("")))
-    said = e.contains("content_filter") | e.contains("refus") | e.contains("json parsing failed after retries")
-    return (F.coalesce(raw, F.lit("")) == "") | F.coalesce(tokens <= 2, F.lit(False)) | said
+    out = F.coalesce(raw == "", F.lit(False)) | F.coalesce(tokens <= 2, F.lit(False))
+    for said in BLOCKED:
+        out = out | e.contains(said)
+    return out
 
 
 def guardrail_signature(raw: Column, tokens: Column, error: Column) -> Column:
-    """How it was blocked, the strongest sign first."""
+    """How it was blocked, the first sign that applies."""
     e = F.lower(F.coalesce(error, F.lit("")))
-    return F.when(e.contains("content_filter"), "content_filter").when(e.contains("refus"), "refusal").when(F.coalesce(tokens, F.lit(-1)) == 0, "zero_tokens").when(F.coalesce(raw, F.lit("")) == "", "empty").when(e.contains("json parsing failed after retries"), "parse_fail").otherwise("other")
-
-
-def pair_outcome(available: Column, mentioned: Column, passing: Column, summary: Column, generated: Column, verified: Column, blocked: Column) -> Column:
-    """Outcome of a pair from its stage states, the first that applies."""
-    n = lambda c: F.coalesce(c, F.lit(False))
-    return F.when(~n(available), "no_paper").when(~n(mentioned), "no_mention").when(n(verified), "complete").when(n(blocked), "guardrail").when(n(summary) & n(passing), "in_passing").when(n(generated), "verify_failed").when(n(summary), "generate_failed").otherwise("not_processed")
+    return F.when(e.contains("content_filter"), "content_filter").when(raw == "", "empty_response").when(tokens <= 2, "zero_output_tokens").when(e.contains("json parsing failed after retries"), "parse_fail_after_retries").otherwise("other")
+
+
+def stage_states(results: DataFrame, keys: Sequence[str], order: str = "model") -> DataFrame:
+    """State of each stage of each key from results (stage, success, data, usage, error): keys, stage, state, in_passing.
+
+    'success' if some result succeeded with data, else 'guardrail' if some failed one was blocked, else 'fail' if some failed; null
+    if none did either.  ``in_passing`` is what the first success by ``order`` says."""
+    v = F.try_parse_json("data")
+    of = lambda path: F.try_variant_get(v, path, "string")
+    use = F.try_parse_json("usage")
+    tokens = F.coalesce(F.try_variant_get(use, "$.completion_tokens", "long"), F.try_variant_get(use, "$.output_tokens", "long"), F.try_variant_get(use, "$.output", "long"))
+    error = F.concat_ws(" ", of("$.error"), F.col("error"))
+    good = F.col("success") & J.truthy(v)
+    failed = F.coalesce(~F.col("success"), F.lit(False))
+    passing = F.when(good, F.coalesce(of("$.only_in_passing") == "true", F.lit(False)))
+    d = results.withColumns({"_good": F.coalesce(good, F.lit(False)), "_failed": failed, "_hit": failed & guardrail(of("$.raw_response"), tokens, error), "_pass": passing})
+    state = F.when(F.bool_or("_good"), "success").when(F.bool_or("_hit"), "guardrail").when(F.bool_or("_failed"), "fail")
+    return d.groupBy(*keys, "stage").agg(state.alias("state"), F.coalesce(F.min_by("_pass", F.when(F.col("_good"), F.col(order))), F.lit(False)).alias("in_passing"))
+
+
+def pair_outcome(summary: Column, generated: Column, verified: Column, in_passing: Column) -> tuple[Column, Column]:
+    """Outcome of a pair from the states of its three stages, and the step that failed ('' for none)."""
+    is_ = lambda c, state: F.coalesce(c == state, F.lit(False))
+    done = is_(summary, "success")
+    outcome = (
+        F.when(is_(verified, "success"), "completed")
+        .when(is_(generated, "success"), "pds_no_verify")
+        .when(done & F.coalesce(in_passing, F.lit(False)), "in_passing")
+        .when(is_(generated, "guardrail") & done | is_(summary, "guardrail"), "guardrail_failed")
+        .when(is_(generated, "fail") & done | is_(summary, "fail"), "other_failed")
+        .when(done, "summary_only")
+        .otherwise("not_processed")
+    )
+    step = F.when(outcome.isin("guardrail_failed", "other_failed"), F.when(done, "generatePDs").otherwise("getGeneSummary")).otherwise("")
+    return outcome, step
+
+
+def pair_outcomes(results: DataFrame, keys: Sequence[str], stages: Sequence[str] = ("getGeneSummary", "generatePDs", "verifyPDs"), order: str = "model") -> DataFrame:
+    """keys, outcome, step for each key with results; ``stages`` names summary, generation and verification."""
+    states = stage_states(results.filter(F.col("stage").isin(list(stages))), keys, order)
+    of = lambda s: F.max(F.when(F.col("stage") == s, F.col("state")))
+    d = states.groupBy(*keys).agg(*[of(s).alias(f"_{i}") for i, s in enumerate(stages)], F.bool_or(F.when(F.col("stage") == stages[0], F.col("in_passing"))).alias("_p"))
+    d = results.select(*keys).distinct().join(d, list(keys), "left")
+    outcome, step = pair_outcome(F.col("_0"), F.col("_1"), F.col("_2"), F.col("_p"))
+    return d.select(*keys, outcome.alias("outcome"), step.alias("step"))
 
 
 def changed(before: Column, after: Column) -> Column:

@@ -71,58 +71,20 @@ def before_after_change(spark, sf_dir):
     return a.join(b, ["pmid", "gene_id"]).select("pmid", "gene_id", status.changed(F.col("before"), F.col("after")).alias("changed"), "before", "after")
 
 
-APD = """CASE event_id % 7 WHEN 0 THEN '[{"description":"a' || k || '","verification_status":"PASS"},{"description":"b"},"loose"]' WHEN 1 THEN '{"description":"one","evidence_code":"IDA"}' WHEN 2 THEN '{"x":{"description":"u"},"y":{"description":"v","audit_status":"OK"}}'
- WHEN 3 THEN '"just text"' WHEN 4 THEN NULL WHEN 5 THEN '{broken' ELSE 'null' END"""
-
-
-def _apd(spark, sf_dir):
-    return results(spark, sf_dir).select("event_id", F.expr(APD.replace("k ||", "cast(k as string) ||")).alias("raw"))
-
-
-@query(f"""WITH {RESULTS} SELECT event_id, x.description, x.verification_status, x.evidence_code, '' AS code_reason, x.audit_status, '' AS audit_reason, x.ok AS schema_followed FROM (SELECT event_id, unnest(CASE event_id % 7
-WHEN 0 THEN [{{description: 'a' || k, verification_status: 'PASS', evidence_code: '', audit_status: '', ok: TRUE}}, {{description: 'b', verification_status: '', evidence_code: '', audit_status: '', ok: TRUE}}, {{description: 'loose', verification_status: '', evidence_code: '', audit_status: '', ok: FALSE}}]
-WHEN 1 THEN [{{description: 'one', verification_status: '', evidence_code: 'IDA', audit_status: '', ok: FALSE}}]
-WHEN 2 THEN [{{description: 'u', verification_status: '', evidence_code: '', audit_status: '', ok: FALSE}}, {{description: 'v', verification_status: '', evidence_code: '', audit_status: 'OK', ok: FALSE}}]
-WHEN 3 THEN [{{description: 'just text', verification_status: '', evidence_code: '', audit_status: '', ok: FALSE}}] END) AS x FROM results)""")
-def apd_polymorphic_flatten(spark, sf_dir):
-    return status.flatten_candidates(_apd(spark, sf_dir), "raw", ["event_id"])
-
-
-@query(f"""WITH {RESULTS} SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'a' || k WHEN 1 THEN 'one' WHEN 3 THEN 'just text' ELSE '' END AS description, CASE event_id % 7 WHEN 0 THEN 'PASS' ELSE '' END AS verification_status, CASE event_id % 7 WHEN 1 THEN 'IDA' ELSE '' END AS evidence_code FROM results""")
-def row_core(spark, sf_dir):
-    return status.first_row_core(_apd(spark, sf_dir), "raw", ["event_id"]).select("event_id", "description", "verification_status", "evidence_code")
-
-
-BULLETS = """CASE event_id % 4 WHEN 0 THEN '[{"bullet_point":"p","evidence_location":"L","supporting_quotes":["q1","q2"]},"text"]' WHEN 1 THEN '{"bullet_point":"single"}' WHEN 2 THEN '[]' ELSE NULL END"""
-
-
-@query("""SELECT event_id, x.b AS bullet_point, x.l AS evidence_location, x.q AS supporting_quotes, x.ok AS schema_followed FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN [{b: 'p', l: 'L', q: 'q1;;;;;q2', ok: TRUE}, {b: 'text', l: '', q: '', ok: FALSE}] WHEN 1 THEN [{b: 'single', l: '', q: '', ok: TRUE}] END) AS x FROM events)""")
-def bullets_flatten(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select("event_id", F.expr(BULLETS).alias("raw"))
-    return status.flatten_bullets(d, "raw", ["event_id"])
-
-
-@query("""WITH i AS (SELECT user_id, trim(d) AS d, min(event_id) AS o FROM (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN upper(event_type) WHEN 2 THEN NULL ELSE event_type END AS d FROM events WHERE event_id < 3000) WHERE trim(coalesce(d, '')) <> '' GROUP BY 1, 2),
-k AS (SELECT user_id, arg_min(d, o) AS d, min(o) AS o FROM i GROUP BY user_id, lower(d)) SELECT user_id, string_agg(d, '|' ORDER BY o) AS kept FROM k GROUP BY 1""")
-def candidate_normaliser(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 3000").withColumn("description", F.expr("case event_id % 5 when 0 then ' ' when 1 then upper(event_type) when 2 then null else event_type end"))
-    items = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "description"))).alias("i"))
-    return items.select("user_id", F.array_join(F.transform(status.normal_candidates(F.col("i")), lambda x: x["description"]), "|").alias("kept")).filter("kept <> ''")
-
-
-@query("""SELECT event_id, CASE WHEN contains(s, 'PD_without_summary') THEN 'no_summary_step' WHEN contains(s, 'Option_1_baseline') THEN 'Option_1_baseline' WHEN contains(s, 'Option_2') THEN 'Option_2' WHEN contains(s, 'Option_3') THEN 'Option_3' ELSE 'baseline' END AS variation FROM
-(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'verifyPDs_Option_1_baseline' WHEN 1 THEN 'selectPD_Option_2' WHEN 2 THEN 'PD_without_summary' WHEN 3 THEN 'generatePDs' ELSE 'x_Option_3_Option_4' END AS s FROM events)""")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Option_1_baseline' WHEN 1 THEN 'Option_2_verify_summary' WHEN 2 THEN 'Option_3_verify_pds' WHEN 3 THEN 'Option_4_select_pd' WHEN 4 THEN 'Option_2+3_combined' WHEN 5 THEN 'Option_2+4_combined' ELSE 'baseline' END AS variation FROM events""")
 def variation_tag(spark, sf_dir):
-    s = F.expr("case event_id % 5 when 0 then 'verifyPDs_Option_1_baseline' when 1 then 'selectPD_Option_2' when 2 then 'PD_without_summary' when 3 then 'generatePDs' else 'x_Option_3_Option_4' end")
-    return table(spark, sf_dir, "events").select("event_id", status.variation(s).alias("variation"))
+    keys = ["verifyPDs_Option_1_baseline", "verifyGeneSummary_Option_2_verify_summary", "x_Option_3_verify_pds_y", "selectPD_Option_4_select_pd", "generatePDs_Option_2+3_combined", "Option_2+4_combined", "PD_without_summary", "generatePDs_Option_2"]
+    e = table(spark, sf_dir, "events")
+    s = F.get(F.array(*map(F.lit, keys)), (F.col("event_id") % 8).cast("int"))
+    return e.select("event_id", status.variation(s).alias("variation"))
 
 
 ANSWERS = {"raw": "CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE event_type END", "tokens": "CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN NULL ELSE CAST(event_id % 10 AS INTEGER) END", "err": "CASE event_id % 9 WHEN 0 THEN 'Content_Filter hit' WHEN 1 THEN 'model refused' WHEN 2 THEN 'JSON parsing failed after retries' ELSE NULL END"}
 ANSWER_SQL = "(SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in ANSWERS.items()) + " FROM events)"
 
 
-@query(f"""SELECT event_id, coalesce(raw, '') = '' OR coalesce(tokens <= 2, FALSE) OR contains(e, 'content_filter') OR contains(e, 'refus') OR contains(e, 'json parsing failed after retries') AS blocked,
-CASE WHEN contains(e, 'content_filter') THEN 'content_filter' WHEN contains(e, 'refus') THEN 'refusal' WHEN coalesce(tokens, -1) = 0 THEN 'zero_tokens' WHEN coalesce(raw, '') = '' THEN 'empty' WHEN contains(e, 'json parsing failed after retries') THEN 'parse_fail' ELSE 'other' END AS signature
+@query(f"""SELECT event_id, raw IS NOT DISTINCT FROM '' OR coalesce(tokens <= 2, FALSE) OR contains(e, 'content_filter') OR contains(e, 'refus') OR contains(e, 'json parsing failed after retries') AS blocked,
+CASE WHEN contains(e, 'content_filter') THEN 'content_filter' WHEN raw = '' THEN 'empty_response' WHEN tokens <= 2 THEN 'zero_output_tokens' WHEN contains(e, 'json parsing failed after retries') THEN 'parse_fail_after_retries' ELSE 'other' END AS signature
 FROM (SELECT *, lower(coalesce(err, '')) AS e FROM {ANSWER_SQL})""")
 def guardrail_signature(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", *[F.expr(c).alias(n) for n, c in ANSWERS.items()])
@@ -130,17 +92,21 @@ def guardrail_signature(spark, sf_dir):
     return d.select("event_id", status.guardrail(*args).alias("blocked"), status.guardrail_signature(*args).alias("signature"))
 
 
-OUTCOME = """CASE WHEN NOT a THEN 'no_paper' WHEN NOT m THEN 'no_mention' WHEN v THEN 'complete' WHEN b THEN 'guardrail' WHEN s AND p THEN 'in_passing' WHEN g THEN 'verify_failed' WHEN s THEN 'generate_failed' ELSE 'not_processed' END"""
+#: What a result says, by event: failed ones are blocked or not, successes may be in passing or hold nothing.
+SAID = """CASE WHEN success THEN CASE k % 5 WHEN 0 THEN '{}' WHEN 1 THEN '{"only_in_passing":true}' ELSE '{"only_in_passing":false,"n":1}' END
+ ELSE CASE event_id % 3 WHEN 0 THEN '{"raw_response":""}' WHEN 1 THEN '{"error":"Refused"}' ELSE '{"raw_response":"x"}' END END"""
 
 
-@query(f"""WITH {RESULTS}, x AS (SELECT pmid, gene_id, pmid % 11 <> 0 AS a, gene_id % 7 <> 0 AS m, bool_or(k % 6 = 0) AS p, coalesce(bool_or(success) FILTER (stage = 'click'), FALSE) AS s, coalesce(bool_or(success) FILTER (stage = 'view'), FALSE) AS g, coalesce(bool_or(success) FILTER (stage = 'purchase'), FALSE) AS v, bool_or(k = 2) AS b FROM results GROUP BY pmid, gene_id)
-SELECT outcome, count(*) AS n FROM (SELECT {OUTCOME} AS outcome FROM x) GROUP BY 1""")
+@query(f"""WITH {RESULTS}, p AS (SELECT *, event_id // 3 % 997 AS pair FROM results),
+s AS (SELECT pair, stage, bool_or(success AND k % 5 <> 0) AS good, bool_or(NOT success AND event_id % 3 <> 2) AS blocked, bool_or(NOT success) AS failed, arg_min(k % 5 = 1, event_id) FILTER (success AND k % 5 <> 0) AS passing FROM p GROUP BY 1, 2),
+t AS (SELECT pair, stage, CASE WHEN good THEN 'success' WHEN blocked THEN 'guardrail' WHEN failed THEN 'fail' END AS state, coalesce(passing, FALSE) AS passing FROM s),
+w AS (SELECT pair, max(state) FILTER (stage = 'click') AS s, max(state) FILTER (stage = 'view') AS g, max(state) FILTER (stage = 'purchase') AS v, coalesce(bool_or(passing) FILTER (stage = 'click'), FALSE) AS p FROM t GROUP BY 1)
+SELECT pair, CASE WHEN v = 'success' THEN 'completed' WHEN g = 'success' THEN 'pds_no_verify' WHEN s = 'success' THEN CASE WHEN p THEN 'in_passing' WHEN g = 'guardrail' THEN 'guardrail_failed' WHEN g = 'fail' THEN 'other_failed' ELSE 'summary_only' END
+ WHEN s = 'guardrail' THEN 'guardrail_failed' WHEN s = 'fail' THEN 'other_failed' ELSE 'not_processed' END AS outcome,
+CASE WHEN coalesce(v, '') = 'success' OR coalesce(g, '') = 'success' THEN '' WHEN s = 'success' THEN CASE WHEN NOT p AND g IN ('guardrail', 'fail') THEN 'generatePDs' ELSE '' END WHEN s IN ('guardrail', 'fail') THEN 'getGeneSummary' ELSE '' END AS step FROM w""")
 def pair_outcome(spark, sf_dir):
-    r = results(spark, sf_dir)
-    done = lambda s: F.bool_or((F.col("stage") == s) & F.col("success"))
-    x = r.groupBy("pmid", "gene_id").agg(F.bool_or(F.col("k") % 6 == 0).alias("p"), done("click").alias("s"), done("view").alias("g"), done("purchase").alias("v"), F.bool_or(F.col("k") == 2).alias("b"))
-    out = status.pair_outcome(F.col("pmid") % 11 != 0, F.col("gene_id") % 7 != 0, F.col("p"), F.col("s"), F.col("g"), F.col("v"), F.col("b"))
-    return reports.counts(x.withColumn("outcome", out), ["outcome"])
+    r = results(spark, sf_dir).withColumns({"pair": F.expr("event_id div 3 % 997"), "data": F.expr(SAID), "usage": F.lit("{}"), "error": F.lit(None).cast("string")})
+    return status.pair_outcomes(r, ["pair"], ["click", "view", "purchase"], "event_id")
 
 
 @query("""SELECT event_type AS step, 'p' || CAST(user_id % 3 AS VARCHAR) AS provider, 'm' || CAST(event_id % 3 AS VARCHAR) AS model, count(*) AS calls, round(sum(value), 4) AS elapsed, CAST(sum(CASE WHEN event_id % 2 = 0 THEN CAST(props->>'$.k' AS BIGINT) ELSE 0 END) AS BIGINT) AS tokens, round(sum(CASE WHEN user_id % 3 = 1 THEN value / 100 ELSE 0 END), 4) AS cost FROM events GROUP BY 1, 2, 3""")
@@ -166,17 +132,17 @@ def stage_totals(spark, sf_dir):
     return results(spark, sf_dir).agg(*[F.count_if((F.col("stage") == s) & F.col("success")).alias(s) for s in ("click", "view", "purchase")])
 
 
-@query("""SELECT event_id, regexp_matches(c, '^(EXP|IDA|IPI|IMP|IGI|IEP|HTP|HDA|HMP|HGI|HEP|ISS|ISO|ISA|ISM|IGC|TAS|NAS|IC|ND|IEA)( *; *(EXP|IDA|IPI|IMP|IGI|IEP|HTP|HDA|HMP|HGI|HEP|ISS|ISO|ISA|ISM|IGC|TAS|NAS|IC|ND|IEA))*$') AS valid FROM
-(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'IDA' WHEN 1 THEN 'IDA; IMP' WHEN 2 THEN 'IDA, IMP' WHEN 3 THEN 'ABC' ELSE '' END AS c FROM events)""")
+@query("""SELECT event_id, event_id % 9 IN (0, 1, 2, 6) AS valid FROM events""")
 def evidence_code_check(spark, sf_dir):
-    c = F.expr("case event_id % 5 when 0 then 'IDA' when 1 then 'IDA; IMP' when 2 then 'IDA, IMP' when 3 then 'ABC' else '' end")
+    codes = ["IDA", "IDA; IMP", "IDA;RCA", "IDA, IMP", "ABC", "", "IEA", "ND", "IDA;  IMP"]
+    c = F.get(F.array(*map(F.lit, codes)), (F.col("event_id") % 9).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", J.valid_evidence(c).alias("valid"))
 
 
-FREE = """CASE event_id % 5 WHEN 0 THEN 'Sure: ' || props || ' done' WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'no json' WHEN 3 THEN props ELSE '```' || chr(10) || 'bad' || chr(10) || '``` ' || props END"""
+FREE = """CASE event_id % 7 WHEN 5 THEN '```JSON' || chr(10) || props || chr(10) || '```' WHEN 6 THEN 'see [' || props || '] and more' WHEN 0 THEN 'Sure: ' || props || ' done' WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'no json' WHEN 3 THEN props ELSE '```' || chr(10) || 'bad' || chr(10) || '``` ' || props END"""
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 3) THEN CAST(props->>'$.k' AS INTEGER) END AS exact, CASE WHEN event_id % 5 IN (0, 1, 3) THEN CAST(props->>'$.k' AS INTEGER) END AS fast FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 3, 5, 6) THEN CAST(props->>'$.k' AS INTEGER) END AS exact, CASE WHEN event_id % 7 IN (0, 1, 3, 5, 6) THEN CAST(props->>'$.k' AS INTEGER) END AS fast FROM events""")
 def json_in_text(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", F.expr(FREE).alias("t"))
     k = lambda c: F.get_json_object(c, "$.k").cast("int")
@@ -190,14 +156,6 @@ def flattened_columns(spark, sf_dir):
     return status.flatten_columns(d, "_")
 
 
-@query("""SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'Additional inferences:' || chr(10) || '- more' ELSE '' END AS summary FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id""")
-def extended_summary(spark, sf_dir):
-    bullets = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("bullet_point"), F.when(F.col("turn") % 3 == 1, "fail").otherwise("PASS").alias("verification_status"))))
-    extra = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("more"))).otherwise(F.array().cast("array<string>"))
-    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(bullets.alias("b"), F.max(F.when(F.col("turn") % 3 != 1, 1)).alias("_any"))
-    return d.filter("_any = 1").select("conv_id", status.summary_text(F.col("b"), extra).alias("summary"))
-
-
 @query("""SELECT c_custkey, s.main, s.suppl, CASE WHEN s.main > 0 THEN 'main' WHEN s.suppl > 0 THEN 'supplement' ELSE 'none' END AS gene_source, contains(lower(c_mktsegment), 'auto') AS wanted FROM (SELECT *, c_custkey % 3 AS main, c_custkey % 2 AS suppl FROM customer) s""")
 def source_gate(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("main", F.col("c_custkey") % 3).withColumn("suppl", F.col("c_custkey") % 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import similarity as M
 from paperloom.functions import text as T
 from paperloom.functions import values as V
-from paperloom.operators import ranking, relational, reports
+from paperloom.operators import ranking, relational, reports, supplements
 from paperloom.plans.registry import query, table
 
 TERMS = ["thing", "nicht", "the", "und", "de", "la"]
@@ -21,14 +21,13 @@ def _terms(spark):
 
 @query(f"SELECT doc_id, term, {COUNT} AS n FROM documents, (VALUES {TERM_ROWS}) t(term) WHERE {COUNT} > 0")
 def term_mentions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), T.mentions(F.col("text"), F.lit(t)).alias("n")) for t in TERMS]))
-    return d.select("doc_id", each.alias("x")).select("doc_id", "x.term", "x.n").filter("n > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.plain_mentions(F.col("text"), TERMS)).alias("x"))
+    return d.select("doc_id", "x.term", "x.n").filter("n > 0")
 
 
 @query(f"SELECT doc_id, CAST(sum({COUNT}) AS BIGINT) AS n FROM documents, (VALUES {TERM_ROWS}) t(term) GROUP BY 1")
 def entity_in_text(spark, sf_dir):
-    total = sum((T.mentions(F.col("text"), F.lit(t)) for t in TERMS), F.lit(0).cast("long"))
+    total = F.aggregate(T.plain_mentions(F.col("text"), TERMS), F.lit(0).cast("long"), lambda n, x: n + x["n"])
     return table(spark, sf_dir, "documents").select("doc_id", total.alias("n"))
 
 
@@ -40,7 +39,7 @@ def any_term_mentions(spark, sf_dir):
 
 @query(f"""SELECT doc_id, term, n, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rn FROM (SELECT doc_id, term, {COUNT} AS n FROM documents, (VALUES {TERM_ROWS}) t(term))) WHERE rn <= 3""")
 def top3_aliases(spark, sf_dir):
-    each = F.array(*[F.struct((-T.mentions(F.col("text"), F.lit(t))).alias("n"), F.lit(t).alias("term")) for t in TERMS])
+    each = F.transform(T.plain_mentions(F.col("text"), TERMS), lambda x: F.struct((-x["n"]).alias("n"), x["term"].alias("term")))
     best = F.slice(F.array_sort(each), 1, 3)
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(best).alias("rn", "x")).select("doc_id", "x.term", (-F.col("x.n")).alias("n"), (F.col("rn") + 1).alias("rn"))
 
@@ -74,19 +73,24 @@ def csv_list_explode(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.explode(V.split_list(l)).alias("id"))
 
 
-@query("""SELECT conv_id, coalesce(string_agg(text || chr(10), '' ORDER BY turn) FILTER (upper(role) IN ('USER', 'SYSTEM')), '') AS text FROM conversations GROUP BY 1""")
+SECTION = "CASE turn % 6 WHEN 0 THEN 'Results' WHEN 1 THEN 'TITLE' WHEN 2 THEN 'DISCUSSION' WHEN 3 THEN 'METHODS' WHEN 4 THEN 'suppl' ELSE 'INTRO' END"
+
+
+@query(f"""SELECT conv_id, coalesce(string_agg(text || chr(10), '' ORDER BY turn) FILTER (upper({SECTION}) IN ('RESULTS', 'FIG', 'DISCUSSION', 'DISCUSS', 'CONCLUSION', 'FIGURE', 'CONCL', 'TABLE', 'SUPPL')), '') AS text FROM conversations GROUP BY 1""")
 def section_filter(spark, sf_dir):
-    passages = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("section_type"), "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(passages.alias("p")).select("conv_id", T.article_text(F.col("p"), ["USER", "SYSTEM"]).alias("text"))
+    passages = F.array_sort(F.collect_list(F.struct("turn", F.expr(SECTION).alias("section_type"), "text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(passages.alias("p")).select("conv_id", T.article_text(F.col("p")).alias("text"))
 
 
-STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-TOKENS = "list_filter(string_split_regex(lower({0}), '[ \\t\\n\\f\\r\\x0B\\-_.(),/\\\\]+'), lambda w: regexp_matches(w, '[a-z]') AND w NOT IN (" + STOP + "))"
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+KEPT_WORDS = f"list_filter(string_split_regex(lower({{0}}), '[ \\t\\n\\f\\r\\x0B]+'), lambda w: w NOT IN ({STOP}))"
+SPELT = "replace(replace(replace(w, 'β', 'beta'), 'γ', 'gamma'), 'δ', 'delta')"
+TOKENS = f"list_filter(flatten(list_transform({KEPT_WORDS}, lambda w: string_split_regex({SPELT}, '[-_.(),/\\\\]'))), lambda w: regexp_matches(w, '[a-z]') AND w NOT IN ({STOP}))"
 
 
-@query(f"""SELECT p_partkey, array_to_string({TOKENS.format("replace(replace(replace(p_name || ' (β-' || p_type || ') of Γ/δ', 'β', 'beta'), 'Γ', 'gamma'), 'δ', 'delta')")}, ' ') AS cleaned FROM part""")
+@query(f"""SELECT p_partkey, array_to_string({TOKENS.format("p_name || ' (β-' || p_type || ') of Γ/δ, using don''t-via the/data'")}, ' ') AS cleaned FROM part""")
 def clean_descriptions(spark, sf_dir):
-    c = F.concat("p_name", F.lit(" (β-"), "p_type", F.lit(") of Γ/δ"))
+    c = F.concat("p_name", F.lit(" (β-"), "p_type", F.lit(") of Γ/δ, using don't-via the/data"))
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_text(c).alias("cleaned"))
 
 
@@ -100,11 +104,10 @@ def prompt_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", stripped.alias("stripped"), T.known_as(name, F.array("p_brand", "p_type")).alias("known"), prompt.alias("prompt"), V.join_non_blank([name, F.when(F.col("p_size") % 2 != 0, F.col("p_type"))]).alias("joined"))
 
 
-@query("""SELECT user_id, string_agg(CAST(rn AS VARCHAR) || '. ' || event_type || ' [evidence_code: ' || CAST(event_id AS VARCHAR) || ']', chr(10) ORDER BY event_id) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 5 GROUP BY 1""")
+@query("""SELECT user_id, string_agg(CAST(rn AS VARCHAR) || '. ' || event_type || ' [evidence_code: ' || CAST(event_id AS VARCHAR) || ']', chr(10) ORDER BY event_id) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) GROUP BY 1""")
 def numbered_lines(spark, sf_dir):
-    first = ranking.first_k(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], 5)
     items = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("description"), F.col("event_id").cast("string").alias("evidence_code"))))
-    return first.groupBy("user_id").agg(T.numbered(items).alias("lines"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(T.numbered(items).alias("lines"))
 
 
 @query("""SELECT doc_id, min_by_key AS matched_key, exact FROM (SELECT d.doc_id, coalesce(a.k, b.k) AS min_by_key, a.k IS NOT NULL AS exact FROM (SELECT doc_id, regexp_replace(lower(text), '[ \\t\\n\\f\\r\\x0B]+', '', 'g') AS n FROM documents WHERE doc_id % 2 = 0) d
@@ -116,16 +119,16 @@ def prefix_fuzzy_match(spark, sf_dir):
     return relational.prefix_match(d.filter("doc_id % 2 = 0").select("doc_id", "text"), right, "text", "key").select("doc_id", "matched_key", "exact")
 
 
-@query("""SELECT p.page_id, coalesce(a.c, b.c) AS caption FROM (SELECT page_id, 'File' || CAST(page_id AS VARCHAR) || '.PDF' AS f FROM pages) p
+@query("""SELECT p.page_id, coalesce(a.c, b.c, '') AS caption FROM (SELECT page_id, 'File' || CAST(page_id AS VARCHAR) || '.PDF' AS f FROM pages) p
 LEFT JOIN (SELECT 'File' || CAST(n_nationkey AS VARCHAR) || '.PDF' AS f, n_name AS c FROM nation WHERE n_nationkey % 2 = 0) a ON a.f = p.f
-LEFT JOIN (SELECT 'file' || CAST(n_nationkey AS VARCHAR) AS f, n_name AS c FROM nation) b ON b.f = lower(regexp_replace(p.f, '\\.[^.]*$', ''))""")
+LEFT JOIN (SELECT 'file' || CAST(n_nationkey AS VARCHAR) AS f, lower(n_name) AS c FROM nation) b ON b.f = lower(regexp_replace(p.f, '\\.[^.]*$', ''))""")
 def caption_match(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("File"), F.col("page_id").cast("string"), F.lit(".PDF")).alias("f"))
+    file = F.concat(F.lit("File"), F.col("page_id").cast("string"), F.lit(".PDF"))
+    p = table(spark, sf_dir, "pages").select(F.lit(1).alias("pmid"), "page_id", F.concat(F.lit("dir/"), file).alias("file"))
     n = table(spark, sf_dir, "nation")
-    exact = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("File"), F.col("n_nationkey").cast("string"), F.lit(".PDF")).alias("f"), F.col("n_name").alias("_a"))
-    loose = n.select(F.concat(F.lit("file"), F.col("n_nationkey").cast("string")).alias("_s"), F.col("n_name").alias("_b"))
-    d = p.join(exact, "f", "left").withColumn("_s", F.lower(V.stem(F.col("f")))).join(loose, "_s", "left")
-    return d.select("page_id", F.coalesce("_a", "_b").alias("caption"))
+    exact = n.filter("n_nationkey % 2 = 0").select(F.lit(1).alias("pmid"), F.lit(1).alias("pos"), F.concat(F.lit("File"), F.col("n_nationkey").cast("string"), F.lit(".PDF")).alias("file"), F.col("n_name").alias("caption"))
+    loose = n.select(F.lit(1).alias("pmid"), F.lit(0).alias("pos"), F.concat(F.lit("FILE"), F.col("n_nationkey").cast("string"), F.lit(".doc")).alias("file"), F.lower("n_name").alias("caption"))
+    return supplements.match_captions(p, exact.unionByName(exact).unionByName(loose)).select("page_id", "caption")
 
 
 @query("""SELECT user_id, coalesce(arg_min(a, event_id) FILTER (trim(a) <> ''), '') AS a, coalesce(arg_min(b, event_id) FILTER (trim(b) <> ''), '') AS b FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN ' ' END AS a, CASE WHEN event_type = 'purchase' THEN props ELSE '' END AS b FROM events) GROUP BY 1""")
@@ -186,10 +189,6 @@ def _descriptions(spark, sf_dir):
     return d.withColumn("a", F.split("x", " ")).withColumn("b", F.split("y", " "))
 
 
-LEFT = "len(list_filter(list_distinct(a), lambda t: NOT list_contains(b, t)))"
-RIGHT = "len(list_filter(list_distinct(b), lambda t: NOT list_contains(a, t)))"
-
-
 @query(f"""WITH {DESCRIPTIONS} SELECT p_partkey, CAST(x = y AS DOUBLE) AS exact, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(b)), 6) AS precision_jaccard,
 round(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)), 6) AS edit FROM d""")
 def token_jaccard(spark, sf_dir):
@@ -197,10 +196,16 @@ def token_jaccard(spark, sf_dir):
     return _descriptions(spark, sf_dir).select("p_partkey", M.exact_match(x, y).alias("exact"), F.round(M.jaccard(a, b), 6).alias("jaccard"), F.round(M.precision_jaccard(a, b), 6).alias("precision_jaccard"), F.round(M.edit_similarity(x, y), 6).alias("edit"))
 
 
-@query(f"""WITH {DESCRIPTIONS}, n AS (SELECT *, {LEFT} AS l, {RIGHT} AS r FROM d) SELECT p_partkey, CAST((greatest(l, r) = 1) OR (l = 0 AND r = 0 AND x <> y) AS DOUBLE) AS loose, CAST(greatest(l, r) = 1 AS DOUBLE) AS strict FROM n""")
+WORD_PAIRS = [("a b c", "a b d"), ("a b", "a b c"), ("a b c", "a b"), ("a b b", "a c"), ("a a a b", "a"), ("a a", "a"), ("b a", "a b"), ("a b", "a b"), ("a b c", "a d e"), ("", "a"), (None, "a"), ("a b c d", "a b"), ("a  b", "a b")]
+
+
+@query("""SELECT p_partkey, CAST(CASE p_partkey % 13 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN NULL WHEN 10 THEN NULL WHEN 11 THEN 0 ELSE 1 END AS DOUBLE) AS off,
+CAST(CASE p_partkey % 13 WHEN 0 THEN 2.0 / 3 WHEN 1 THEN 2.0 / 3 WHEN 2 THEN 1 WHEN 3 THEN 0.5 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 1.0 / 3 WHEN 9 THEN 0 WHEN 10 THEN 0 WHEN 11 THEN 1 ELSE 1 END AS DOUBLE) AS prec FROM part""")
 def one_word_off(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    return _descriptions(spark, sf_dir).select("p_partkey", M.one_word_off(a, b).alias("loose"), M.one_word_off(a, b, False).alias("strict"))
+    pick = lambda i: F.get(F.array(*[F.lit(p[i]) for p in WORD_PAIRS]), (F.col("p_partkey") % 13).cast("int"))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    d = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("a"), pick(1).alias("b"))
+    return d.select("p_partkey", M.one_word_off(F.col("a"), F.col("b")).alias("off"), M.precision_jaccard(words(F.col("a")), words(F.col("b"))).alias("prec"))
 
 
 @query("""SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")

@@ -77,6 +77,67 @@ def comments(spark: SparkSession, path: str, wanted: DataFrame | None = None) ->
     return d.select("id", "organism", "primary_id", join("pubmed_ids").alias("pubmed_ids"), join("related_ids").alias("related_ids"), "headline", "content", from_millis(F.col("created")).alias("created"))
 
 
+#: The columns of a comment table, in order, and where a comment object has them.  A list is joined by '; ', or by what
+#: stands behind it.
+COMMENT_COLUMNS = {
+    "Comment ID": "id",
+    "Gene ID": "target.id",
+    "Database": "project.name",
+    "Organism": "organism",
+    "Headline": "headline",
+    "Content": "content",
+    "Comment Date": "commentDate",
+    "Categories": "categories",
+    "Author First Name": "author.firstName",
+    "Author Last Name": "author.lastName",
+    "Author Organization": "author.organization",
+    "Author User ID": "author.userId",
+    "Review Status": "reviewStatus",
+    "Conceptual": "conceptual",
+    "PubMed IDs": "pubMedRefs.id",
+    "PubMed Titles": "pubMedRefs.title",
+    "PubMed Journals": "pubMedRefs.journal",
+    "PubMed Authors": "pubMedRefs.author",
+    "Related Stable IDs": "relatedStableIds",
+    "Digital Object IDs": "digitalObjectIds",
+    "Project Name": "project.name",
+    "Project Version": "project.version",
+    "External Database": "externalDatabase.name",
+    "External Database Version": "externalDatabase.version",
+    "Location Reverse": "location.reverse",
+    "Location Coordinate Type": "location.coordinateType",
+    "GenBank Accessions": "genBankAccessions",
+    "Target ID": "target.id",
+    "Target Type": "target.type",
+    "Location Start": "location.ranges.start",
+    "Location End": "location.ranges.end",
+}
+_REF, _NAMED = "array<struct<id:string,title:string,journal:string,author:string>>", "struct<name:string,version:string>"
+COMMENT_SCHEMA = f"""id string, organism string, headline string, content string, commentDate long, reviewStatus string, conceptual string,
+categories array<string>, relatedStableIds array<string>, digitalObjectIds array<string>, genBankAccessions array<string>, pubMedRefs {_REF},
+target struct<id:string,type:string>, project {_NAMED}, externalDatabase {_NAMED}, author struct<firstName:string,lastName:string,organization:string,userId:string>,
+location struct<reverse:string,coordinateType:string,ranges:array<struct<start:long,end:long>>>"""
+
+
+def comment_table(raw: DataFrame, text: str = "raw") -> DataFrame:
+    """Comment objects (JSON text) as the columns of ``COMMENT_COLUMNS``: lists joined without blank entries, the first range of a
+    location, the date as a timestamp."""
+    d = raw.select(F.from_json(text, COMMENT_SCHEMA).alias("c"))
+
+    def cell(name: str, path: str):
+        c = F.col(f"c.{path}")
+        if path == "commentDate":
+            return from_millis(c)
+        if path.startswith("location.ranges"):
+            return F.get(c, F.lit(0))
+        if path.startswith("pubMedRefs") or path in ("categories", "relatedStableIds", "digitalObjectIds", "genBankAccessions"):
+            held = F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+            return F.array_join(held, "; " if path.count(".") == 0 or path.endswith(".id") else " | ")
+        return c
+
+    return d.select(*[cell(n, p).alias(n) for n, p in COMMENT_COLUMNS.items()])
+
+
 def call_log(spark: SparkSession, path: str) -> DataFrame:
     """Call events, one JSON per line: ts, provider, step, model, elapsed, tokens, cost."""
     d = spark.read.schema("ts double, provider string, step string, model string, elapsed_s double, metrics map<string,double>").json(path)

@@ -55,12 +55,13 @@ def test_values(spark):
     assert [r[0] for r in n.select(values.percent(F.col("a"), F.col("b"))).collect()] == [12.5, None, 12.5]
 
 
-JSON = [('{"a": 1}', '{"a":1}'), ("x ```json\n[1, 2]\n``` y", "[1,2]"), ("```\nbad\n``` {\"a\":1}", None), ("pre {\"a\": {\"b\": 2}} post", '{"a":{"b":2}}'), ('{"a":1} {"b":2}', None), ("[1] tail", "[1]"), ("", None), (None, None), ("3", "3")]
+JSON = [("```JSON\n{\"a\": 1}\n```", '{"a":1}'), ("a } b { c [1]", "[1]"), ('{"a": 1}', '{"a":1}'), ("x ```json\n[1, 2]\n``` y", "[1,2]"), ("```\nbad\n``` {\"a\":1}", None), ("pre {\"a\": {\"b\": 2}} post", '{"a":{"b":2}}'), ('{"a":1} {"b":2}', None), ("[1] tail", "[1]"), ("", None), (None, None), ("3", "3")]
 
 
 def test_json(spark):
     df = spark.createDataFrame([(t,) for t, _ in JSON], "t string")
     assert [r[0] for r in df.select(llmjson.extract_json("t")).collect()] == [w for _, w in JSON]
+    assert [r[0] for r in df.select(llmjson.extract_json_fast(F.col("t"))).collect()] == [w for _, w in JSON]
     assert llmjson.close_json('x {"a": [1, {"b": "c"}, {"d": "unfin') == '{"a":[1,{"b":"c"},{}]}'
     assert llmjson.close_json("") is None
     u = spark.createDataFrame([('{"prompt_tokens": 3, "completion_tokens": 4}',), ('{"input": 1, "output": 2, "total": 9}',), (None,)], "u string")
@@ -88,5 +89,25 @@ def test_average_rank_is_pandas(spark):
 
 
 def test_cleaning(spark):
-    d = spark.createDataFrame([("The α-Kinase (ABC1), of ABC12", ["ABC1"]), (None, []), ("x.y", [])], "t string, s array<string>")
-    assert [r[0] for r in d.select(text.clean_text(F.col("t"), F.col("s"))).collect()] == ["alpha kinase abc12", None, "x y"]
+    d = spark.createDataFrame([("The α-Kinase (ABC1), of ABC12", ["ABC1"]), (None, []), ("x.z", [])], "t string, s array<string>")
+    assert [r[0] for r in d.select(text.clean_text(F.col("t"), F.col("s"))).collect()] == ["alpha kinase abc12", "", "x z"]
+
+
+def test_stop_words_lemmas_and_templates(spark):
+    d = spark.createDataFrame([("Don't use DNA-binding (the Kinases) via data/sets",)], "t string")
+    assert d.select(text.tokens(F.col("t"))).head()[0] == ["use", "dna", "binding", "kinases", "sets"]
+    assert d.select(text.tokens(F.col("t"), lemma=lambda w: F.regexp_replace(w, r"s\)$", ")"))).head()[0] == ["use", "dna", "binding", "kinase", "sets"]
+    filled = text.fill_template(F.lit("[A] [B] [C] [D]"), {"A": F.col("t"), "B": 3, "C": {"k": [1]}, "D": "[A]"})
+    assert d.select(filled).head()[0] == "Don't use DNA-binding (the Kinases) via data/sets 3 {\n  \"k\": [\n    1\n  ]\n} [A]"
+    assert text.SECTIONS[0] == "RESULTS" and len(text.SECTIONS) == 9
+    c = spark.createDataFrame([("Abc x abc",), (None,)], "t string")
+    assert [[(x.term, x.n) for x in r[0]] for r in c.select(text.plain_mentions(F.col("t"), ["abc", "x"])).collect()] == [[("abc", 2), ("x", 1)], [("abc", 0), ("x", 0)]]
+
+
+def test_rank_over_ranges_is_pandas(spark):
+    x = [None if i % 11 == 0 else float((i * 7919) % 613) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, v double")
+    got = [r.r for r in ranking.average_rank(df, "v", "r").orderBy("i").collect()]
+    assert got == pd.Series(x).rank(ascending=False, na_option="bottom").tolist()
+    none = spark.createDataFrame([(1, None), (2, None)], "i int, v double")
+    assert [r.r for r in ranking.average_rank(none, "v", "r").collect()] == [1.5, 1.5] and ranking.average_rank(none.limit(0), "v", "r").count() == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import relational, reports, stages, status, supplements
+from paperloom.operators import clients, relational, reports, stages, status, supplements
 from paperloom.sources import files, remote, sinks
 from paperloom.streaming import resume
 
@@ -37,7 +37,7 @@ def test_status_folder(spark, tmp_path):
 def test_other_files(spark, tmp_path):
     for n in ("art", "dump", "jsonl", "bin"):
         (tmp_path / n).mkdir()
-    art = [{"documents": [{"passages": [{"infons": {"section_type": "title"}, "text": "T"}, {"infons": {"section_type": "REF"}, "text": "no"}]}]}]
+    art = [{"documents": [{"passages": [{"infons": {"section_type": "results"}, "text": "T"}, {"infons": {"section_type": "REF"}, "text": "no"}]}]}]
     (tmp_path / "art" / "5.json").write_text(json.dumps(art))
     a = files.articles(spark, str(tmp_path / "art"))
     assert a.select("pmid", text.article_text(F.col("passages"))).collect()[0][1] == "T\n"
@@ -71,62 +71,104 @@ def test_remote_retry_and_kinds(spark):
     assert sorted((r.id, r.pmcid) for r in ids.collect()) == [("5", "PMC5"), ("6", None), ("pmc7", "PMC7")]
 
 
-def archive():
-    out, inner, doc, sheet = io.BytesIO(), io.BytesIO(), io.BytesIO(), io.BytesIO()
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    with zipfile.ZipFile(doc, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:p><w:r><w:t>para ABC1</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:document>")
-    with zipfile.ZipFile(sheet, "w") as z:
-        z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>gene</t></si><si><t>abc-1</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c></row><row><c t="s"><v>1</v></c><c><v>5</v></c></row></sheetData></worksheet>')
-    with zipfile.ZipFile(inner, "w") as z:
-        z.writestr("deep.txt", "ABC1 inside\n")
+def zipped(entries):
+    out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("t.csv", "gene;n\nABC1;1\nother;2\nABC1 ABC1;3\n")
-        z.writestr("a.docx", doc.getvalue())
-        z.writestr("b.xlsx", sheet.getvalue())
-        z.writestr("n.zip", inner.getvalue())
-        z.writestr("p.html", "<p>ABC1 <b>x</b></p>")
-        z.writestr("old.doc", b"\x00\x01ABC1 word\x01\x01" + "wide text".encode("utf-16-le"))
-        z.writestr("pic.png", b"\x89PNG")
-        z.writestr("big.txt", "y" * 5000)
+        for name, data in entries.items():
+            z.writestr(name, data)
     return out.getvalue()
 
 
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def archive():
+    doc = zipped({"word/document.xml": f"<w:document {W}><w:p><w:r><w:t>para ABC1</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:document>"})
+    sheet = zipped({
+        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="Genes" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {S}><si><t>gene</t></si><si><t>abc-1</t></si></sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>5</v></c></row></sheetData></worksheet>',
+    })
+    inner = zipped({"deep.txt": "ABC1 inside\nABC\n1 over two lines\n", "more.zip": zipped({"x.txt": "ABC1"})})
+    return zipped({
+        "t.csv": "gene;n\nABC1;1\nother;NA\nABC1 ABC1;3\n",
+        "u.tsv": "a\tb\nx\ty\nq\tr\ts\nv;w\tNA\n",
+        "a.docx": doc,
+        "b.xlsx": sheet,
+        "n.zip": inner,
+        "broken.zip": b"PK no archive",
+        "p.html": "<p>ABC1 <b>x</b></p>",
+        "old.doc": b"\x00\x01ABC1 word\x01\x01" + "wide text".encode("utf-16-le"),
+        "sub/pic.png": b"\x89PNG",
+        "notes.txt": "first\nsecond\nthird\n",
+        "slides.pptx": b"x",
+        "big.txt": "y" * 5000,
+    })
+
+
+def encrypted(raw):
+    """The archive with its first file marked as encrypted."""
+    raw = bytearray(raw)
+    raw[6] |= 1
+    raw[raw.index(b"PK\x01\x02") + 8] |= 1
+    return bytes(raw)
+
+
 @pytest.fixture(scope="module")
 def lines(spark):
-    a = spark.createDataFrame([("1", bytearray(archive())), ("2", bytearray(b"no zip"))], "pmid string, content binary")
-    return supplements.archive_lines(a, supplements.Caps(file_bytes=4000)).cache()
+    rows = [("1", bytearray(archive())), ("2", bytearray(b"no zip")), ("3", None), ("4", bytearray(encrypted(zipped({"k.txt": "ABC1", "good.txt": "ABC1 here"}))))]
+    return supplements.archive_lines(spark.createDataFrame(rows, "pmid string, content binary"), supplements.Caps(file_bytes=4000)).cache()
 
 
 def test_archive_lines(lines):
     rows = lines.collect()
-    kinds = {r.file: r.kind for r in rows}
-    assert kinds == {"t.csv": "table", "a.docx": "text", "b.xlsx": "table", "n.zip/deep.txt": "text", "p.html": "text", "old.doc": "text", "pic.png": "image", "big.txt": "skipped", "": "error"}
+    kinds = {r.file: r.kind for r in rows if r.pmid == "1"}
+    assert kinds == {"t.csv": "table", "u.tsv": "table", "a.docx": "text", "b.xlsx": "table", "deep.txt": "text", "more.zip (nested zip, depth limit)": "other", "broken.zip": "other", "p.html": "text", "old.doc": "text", "pic.png": "image", "notes.txt": "text", "slides.pptx": "other", "big.txt (too large, skipped)": "other"}
     of = lambda f: [r.line for r in rows if r.file == f]
-    assert of("t.csv")[0] == "gene | n" and of("a.docx") == ["para ABC1", "c1 | c2"] and of("b.xlsx") == ["gene", "abc-1 | 5"] and of("old.doc") == ["wide text", "ABC1 word"]
+    assert of("t.csv") == ["columns: gene | n", "ABC1 | 1", "other | ", "ABC1 ABC1 | 3"]
+    assert of("u.tsv") == ["columns: a | b", "x | y", "v;w | "]
+    assert of("a.docx") == ["para ABC1", "c1 | c2"] and of("b.xlsx") == ["[sheet Genes] columns: gene | Unnamed: 1 | n", "[Genes] abc-1 |  | 5"] and of("old.doc") == ["wide text", "ABC1 word"]
+    assert [r.is_header for r in rows if r.file == "b.xlsx"] == [True, False]
+    assert [(r.pmid, r.kind) for r in rows if r.pmid in "23"] == [("2", "error"), ("3", "error")]
+    assert [(r.file, r.kind, r.line) for r in rows if r.pmid == "4"] == [("k.txt", "other", None), ("good.txt", "text", "ABC1 here")]
+    assert next(supplements.files(archive()))[0] == "t.csv"  # a caller may stop early
+    assert supplements._delimiter("a", ".tab") == "\t" and supplements._delimiter("a|b|c", ".x") == "|"
 
 
 def test_archive_counts_and_context(spark, lines):
-    pairs = spark.createDataFrame([("1", "G1", ["ABC1", "x"]), ("1", "G2", ["nothing"]), ("3", "G1", ["ABC1"])], "pmid string, gene_id string, terms array<string>")
-    got = {(r.pmid, r.gene_id): (r.mentions, r.files) for r in supplements.mention_counts(pairs, lines).collect()}
-    assert got[("1", "G1")][0] == 8 and got[("1", "G2")][0] == 0 and got[("3", "G1")][0] == 0
-    assert {f.file: f.n for f in got[("1", "G1")][1]}["t.csv"] == 3
-    block = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, matches=1).collect()}
-    assert "## t.csv\ngene | n\nABC1 | 1\n" in block[("1", "G1")] and block[("1", "G2")] == "" and "ABC1 ABC1" not in block[("1", "G1")]
-    small = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, budget=20).collect()}
-    assert small[("1", "G1")] == "## a.docx\npara ABC1\n"[:20] or len(small[("1", "G1")]) <= 20
+    rows = [("1", "G1", ["ABC1"], ["G1", "ABC1", "x"], "PMC1"), ("1", "G2", [], ["nothing"], "PMC1"), ("9", "G1", [], ["ABC1"], None), ("4", "G1", [], ["G1"], "PMC4")]
+    pairs = spark.createDataFrame(rows, "pmid string, gene_id string, aliases array<string>, terms array<string>, pmcid string")
+    got = {(r.pmid, r.gene_id): r for r in supplements.mention_counts(pairs, lines).collect()}
+    one = got[("1", "G1")]
+    assert one.mentions == 8 and one.found and one.available and [f.file for f in one.files] == ["t.csv", "a.docx", "b.xlsx", "deep.txt", "p.html", "old.doc"]
+    assert {f.file: f.n for f in one.files}["t.csv"] == 3 and {f.file: f.n for f in one.files}["deep.txt"] == 1
+    assert (got[("1", "G2")].mentions, got[("1", "G2")].found, got[("1", "G2")].available) == (0, False, True) and not got[("9", "G1")].available
+    articles = spark.createDataFrame([("1", '<a xmlns:x="http://www.w3.org/1999/xlink"><supplementary-material x:href="T.CSV"><label>S1</label></supplementary-material></a>')], "pmid string, xml string")
+    block = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, supplements.captions(articles), supplements.Caps(matches=1)).collect()}
+    text = block[("1", "G1")]
+    assert text.startswith("=== SUPPLEMENTARY MATERIALS (gene G1 / ABC1; PMCID PMC1) ===\n[t.csv] — S1\ncolumns: gene | n\nABC1 | 1\n\n[u.tsv]\ncolumns: a | b\n\n[a.docx]\npara ABC1\n\n")
+    assert "[notes.txt]\n(gene not found in this file; first lines:)\nfirst\nsecond\n\n[1 figure/image file(s) present — image extraction deferred]\n[4 non-text file(s) not parsed: more.zip (nested zip, depth limit), broken.zip, slides.pptx, big.txt (too large, skipped)]\n=== END SUPPLEMENTARY MATERIALS ===\n" in text
+    assert "ABC1 ABC1" not in text and block[("9", "G1")] == ""
+    assert "[t.csv] — S1\ncolumns: gene | n\n\n" in block[("1", "G2")]  # a table without mention shows its header alone
+    small = {(r.pmid, r.gene_id): r.block for r in supplements.context_blocks(pairs, lines, caps=supplements.Caps(block_chars=40, file_chars=20)).collect()}
+    assert small[("1", "G1")].split("\n", 1)[1].startswith("[t.csv]\ncolumns: gen …[truncated]\n") and "[supplementary truncated: character budget reached]" in small[("1", "G1")]
     shares = {r.ext: r.mentions for r in supplements.by_file_type(pairs, lines).collect()}
     assert shares[".csv"] == 3 and shares[".txt"] == 1
 
 
 def test_captions(spark):
-    xml = '<article><supplementary-material><label>S1</label><caption><p>Table of x</p></caption><media href="F1.PDF"/></supplementary-material></article>'
-    c = supplements.captions(spark.createDataFrame([("1", xml)], "pmid string, xml string"))
-    assert tuple(c.collect()[0]) == ("1", "F1.PDF", "S1 — Table of x")
-    f = spark.createDataFrame([("1", "dir/F1.PDF"), ("1", "f1.docx"), ("1", "z.txt")], "pmid string, file string")
-    assert {r.file: r.caption for r in supplements.match_captions(f, c).collect()} == {"dir/F1.PDF": "S1 — Table of x", "f1.docx": "S1 — Table of x", "z.txt": None}
+    link = 'xmlns:xlink="http://www.w3.org/1999/xlink"'
+    xml = f"""<article {link}><fig><label>Fig 1</label><caption><title>A title</title></caption></fig><supplementary-material><media xlink:href="A.pdf"/></supplementary-material>
+<supplementary-material><label>S2</label><caption><p>two <i>parts</i></p><p>more</p></caption><media xlink:href="dir/B.PDF"/></supplementary-material></article>"""
+    d = spark.createDataFrame([("1", xml), ("2", "<broken"), ("3", None)], "pmid string, xml string")
+    c = supplements.captions(d)
+    assert sorted((r.pmid, r.file, r.caption) for r in c.collect()) == [("1", "A.pdf", ""), ("1", "B.PDF", "S2 — two partsmore")]
+    f = spark.createDataFrame([("1", "dir/B.PDF"), ("1", "b.docx"), ("1", "z.txt")], "pmid string, file string")
+    assert {r.file: r.caption for r in supplements.match_captions(f, c.unionByName(c)).collect()} == {"dir/B.PDF": "S2 — two partsmore", "b.docx": "S2 — two partsmore", "z.txt": ""}
+    assert supplements.match_captions(f, c.unionByName(c)).count() == 3
+    assert [r.line for r in supplements.legend_lines(d).collect()] == ["Fig 1", "A title", "A title", "S2", "two partsmore"]
 
 
 def test_stages(spark):
@@ -183,4 +225,85 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "s" / "id=1").is_dir()
     both = sinks.before_after(df, df.withColumn("n", F.lit(3)), ["id"]).collect()[0]
     assert (both.before.n, both.after.n) == (2, 3)
+    assert reports.text_report(spark.range(7), "t", 5).endswith("(2 more rows)\n")
     assert "title" in reports.text_report(df, "title") and "id" in reports.text_report(df, "title")
+
+
+def test_comment_tables(spark, tmp_path):
+    c = {"id": 5, "organism": "O", "commentDate": 1000, "categories": ["a", None, "b"], "pubMedRefs": [{"id": "1", "title": "x"}, {"id": "2", "title": "y"}], "target": {"id": "G", "type": "gene"}, "location": {"reverse": True, "ranges": [{"start": 3, "end": 9}, {"start": 10}]}, "project": {"name": "P", "version": 6}}
+    d = files.comment_table(spark.createDataFrame([(json.dumps(c),), ("{}",)], "raw string"))
+    r = d.head()
+    assert len(d.columns) == 31 and (r["Comment ID"], r["PubMed IDs"], r["PubMed Titles"], r["Categories"], r["Location Start"], r["Location End"], r["Gene ID"], r["Project Version"]) == ("5", "1; 2", "x | y", "a; b", 3, 9, "G", "6")
+    assert r["Comment Date"].timestamp() == 1.0 and d.collect()[1]["PubMed IDs"] == ""
+
+
+def test_tables_by_key_with_progress(spark, tmp_path):
+    seen, folder = str(tmp_path / "asked"), str(tmp_path / "f")
+
+    def backend(key):
+        with open(seen, "a") as f:
+            f.write(key + "\n")
+        return {"a": remote.Response(200, "h1\th2\n1\t2\n3\t4\n"), "b": remote.Response(200, "h1\th2\n"), "c": remote.Response(422, "unknown"), "d": remote.Response(500, "later")}[key]
+
+    keys = spark.createDataFrame([(k,) for k in "abcd"], "organism string")
+    for _ in range(2):
+        got = remote.fetch_tables(spark, keys, "organism", backend, folder)
+    assert sorted((r.organism, r.line) for r in got.collect()) == [("a", "1\t2"), ("a", "3\t4")]
+    assert sorted(open(seen).read().split()) == ["a", "b", "c", "d", "d"]
+    log = spark.read.parquet(f"{folder}/log")
+    assert sorted((r.key, r.code, r.detail) for r in log.filter("code <> 200").collect()) == [("c", 422, "unknown"), ("d", 500, "later"), ("d", 500, "later")]
+
+
+def test_aliases_of_a_service(spark):
+    def backend(gene, path):
+        if gene == "G2":
+            raise OSError("down")
+        return remote.Response(200, json.dumps({"attributes": {"name": "nm"}, "tables": {"Alias": [{"alias": "z"}, {"alias": gene}, {"alias": "b"}, {"alias": "z"}]}})) if path == "p1" else remote.Response(500)
+
+    genes = spark.createDataFrame([("G1", " DB1 "), ("G2", "db1"), ("G3", "db2"), ("G4", "other"), ("G5", None)], "gene_id string, database string")
+    got = {r.gene_id: r.aliases for r in remote.fetch_aliases(genes, backend, {"db1": "p1", "db2": "p2"}).collect()}
+    assert got == {"G1": ["b", "nm", "z"], "G2": [], "G3": [], "G4": [], "G5": []}
+
+
+class Service:
+    """A batch service that ends at the second look."""
+
+    def __init__(self):
+        self.looks = 0
+
+    def submit(self, requests):
+        self.requests = requests
+        return "b1"
+
+    def state(self, batch):
+        self.looks += 1
+        return "ended" if self.looks > 1 else "in_progress"
+
+    def answers(self, batch):
+        for r in self.requests:
+            yield (r["custom_id"], None, "errored") if r["prompt"] == "bad" else (r["custom_id"], '{"p": "' + r["prompt"] + '"}', None)
+
+
+def refused():
+    raise OSError("no batches")
+
+
+def test_batches_and_their_fallback(spark):
+    pairs = spark.createDataFrame([("1", "G_1", "x"), ("1", "G_1", "x"), ("2", "G2", "bad")], "pmid string, gene_id string, prompt string")
+    stage = stages.Stage("getGeneSummary", F.col("prompt"))
+    got = {(r.pmid, r.gene_id): r for r in stages.run_batch(pairs, stage, Service, sleep=lambda s: None).collect()}
+    assert got[("1", "G_1")].data == '{"p":"x"}' and len(got) == 2 and (got[("2", "G2")].success, got[("2", "G2")].error) == (False, "errored")
+    plain = stages.run_batch(pairs, stage, refused).collect()
+    assert len(plain) == 2 and all(r.success and "digest" in r.data for r in plain)
+
+
+def test_client_settings():
+    assert clients.timeout(env={"OPENAI_HTTP_TIMEOUT": "7"}) == 7 and clients.timeout(env={"OPENAI_HTTP_TIMEOUT": "x"}) == 180
+    assert clients.takes_responses("gpt-5-mini") and not clients.takes_temperature("gpt-5") and clients.takes_temperature("gpt-4.1")
+    assert clients.omits_sampling("anthropic/claude-opus-4.7") and not clients.omits_sampling("claude-sonnet-4-5") and not clients.omits_sampling(None)
+    assert clients.caches_prompts("claude-x") and not clients.caches_prompts("gpt") and clients.takes_schema("openrouter", "claude-Sonnet-4-5") and not clients.takes_schema("other", "sonnet-4-5")
+    assert clients.schema_format("n", {"a": 1})["json_schema"] == {"name": "n", "strict": True, "schema": {"a": 1}}
+    assert clients.as_list(None) == [] and clients.as_list("x") == ["x"] and clients.as_list(("a", "b")) == ["a", "b"]
+    blocks = clients.input_blocks([{"content": "t"}, {"role": "r", "content": [{"type": "text", "text": "u"}, {"type": "image_url", "image_url": {"url": "v"}}, {"type": "x"}]}, {"content": 5}])
+    assert blocks == [{"role": "user", "content": [{"type": "input_text", "text": "t"}]}, {"role": "r", "content": [{"type": "input_text", "text": "u"}, {"type": "input_image", "image_url": "v"}]}, {"role": "user", "content": [{"type": "input_text", "text": "5"}]}]
+    assert clients.RunConfig().max_retry == 5

@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-HUBS = 4_000_000  # edges beyond which nodes of very many edges are looked for
-
-
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) joined to ``least`` (u, m, n) on u.  Nodes with over a thousandth of many edges, at most a thousand by that
+    """``edges`` (u, v) joined to ``least`` (u, m, n) on u.  Nodes with over a thousandth of the edges, at most a thousand by that
     count, are broadcast, so the edges of a hub are not gathered in one task."""
+    hubs = least.filter(F.col("n") > max(total // 1000, 200)).select("u", "m")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
     rest = least.select("u", "m").hint("merge")  # as large as the edges, so never broadcast
-    if total <= HUBS:
-        return edges.join(rest, "u")
-    hubs = F.broadcast(least.filter(F.col("n") > total // 1000).select("u", "m"))
-    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+    return marked.filter("m is not null").unionByName(marked.filter("m is null").drop("m").join(rest, "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,8 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both.filter("v > u"), least, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("merge")  # a node has few smaller neighbours by now
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = settle(small, shuffled=True)
         now = e.agg(mark).head()[0]
         if now == seen:

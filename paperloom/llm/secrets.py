@@ -26,8 +26,8 @@ _TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={
 _SIGN = r"[0-9_]{0,8}[\"']{0,1}[ \t]{0,16}[:=]{1,3}>{0,1}[ \t]{0,16}[\"']{0,1}"
 # The single character before a value is looked at first, as it is cheap.
 _VALUE = rf"(?<=[:=> \t\"'])(?<=[A-Za-z]{_SIGN})(?<![A-Za-z0-9+/_\-.])(?!=)[^\s\"'`,;<>(){{}}]{{8,}}+"
-# To the END line; without one, lines of base64.
-_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^\-]{0,16384}+(?:-(?!----)[^\-]{0,16384}+){0,64}+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/]{40,128}+={0,2}){0,256}+)"
+# To the END line, if that is the next line of dashes; without one, lines of base64.
+_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:(?>(?s:.*?)-----)END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/]{40,128}+={0,2}){0,256}+)"
 CANDIDATE = f"(?:{_KEY}|{_VALUE}|{_TOKEN})"
 #: Every candidate holds one of these characters, or is a key header; a scan for them is cheap.
 HINT = "[0-9:=]|-----BEGIN"

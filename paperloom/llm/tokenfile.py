@@ -148,7 +148,8 @@ def count_ids(ids: DataFrame, size: int, kind: str) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, limit: int = 16, block_ids: int = 1 << 16, part_ids: int = 1 << 22) -> None:
     """Encode every row of ``docs`` (doc_id, text) and write blocks below ``path`` in ascending doc_id order.
 
-    A null doc_id comes first; rows that share a doc_id stand beside each other, in the order of their ids' bytes.
+    A null doc_id comes first; rows that share a doc_id stand beside each other, in the order of a hash of their ids, so that
+    they may be spread over tasks.
     ``limit`` bounds the code length (at most 24); it is raised where the vocabulary has more than 2**limit ids."""
     spark = docs.sparkSession
     size = tokens.encoder(tokenizer).size
@@ -184,7 +185,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             yield flush()
 
     parts = max(1, -(-int(counts.sum()) // part_ids))
-    ordered = ids.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    order = F.asc_nulls_first("doc_id"), F.asc("h")
+    ordered = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.select("doc_id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

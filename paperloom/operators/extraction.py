@@ -188,6 +188,17 @@ def pairs_per_paper(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pmid").agg(F.array_sort(F.collect_set(F.struct("gene_id", F.lower("database").alias("database")))).alias("genes"))
 
 
+def priority_pairs(comments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to process first, from comments (comment_id, gene_id, pmid, database): gene_id, pmid, comment_ids, database; and how many
+    comments were dropped as their pmid is no number (one row, dropped)."""
+    from paperloom.functions.values import clean_pmid
+
+    d = comments.withColumn("pmid", clean_pmid(F.col("pmid")))
+    ids = F.array_join(F.array_sort(F.collect_set(F.col("comment_id").cast("string"))), ";")
+    good = d.filter("pmid is not null").groupBy("gene_id", "pmid").agg(ids.alias("comment_ids"), F.min("database").alias("database"))
+    return good, d.agg(F.count_if(F.col("pmid").isNull()).alias("dropped"))
+
+
 def is_model_family(model: Column, *spellings: str) -> Column:
     """Whether a model key holds one of the spellings, in any case."""
     low = F.lower(F.coalesce(model, F.lit("")))

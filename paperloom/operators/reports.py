@@ -57,6 +57,14 @@ def density(df: DataFrame, group: str, member: str, threshold: int) -> DataFrame
     return n.agg(F.count("*").alias("groups"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") >= threshold).alias("high"), F.count_if(F.col("n") < threshold).alias("low"))
 
 
+def statistics(df: DataFrame, value: str) -> DataFrame:
+    """n, total, mean, exact median, least and most of a whole column.  Rows are counted per distinct value first, so the one task of
+    the median sees values, not rows."""
+    v, n = F.col(value), F.col("_n")
+    by = df.filter(v.isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    return by.agg(F.sum(n).alias("n"), F.sum(v * n).alias("total"), (F.sum(v * n).cast("double") / F.sum(n)).alias("mean"), F.percentile(v, 0.5, n).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
 def text_report(df: DataFrame, title: str, most: int = 1000) -> str:
     """A small aggregate as aligned text; beyond ``most`` rows it says how many more there are."""
     got = df.limit(most + 1).collect()

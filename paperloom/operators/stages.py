@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -15,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.cluster import shared_folder
 from paperloom.functions.llmjson import close_json, find_json
 
 #: Client: (system, prompt, model) -> (text, usage, seconds); an exception is a failed call.
@@ -145,15 +144,9 @@ def run_batch(df: DataFrame, stage: Stage, service: Callable[[], Batches], clien
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a table in ``folder``, by default a new one in the shared folder of checkpoints: what was paid for is not asked again
     when an executor is lost."""
-    spark = df.sparkSession
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir, or give a folder that the driver and all executors share")
-        base = tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, folder)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def curate(pairs: DataFrame, papers: DataFrame, prompts: Mapping[str, Column], client: Client = stub, done: DataFrame | None = None, folder: str | None = None) -> DataFrame:

@@ -158,6 +158,16 @@ def pairs_of_paper(spark, sf_dir):
     return d.select("pmid", F.size("genes").cast("long").alias("n"), F.array_join(F.transform("genes", lambda g: F.concat_ws(":", g["gene_id"].cast("string"), g["database"])), ",").alias("genes"))
 
 
+@query("""WITH c AS (SELECT event_id, user_id, event_type, CASE event_id % 4 WHEN 0 THEN '17' WHEN 1 THEN ' 18.0' WHEN 2 THEN 'x1' END AS p FROM events), k AS (SELECT *, regexp_replace(trim(p), '\.0$', '') AS pmid FROM c),
+g AS (SELECT user_id AS gene_id, pmid, string_agg(DISTINCT CAST(event_id AS VARCHAR), ';' ORDER BY CAST(event_id AS VARCHAR)) AS comment_ids, min(event_type) AS database FROM k WHERE regexp_matches(pmid, '^[0-9]+$') GROUP BY 1, 2)
+SELECT g.*, (SELECT count(*) FROM k WHERE NOT coalesce(regexp_matches(pmid, '^[0-9]+$'), FALSE)) AS dropped FROM g""")
+def priority_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    pmid = F.expr("case event_id % 4 when 0 then '17' when 1 then ' 18.0' when 2 then 'x1' end")
+    good, dropped = extraction.priority_pairs(e.select(F.col("event_id").alias("comment_id"), F.col("user_id").alias("gene_id"), pmid.alias("pmid"), F.col("event_type").alias("database")))
+    return good.withColumn("_k", F.lit(1)).join(F.broadcast(dropped.withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
 MODELS = ["m2", "m0"]
 
 

@@ -159,8 +159,7 @@ def comment_ids_agg(spark, sf_dir):
 
 @query(f"""WITH {PAIRS} SELECT count(*) AS n, CAST(sum(mentions) AS BIGINT) AS total, CAST(sum(mentions) AS DOUBLE) / count(*) AS mean, CAST(median(mentions) AS DOUBLE) AS median, min(mentions) AS least, max(mentions) AS most FROM pairs WHERE alias_in_text""")
 def global_mention_stats(spark, sf_dir):
-    m = F.col("mentions")
-    return pairs(spark, sf_dir).filter("alias_in_text").agg(F.count("*").alias("n"), F.sum(m).alias("total"), F.avg(m).alias("mean"), F.median(m).alias("median"), F.min(m).alias("least"), F.max(m).alias("most"))
+    return reports.statistics(pairs(spark, sf_dir).filter("alias_in_text"), "mentions")
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT gene_id, pmid, database AS organism, row_number() OVER (PARTITION BY gene_id, pmid ORDER BY pos, database) AS rn FROM pairs)

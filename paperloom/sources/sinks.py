@@ -32,6 +32,19 @@ def upsert_status(spark: SparkSession, path: str, new: DataFrame, version: int)
     return build_status(latest_status(spark, path).select("pmid", "stage", "gene_id", "model", "leaf"))
 
 
+def compact_status(spark: SparkSession, path: str, version: int) -> int:
+    """The table at ``path`` as one version: the latest results are written as ``version``, above all there are, then older versions
+    go; returns how many.  A reader in between sees results twice and takes the later ones."""
+    old = [r[0] for r in spark.read.schema("version int").parquet(path).select("version").distinct().collect()]  # as many as there were updates
+    if max(old, default=-1) >= version:
+        raise ValueError("the version must be above all there are")
+    latest_status(spark, path).select("pmid", "stage", "gene_id", "model", "leaf").write.mode("overwrite").parquet(f"{path}/version={version}")
+    for v in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(old)
+
+
 def latest_status(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("pmid string, stage string, gene_id string, model string, leaf string, version int").parquet(path)
     return upsert(rows.limit(0), rows, ["pmid", "stage", "gene_id", "model"], "version")

@@ -198,6 +198,10 @@ def test_upsert_and_stream(spark, tmp_path):
     docs = sinks.upsert_status(spark, store, spark.createDataFrame([("1", "s", "g", "m", leaf(3))], kind), 1)
     got = {r.gene_id: json.loads(r.data)["n"] for r in status.explode_status(docs).collect()}
     assert got == {"g": 3, "h": 2}
+    assert sinks.compact_status(spark, store, 2) == 2
+    assert sorted((r.gene_id, json.loads(r.leaf)["data"]["n"], r.version) for r in sinks.latest_status(spark, store).collect()) == [("g", 3, 2), ("h", 2, 2)]
+    with pytest.raises(ValueError, match="above"):
+        sinks.compact_status(spark, store, 2)
     (tmp_path / "in").mkdir()
     rows = [{"pmid": "1", "stage": "s", "gene_id": "g", "model": "m", "leaf": leaf(n)} for n in (5, 6)]
     for i, r in enumerate(rows):

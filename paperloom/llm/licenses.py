@@ -318,14 +318,40 @@ def rules() -> list[tuple[str, tuple[str, str], int, str]]:
     return out
 
 
-#: A text without any of these holds no match.
-GATES = sorted({words[0] for _, words, _, _ in rules()})
+#: Words that a keyword stands for, where it is not the word itself.
+WORDS_OF = {"licen": ["license", "licence", "licensed", "licenced", "unlicense"], "warrant": ["warranty", "warranties"], "commercial": ["commercial", "noncommercial"], "rail": ["rail", "openrail"], "bsd": ["bsd", "0bsd"]}
 TOP = max(r for _, _, r, _ in rules())
 
 
-def _keywords(low: Column) -> Column:
-    """The rules' keywords that a lower-cased text holds."""
-    return F.filter(F.array(*[F.lit(w) for w in sorted({w for r in rules() for w in r[1]})]), lambda k: F.contains(low, k))
+def _any_of(words: list[str]) -> str:
+    """A regular expression for the words that shares their beginnings, so a text is looked through once for all of them."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [c + written(below) for c, below in sorted(node.items()) if c]
+        body = f"(?:{'|'.join(parts)})" if len(parts) > 1 else "".join(parts)
+        return f"(?:{body})?" if "" in node and parts else body
+
+    return written(tree)
+
+
+def _keywords(text: Column) -> Column:
+    """The rules' keywords that a text holds, found as whole words in one pass."""
+    stems: dict[str, set[str]] = {}
+    for k in {w for r in rules() for w in r[1]}:
+        for w in WORDS_OF.get(k, [k]):
+            stems.setdefault(w, set()).add(k)
+    words = sorted(stems)
+    look = f"(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]){_any_of(words)}(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(look), F.lit(0)), lambda w: F.lower(w)))
+    of = F.array(*[F.array(*[F.lit(k) for k in sorted(stems[w])]) for w in words])
+    at = lambda w: (F.array_position(F.array(*map(F.lit, words)), w) - 1).cast("int")
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.get(of, at(w)))))
 
 
 def _matches(text: Column, there: Column) -> Column:
@@ -379,16 +405,12 @@ def scan(docs: DataFrame) -> DataFrame:
     phrase = {p: pattern(p) for p in PHRASES}
     alone = pattern("|".join(PHRASES).replace("| ", "|"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("_low", F.lower("text"))
-    licence = F.col("_low").contains("license")
-    some = (licence & (F.col("_low").contains("gnu") | F.col("_low").contains("apache") | F.col("_low").contains("mit"))) | (F.col("_low").contains("cc") & F.regexp_like("text", F.lit(phrase["cc by"])))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.col("_low").contains(g)
+    d = d.withColumn("_there", _keywords(F.col("text")))
+    has = lambda w: F.array_contains("_there", w)
+    some = (has("licen") & (has("gnu") | has("apache") | has("mit"))) | (has("cc") & F.regexp_like("text", F.lit(phrase["cc by"])))
     none = F.array().cast("array<struct<s int, e int, p int, l string>>")
     d = d.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
     d = d.withColumn("n_base", F.when(some, F.regexp_count("text", F.lit(alone))).otherwise(0).cast("long"))
-    d = d.withColumn("_there", F.when(gate, _keywords(F.col("_low"))).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("_found", F.when(F.size("_there") > 0, _matches(F.col("text"), F.col("_there"))))
     d = d.withColumn("spans", F.when(F.size("_found") > 0, _kept(F.col("_found"))).otherwise(none))
     before = lambda x: F.regexp_count(x, F.lit(WORD)).cast("long")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.cluster import shared_folder
 from paperloom.functions import llmjson, similarity, values
+from paperloom.functions import text as texts
 from paperloom.operators import relational, reports, stages, status, supplements
 from paperloom.plans.registry import query, table
 from paperloom.sources import files, remote, sinks
@@ -70,6 +71,34 @@ def status_store(spark, sf_dir):
     return status.explode_status(docs).select(F.col("gene_id").cast("long").alias("gene_id"), "stage", F.get_json_object("data", "$.n").cast("long").alias("n"))
 
 
+def _named_files(spark, rows) -> str:
+    """A new folder with a file for each of a few rows (name, text)."""
+    folder = shared_folder(spark)
+    for name, text in rows:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return folder
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pmid, 'G-' || n_name AS gene_id, n_name AS said FROM nation WHERE n_nationkey % 5 <> 0""")
+def status_folder(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # the 25 nations
+    text = lambda r: "{broken" if r[0] % 5 == 0 else json.dumps({"getSummary": {"G": {"gene_ID": f"G-{r[1]}", "m": {"success": True, "data": {"n": r[1]}}}}})
+    d = files.status_documents(spark, _named_files(spark, [(f"{r[0]}.x.json", text(r)) for r in rows]))
+    return status.explode_status(d).select("pmid", "gene_id", F.get_json_object("data", "$.n").alias("said"))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pmid, n_name || chr(10) || 'end' || chr(10) AS text FROM nation""")
+def article_folder(spark, sf_dir):
+    passage = lambda kind, text: {"infons": {"section_type": kind}, "text": text}
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # the 25 nations
+    parts = lambda n: [{"documents": [{"passages": [passage("results", n), passage("METHODS", "no"), passage("REF", "no")]}, {"passages": [passage("FIG", "end")]}]}]
+    d = files.articles(spark, _named_files(spark, [(f"{r[0]}.json", json.dumps(parts(r[1]))) for r in rows]))
+    return d.select("pmid", texts.article_text(F.col("passages")).alias("text"))
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS gene_id, max(event_id) AS n FROM events WHERE user_id = 7 AND event_type = 'click' GROUP BY 1""")
 def point_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.max("event_id").alias("n"))

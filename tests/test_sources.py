@@ -311,3 +311,14 @@ def test_client_settings():
     blocks = clients.input_blocks([{"content": "t"}, {"role": "r", "content": [{"type": "text", "text": "u"}, {"type": "image_url", "image_url": {"url": "v"}}, {"type": "x"}]}, {"content": 5}])
     assert blocks == [{"role": "user", "content": [{"type": "input_text", "text": "t"}]}, {"role": "r", "content": [{"type": "input_text", "text": "u"}, {"type": "input_image", "image_url": "v"}]}, {"role": "user", "content": [{"type": "input_text", "text": "5"}]}]
     assert clients.RunConfig().max_retry == 5
+
+
+def test_entity_attribute_rows_over_jdbc(spark):
+    url, driver = "jdbc:derby:memory:paperloom;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(1, 1, "G1"), (1, 4, "abc"), (1, 4, "xyz"), (2, 1, "G2"), (2, 5, "no")], "id int, `column` int, content string")
+    try:
+        rows.write.jdbc(url, "records", mode="overwrite", properties=driver)
+    except Exception as e:  # the embedded database may be missing  # noqa: BLE001
+        pytest.skip(str(e)[:80])
+    got = relational.eav_aliases(files.eav_table(spark, url, "records", driver)).collect()
+    assert [(r.name, r.aliases) for r in got] == [("G1", ["abc", "xyz"])]

@@ -90,3 +90,25 @@ def test_shard_counts_are_multinomial_given_totals():
     assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(some, every[4], strict=True))
     draws = np.array([next(mixing.split_counts(totals, 9, 1000, 4, 5, s))[1] for s in range(300)])
     assert abs(draws[:, 0].mean() - 1000 * 5000 / 8017) < 5 and 10 < draws[:, 0].std() < 20
+
+
+def test_counts_beyond_the_librarys_range_follow_the_same_law():
+    draw = np.random.default_rng(2)
+    mine = np.array([mixing._hypergeometric(draw, 3 * 10**9, 10**9, 2 * 10**9) for _ in range(400)], dtype=np.float64)
+    mean, sd = 1.5e9, (2e9 * 0.75 * 0.25 * (2e9 / 4e9)) ** 0.5
+    assert abs(mine.mean() - mean) < 4 * sd / 20 and 0.85 < mine.std() / sd < 1.15
+    assert mixing._hypergeometric(draw, 2 * 10**9, 3, 2 * 10**9 + 1) in range(2 * 10**9 - 2, 2 * 10**9 + 1)
+    assert mixing._hypergeometric(draw, 2, 2 * 10**9, 5) in range(3) and mixing._hypergeometric(draw, 7, 0, 5) == 5
+
+
+def test_whole_passes_keep_the_text_and_repeats_are_counted(spark):
+    texts = [(1, "a  b\tc", "x"), (1, "a  b\tc", "x"), (None, "d e", "x"), (None, "d e", "x"), (2, "w " * 500, "y"), (3, "u v", "z")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(docs, block=2, shard_slots=8).collect():
+        taken[r.doc_id] += r.taken
+    out, got = mixing.mixed_documents(docs, block=2, shard_slots=8).collect(), Counter()
+    for r in out:
+        got[r.doc_id] += len(r.text.split())
+        assert len(r.text.split()) < 3 or r.doc_id != 1 or r.text == "a  b\tc"
+    assert got == +taken and got[1] > 6

@@ -55,5 +55,7 @@ def test_stages(spark, sf):
 
 
 def test_run_is_the_stages(spark, sf):
+    common.clear_scratch(spark)
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+    assert common.clear_scratch(spark) < 20  # what the stages wrote on their way has gone

@@ -199,5 +199,30 @@ def test_count_query_and_odd_rows(spark, docs, counter):
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 10)
             if n > 10 and len(t) < 200:
                 assert r.fit_chars == max(i for i in range(len(t) + 1) if len(counter.direct.encode(t[:i])) <= 10)
-    assert tokencounts.prefix_tables(docs, P.path("piece_bpe_32k.model")).count() == len(rows)
+    tables = tokencounts.prefix_tables(docs, P.path("piece_bpe_32k.model")).collect()
+    assert len(tables) == len(rows)
+    for r in tables:
+        t = (ODD[r.doc_id] or "") if r.doc_id not in (None, 3) else None
+        if t is not None:
+            assert len(r.counts) == len(t) + 1 and r.counts[-1] == len(counter.direct.encode(t))
+            assert len(t) >= 200 or r.counts == [len(counter.direct.encode(t[:i])) for i in range(len(t) + 1)]
     assert tokencounts.count_tokens(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_counts_of_a_whole_query_are_the_librarys(spark, sf, counter):
+    """Every text of the table by one call, and the prefix that fits, also inside long and many words."""
+    rows = {r.doc_id: r for r in queries.op9_token_counts(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        t, got = r.text or "", rows[r.doc_id]
+        assert (got.n_bytes, got.n_tokens, got.over_limit) == (len(t.encode()), len(counter.direct.encode(t)), len(counter.direct.encode(t)) > 4096)
+        assert got.fit_chars == len(t) if not got.over_limit else len(counter.direct.encode(t[: got.fit_chars])) <= 4096 < len(counter.direct.encode(t[: got.fit_chars + 1]))
+
+
+def test_prefixes_that_fit(counter):
+    texts = ["a bc  def " * 40, "word " * 300 + "x" * 700 + " tail", " lead and trail ", "▁odd ▁ marks", "one", "é€😀 " * 90, "supercalifragilistic" * 30]
+    for limit in (0, 1, 2, 7, 50, 333):
+        n, fit = counter.counts(texts, limit)
+        for t, k, f in zip(texts, n, fit, strict=True):
+            counts = counter.prefix_counts(t)
+            assert k == counts[-1] == len(counter.direct.encode(t))
+            assert f == counter.fitting(t, limit) == max(i for i in range(len(t) + 1) if counts[i] <= limit)

@@ -91,6 +91,12 @@ def usage(raw: Column, what: str) -> Column:
     return F.coalesce(found, usage(raw, "input") + usage(raw, "output")) if what == "total" else found
 
 
+def cache_note(raw: Column) -> Column:
+    """What a usage object (JSON text) says of cached tokens, as 'cached=1,234 write=5 cost=0.1'; the cost only if it is there."""
+    count = lambda k: F.format_number(F.coalesce(F.get_json_object(raw, f"$.prompt_tokens_details.{k}").try_cast("double").cast("long"), F.lit(0)), 0)
+    return F.concat_ws(" ", F.concat(F.lit("cached="), count("cached_tokens")), F.concat(F.lit("write="), count("cache_write_tokens")), F.concat(F.lit("cost="), F.get_json_object(raw, "$.cost")))
+
+
 def valid_evidence(c: Column) -> Column:
     """Known codes, separated by a semicolon and at most one space."""
     one = "(?:" + "|".join(EVIDENCE_CODES) + ")"

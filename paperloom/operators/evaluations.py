@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,12 @@ def failed_evaluations(comments: DataFrame, saved: DataFrame) -> DataFrame:
     return one.join(saved.filter("succeeded = false").select("pmid", "gene_id", "comment_id", "error", "seconds"), ["pmid", "gene_id", "comment_id"]).select("comment_id", "gene_id", "pmid", "error", "seconds")
 
 
+def evaluation_columns(answer: Column, keys: Sequence[str]) -> list[Column]:
+    """The values at ``keys`` of an evaluation (a variant) as columns of text: lists and objects as JSON, null where it has none."""
+    value = lambda k: J.field(answer, k)
+    return [F.when(J.kind(value(k)) != "null", J.text(value(k))).alias(k) for k in keys]
+
+
 def raw_response(payload: Column) -> Column:
     """The raw answer of a payload: its own, or its evaluation's; '' where neither is text."""
     own, nested = J.field(payload, "raw_response"), J.field(J.field(payload, "evaluation"), "raw_response")

@@ -104,6 +104,12 @@ def bullet_rows(results: DataFrame) -> DataFrame:
     return d.select("pmid", "gene_id", "model", *[of(f) for f in BULLET_FIELDS], F.col("x.schema_followed").alias("schema_followed"))
 
 
+def collected_bullets(v: Column) -> Column:
+    """The bullet texts of a summary (a variant) as an array: of the elements that are objects and have one; empty for anything else."""
+    items = F.filter(F.coalesce(J.elements(J.field(v, "GeneSummary")), F.array().cast("array<variant>")), lambda e: J.has(e, "bullet_point"))
+    return F.transform(items, lambda e: J.text(J.field(e, "bullet_point")))
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

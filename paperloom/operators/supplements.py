@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.text import any_term_pattern
 from paperloom.functions.values import extension, file_name, stem, truncated
+from paperloom.sources import workbook
 
 #: ``fileno`` is a file's place in its archive; kinds without lines: image, other (not read: unknown, broken or beyond the caps), error.
 LINE_SCHEMA = "pmid string, fileno int, file string, kind string, pos int, is_header boolean, line string"
@@ -142,12 +144,11 @@ def _xlsx(raw: bytes) -> list[str]:
 
 
 def _xls(raw: bytes) -> list[str]:
-    """Cells of the older workbook format where its reader is there, else runs of printable characters."""
+    """Cells of the older workbook format; runs of printable characters of what claims to be one and is not."""
     try:
-        import xlrd  # optional
-    except ImportError:
+        got = [_sheet(name, rows) for name, rows in workbook.sheets(raw)]
+    except (ValueError, IndexError, struct.error):
         return _printable(raw)
-    got = [_sheet(x.name, [["" if c.ctype == 0 else str(c.value) for c in x.row(i)] for i in range(x.nrows)]) for x in xlrd.open_workbook(file_contents=raw).sheets()]
     return [g[0] for g in got] + [line for g in got for line in g[1:]]
 
 

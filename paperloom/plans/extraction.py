@@ -143,6 +143,22 @@ def extended_summary(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", extraction.summary_text(_pick([a for a, _, _ in SUMMARIES]), _pick([b for _, b, _ in SUMMARIES])).alias("summary"))
 
 
+COLLECTED = [('{"GeneSummary":[{"bullet_point":"a"},{"other":1},"text",{"bullet_point":"b"}]}', "a|b"), ('{"GeneSummary":[]}', ""), ('{"other":[{"bullet_point":"a"}]}', ""), ("[]", ""), (None, "")]
+
+
+@query(f"""SELECT event_id, v.bullets FROM events JOIN (VALUES {_values([(i, b) for i, (_, b) in enumerate(COLLECTED)])}) v(k, bullets) ON v.k = event_id % {len(COLLECTED)}""")
+def collected_bullets(spark, sf_dir):
+    held = extraction.collected_bullets(F.try_parse_json(_pick([s for s, _ in COLLECTED])))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(held, "|").alias("bullets"))
+
+
+@query("""SELECT event_id, CAST(event_id AS VARCHAR) AS score, CASE WHEN event_id % 2 = 0 THEN '["a",1]' ELSE '{"k":null}' END AS reasons, CASE WHEN event_id % 3 = 0 THEN event_type END AS verdict FROM events""")
+def evaluation_row(spark, sf_dir):
+    n = F.col("event_id").cast("string")
+    answer = F.concat(F.lit('{"score":'), n, F.lit(',"reasons":'), F.when(F.col("event_id") % 2 == 0, '["a",1]').otherwise('{"k":null}'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"verdict":"'), "event_type", F.lit('"'))).otherwise(',"verdict":null'), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", *evaluations.evaluation_columns(F.try_parse_json(answer), ["score", "reasons", "verdict"]))
+
+
 #: (a verification, status and description of its RPD)
 RPDS = [('{"RPD":{"verification_status":"pass","description":"d"}}', "PASS", "d"), ('{"RPD":{"description":"d"}}', "", "d"), ('{"RPD":"x"}', "", ""), ("{}", "", ""), (None, "", ""), ('{"RPD":{"verification_status":null}}', "NONE", "")]
 

@@ -167,10 +167,10 @@ def _answer(key: str) -> remote.Response:
     return (remote.Response(200, json.dumps({"n": n})), remote.Response(200, "<html>"), remote.Response(404), remote.Response(500))[n % 4]
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pmid, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END AS n, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 3 THEN 'transient: ' || CAST(s_suppkey AS VARCHAR) ELSE 'not_available' END AS error, s_suppkey % 4 = 3 AS again FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pmid, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END AS n, s_suppkey % 4 = 0 AS available, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 3 THEN 'transient: ' || CAST(s_suppkey AS VARCHAR) ELSE 'not_available' END AS error, s_suppkey % 4 = 3 AS again FROM supplier""")
 def fetched_bodies(spark, sf_dir):
     d = remote.fetch_all(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pmid")), "pmid", _answer, retries=0)
-    return d.select("pmid", F.get_json_object("body", "$.n").cast("long").alias("n"), "error", remote.is_transient().alias("again"))
+    return d.select("pmid", F.get_json_object("body", "$.n").cast("long").alias("n"), remote.is_available().alias("available"), "error", remote.is_transient().alias("again"))
 
 
 @query("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'pmc' ELSE '' END || CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % 3 WHEN 0 THEN 'PMC' || CAST(s_suppkey AS VARCHAR) WHEN 1 THEN 'PMC' || CAST(s_nationkey AS VARCHAR) END AS pmcid FROM supplier""")
@@ -286,6 +286,13 @@ def genus_and_blank(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.genus(F.concat(F.lit(" "), "p_name")).alias("genus"), values.blank(F.when(F.col("p_partkey") % 2 != 0, F.col("p_type"))).alias("filled"))
 
 
+@query("""SELECT event_id, 'cached=' || CASE WHEN event_id % 2 = 0 THEN '1,234' ELSE '0' END || ' write=' || CAST(event_id % 10 AS VARCHAR) || CASE WHEN event_id % 3 = 0 THEN ' cost=0.25' ELSE '' END AS note FROM events""")
+def cache_notes(spark, sf_dir):
+    details = F.struct(F.when(F.col("event_id") % 2 == 0, 1234).alias("cached_tokens"), (F.col("event_id") % 10).alias("cache_write_tokens"))
+    raw = F.to_json(F.struct(details.alias("prompt_tokens_details"), F.when(F.col("event_id") % 3 == 0, 0.25).alias("cost")))
+    return table(spark, sf_dir, "events").select("event_id", llmjson.cache_note(raw).alias("note"))
+
+
 #: (two texts, their indel ratio; a reference and a candidate, their soft Jaccard similarity)
 TEXT_PAIRS = [("kitten", "sitting", 8 / 13, ["kinase"], ["protein-kinase-like"], 1.0), ("abcd", "abxd", 0.75, ["x", "kin"], ["kinase", "y"], 0.5), ("a", "b", 0.0, ["ab"], ["ab", "ab"], 1.0), ("same", "same", 1.0, ["abc"], ["xyz"], 0.0), ("", "a", None, [], ["a"], None)]
 _RATIOS = " ".join(f"WHEN {i} THEN {'NULL' if p[2] is None else p[2]}" for i, p in enumerate(TEXT_PAIRS))

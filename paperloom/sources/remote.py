@@ -135,6 +135,11 @@ def fetch_aliases(genes: DataFrame, backend: Callable[[str, str], Response], pat
     return genes.select("gene_id", "database").distinct().mapInPandas(run, "gene_id string, database string, aliases array<string>")
 
 
+def is_available(body: str = "body"):
+    """Whether an item could be fetched; any failure counts as not."""
+    return F.col(body).isNotNull()
+
+
 def is_transient(error: str = "error"):
     return F.coalesce(F.col(error).startswith("transient"), F.lit(False))
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import struct
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import clients, relational, reports, stages, status, supplements
-from paperloom.sources import files, remote, sinks
+from paperloom.sources import files, remote, sinks, workbook
 from paperloom.streaming import resume
 
 
@@ -108,6 +109,42 @@ def archive():
     })
 
 
+def record(kind, data):
+    return struct.pack("<HH", kind, len(data)) + data
+
+
+def old_workbook(sheet, strings):
+    """A compound file with one sheet of the given records and shared strings, the last of them cut by a continuation."""
+    text = lambda s, wide=0: struct.pack("<HB", len(s), wide) + s.encode("utf-16-le" if wide else "latin-1")
+    whole = b"".join(text(s, int(not s.isascii())) for s in strings[:-1]) + text(strings[-1])
+    cut = len(whole) - 3
+    sst = record(workbook.SST, struct.pack("<II", len(strings), len(strings)) + whole[:cut]) + record(workbook.CONTINUE, b"\x00" + whole[cut:])
+    begin = record(workbook.BOF, b"\0" * 16)
+    bound = lambda at: record(workbook.BOUNDSHEET, struct.pack("<IBB", at, 0, 0) + b"\x05\x00Genes")
+    head = len(begin + bound(0) + sst) + 4
+    data = (begin + bound(head) + sst + record(workbook.EOF, b"") + begin + sheet + record(workbook.EOF, b"")).ljust(4096, b"\0")
+    entry = lambda name, kind, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(name) + 2, kind) + b"\0" * 49 + struct.pack("<II", start, size) + b"\0" * 4
+    fat = struct.pack("<128I", 0xFFFFFFFD, 0xFFFFFFFE, *range(3, 10), 0xFFFFFFFE, *[0xFFFFFFFF] * 118)
+    header = workbook.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return header + fat + (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(data))).ljust(512, b"\0") + data
+
+
+def test_older_workbooks():
+    cell = lambda r, c: struct.pack("<HHH", r, c, 0)
+    rows = [
+        record(workbook.LABELSST, cell(0, 0) + struct.pack("<I", 0)), record(workbook.LABELSST, cell(0, 2) + struct.pack("<I", 1)),
+        record(workbook.LABELSST, cell(1, 0) + struct.pack("<I", 2)), record(workbook.NUMBER, cell(1, 1) + struct.pack("<d", 2.5)), record(workbook.RK, cell(1, 2) + struct.pack("<I", 7 << 2 | 2)),
+        record(workbook.MULRK, struct.pack("<HH", 2, 0) + struct.pack("<HIHI", 0, 5 << 2 | 2, 0, 150 << 2 | 3) + struct.pack("<H", 1)),
+        record(workbook.FORMULA, cell(2, 2) + b"\0" * 6 + b"\xff\xff" + b"\0" * 8), record(workbook.STRING, struct.pack("<HB", 2, 0) + b"ok"),
+        record(workbook.FORMULA, cell(3, 0) + struct.pack("<d", 12.0) + b"\0" * 8), record(workbook.BOOLERR, cell(3, 1) + b"\x01\x00"), record(workbook.LABEL, cell(3, 2) + struct.pack("<HB", 3, 0) + b"old"),
+    ]
+    raw = old_workbook(b"".join(rows), ["gene", "n\u03b2", "continued text"])
+    assert list(workbook.sheets(raw)) == [("Genes", [["gene", "", "n\u03b2"], ["continued text", "2.5", "7"], ["5", "1.5", "ok"], ["12", "True", "old"]])]
+    assert supplements._xls(raw)[:2] == ["\0[sheet Genes] columns: gene | Unnamed: 1 | n\u03b2", "[Genes] continued text | 2.5 | 7"]
+    assert supplements._xls(b"plain words only") == ["plain words only"] and supplements._xls(raw[:600]) is not None
+    assert [f[:2] for f in supplements.files(zipped({"a.xls": raw}))] == [("a.xls", "table")]
+
+
 def encrypted(raw):
     """The archive with its first file marked as encrypted."""
     raw = bytearray(raw)

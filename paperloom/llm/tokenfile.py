@@ -118,9 +118,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     def run(batches):
         enc = tokens.encoder(tokenizer)
         code = "H" if enc.size <= 1 << 16 else "I"
-        tail = [] if end_id is None else [end_id]
+        tail = array(code, [] if end_id is None else [end_id]).tobytes()
         for b in batches:
-            ids = [array(code, enc.ids(t.as_py()) + tail).tobytes() for t in b.column(1)]
+            ids = [enc.packed(t.as_py(), code) + tail for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")

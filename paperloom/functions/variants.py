@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """'null' (also for no value), 'list', 'object', 'string', 'boolean' or 'number'."""
-    t = F.schema_of_variant(v)
-    return F.when(v.isNull() | F.is_variant_null(v), "null").when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number")
+
+    def of(t: Column) -> Column:  # the schema's text, null for no value
+        return F.when(t.isNull() | (t == "VOID"), "null").when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number")
+
+    return let(F.schema_of_variant(v), of)
 
 
 def field(v: Column, name: str) -> Column:
@@ -19,12 +29,12 @@ def field(v: Column, name: str) -> Column:
 
 def elements(v: Column) -> Column:
     """The elements of a list, null for any other value."""
-    return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>"))
+    return let(v, lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")))
 
 
 def entries(v: Column) -> Column:
     """An object as a map of variants, null for any other value."""
-    return F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    return let(v, lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "map<string,variant>")))
 
 
 def has(v: Column, *names: str) -> Column:
@@ -34,17 +44,20 @@ def has(v: Column, *names: str) -> Column:
 
 def truthy(v: Column) -> Column:
     """Neither null, nor empty, zero or false."""
-    k = kind(v)
-    full = F.when(k == "string", F.try_variant_get(v, "$", "string") != "").when(k == "boolean", F.try_variant_get(v, "$", "boolean")).when(k == "number", F.try_variant_get(v, "$", "double") != 0)
-    return F.coalesce(full.when(k == "list", F.size(elements(v)) > 0).when(k == "object", F.size(entries(v)) > 0), F.lit(False))
+
+    def full(x: Column, k: Column) -> Column:
+        out = F.when(k == "string", F.try_variant_get(x, "$", "string") != "").when(k == "boolean", F.try_variant_get(x, "$", "boolean")).when(k == "number", F.try_variant_get(x, "$", "double") != 0)
+        return F.coalesce(out.when(k == "list", F.size(elements(x)) > 0).when(k == "object", F.size(entries(x)) > 0), F.lit(False))
+
+    return let(v, lambda x: let(kind(x), lambda k: full(x, k)))
 
 
 def text(v: Column) -> Column:
     """A value as text: '' for null, lists and objects as JSON."""
-    k = kind(v)
-    return F.when(k == "null", "").when(k.isin("list", "object"), F.to_json(v)).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    said = lambda x, k: F.when(k == "null", "").when(k.isin("list", "object"), F.to_json(x)).otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+    return let(v, lambda x: let(kind(x), lambda k: said(x, k)))
 
 
 def first_truthy(*values: Column) -> Column:
     """The first value that is truthy, null if none is."""
-    return F.coalesce(*[F.when(truthy(v), v) for v in values])
+    return F.coalesce(*[let(v, lambda x: F.when(truthy(x), x)) for v in values])

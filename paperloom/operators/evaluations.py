@@ -84,9 +84,9 @@ def made_up(parsed: Column) -> Column:
 
 def invalid_reason(payload: Column) -> Column:
     """Why a saved evaluation does not count, null if it does: its answer is empty or cut off at the first bracket, or made up."""
-    raw = F.regexp_replace(raw_response(payload), r"(?U)^\s+|\s+$", "")
-    cut = F.when(raw.isin("", "{", "["), F.concat(F.lit("truncated_raw_response:'"), raw, F.lit("'")))
-    return F.coalesce(cut, F.when(made_up(parsed_answer(payload)), "known_fake_no_data_formatter_payload"))
+    short = lambda raw: F.when(raw.isin("", "{", "["), F.concat(F.lit("truncated_raw_response:'"), raw, F.lit("'")))
+    cut = J.let(F.regexp_replace(raw_response(payload), r"(?U)^\s+|\s+$", ""), short)
+    return F.coalesce(cut, J.let(parsed_answer(payload), lambda a: F.when(made_up(a), "known_fake_no_data_formatter_payload")))
 
 
 def invalid_report(results: DataFrame, stage: str, dry_run: bool = True) -> DataFrame:
@@ -105,13 +105,11 @@ def repaired(results: DataFrame, stage: str) -> DataFrame:
     held = J.entries(J.field(F.try_parse_json("data"), "comment_results"))
     d = results.withColumn("_held", F.when(F.col("stage") == stage, held)).withColumn("_bad", F.exists(F.map_values("_held"), lambda p: (J.kind(p) == "object") & invalid_reason(p).isNotNull()))
     quiet = d.filter(~F.coalesce("_bad", F.lit(False))).drop("_held", "_bad")
-    said = lambda p: F.concat(F.lit("Legacy invalid STEP 4 evaluation ("), invalid_reason(p), F.lit(")"))
     json_of = lambda c: F.parse_json(F.to_json(c))
 
-    def mended(p: Column) -> Column:
-        own, nested = J.entries(p), J.field(p, "evaluation")
-        error = json_of(F.struct(said(p).alias("x")))
-        error = F.try_variant_get(error, "$.x", "variant")
+    def mended(p: Column, own: Column, nested: Column, reason: Column) -> Column:
+        said = F.concat(F.lit("Legacy invalid STEP 4 evaluation ("), reason, F.lit(")"))
+        error = F.try_variant_get(json_of(F.struct(said.alias("x"))), "$.x", "variant")
         no = F.parse_json(F.lit("false"))
         inside = F.map_concat(F.map_filter(J.entries(nested), lambda k, v: (k != "success") & ((k != "error") | J.truthy(v))), F.map_from_arrays(F.array(F.lit("success")), F.array(no)), F.when(J.truthy(J.field(nested, "error")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))).otherwise(F.map_from_arrays(F.array(F.lit("error")), F.array(error))))
         new = F.map_from_arrays(F.array(F.lit("success"), F.lit("error")), F.array(no, error))
@@ -120,7 +118,9 @@ def repaired(results: DataFrame, stage: str) -> DataFrame:
         body = F.when(J.kind(nested) == "object", F.map_from_arrays(F.array(F.lit("evaluation")), F.array(json_of(inside)))).otherwise(F.map_filter(own, lambda k, v: k == "evaluation"))
         return json_of(F.map_concat(rest, new, old, body))
 
-    fix = F.transform_values("_held", lambda k, p: F.when((J.kind(p) == "object") & invalid_reason(p).isNotNull(), mended(p)).otherwise(p))
+    whole = lambda p, r: J.let(J.entries(p), lambda own: J.let(J.field(p, "evaluation"), lambda nested: mended(p, own, nested, r)))
+    why = lambda p: F.when(J.kind(p) == "object", invalid_reason(p))
+    fix = F.transform_values("_held", lambda k, p: J.let(why(p), lambda r: F.when(r.isNotNull(), whole(p, r)).otherwise(p)))
     m = d.filter("_bad").withColumn("_held", fix)
     items = F.filter(F.map_values("_held"), lambda p: J.kind(p) == "object")
     done = F.size(F.filter(items, lambda p: J.has(p, "success") & F.coalesce(F.try_variant_get(p, "$.success", "boolean"), F.lit(False))))

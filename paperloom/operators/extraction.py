@@ -117,16 +117,16 @@ def _strip(c: Column) -> Column:
 def _candidate(e: Column) -> Column:
     """(description, evidence_code, code_reason) under any of the keys they come with; null without a description in words."""
     pick = lambda *names: J.first_truthy(*[J.field(e, n) for n in names])
-    said = pick("description", "Description")
-    row = F.struct(J.text(said).alias("description"), J.text(pick("evidence_code", "evidenceCode", "evidence")).alias("evidence_code"), J.text(pick("code_reason", "reason", "evidence_reason")).alias("code_reason"))
-    return F.when(_is_object(e) & (J.kind(said) == "string") & (_strip(J.text(said)) != ""), row)
+    row = lambda said: F.struct(J.text(said).alias("description"), J.text(pick("evidence_code", "evidenceCode", "evidence")).alias("evidence_code"), J.text(pick("code_reason", "reason", "evidence_reason")).alias("code_reason"))
+    return F.when(_is_object(e), J.let(pick("description", "Description"), lambda said: F.when((J.kind(said) == "string") & (_strip(J.text(said)) != ""), row(said))))
 
 
 def distinct_candidates(items: Column) -> Column:
     """Candidates without nulls and without repeats by stripped, lower-cased description; the first stays.  Sorted once, so the work
     stays near the length of the list."""
     keyed = F.array_sort(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x, i: F.struct(F.lower(_strip(x["description"])).alias("k"), i.alias("i"), x.alias("x"))))
-    beside = F.arrays_zip(keyed.alias("a"), F.concat(F.array(F.lit(None)).cast("array<struct<k:string,i:int,x:struct<description:string,evidence_code:string,code_reason:string>>>"), keyed).alias("b"))
+    nobody = F.array(F.lit(None)).cast("array<struct<k:string,i:int,x:struct<description:string,evidence_code:string,code_reason:string>>>")
+    beside = J.let(keyed, lambda k: F.arrays_zip(k.alias("a"), F.concat(nobody, k).alias("b")))
     firsts = F.filter(beside, lambda z: z["a"].isNotNull() & ~z["a"]["k"].eqNullSafe(z["b"]["k"]))
     return F.transform(F.array_sort(F.transform(firsts, lambda z: F.struct(z["a"]["i"].alias("i"), z["a"]["x"].alias("x")))), lambda y: y["x"])
 
@@ -144,7 +144,7 @@ def verified_candidates(v: Column) -> Column:
     own = F.concat(F.array(J.field(v, "RPD")), F.coalesce(J.elements(apds), F.array(apds)))
     own = F.filter(F.transform(F.when(_is_object(v), own).otherwise(none), _candidate), lambda x: x.isNotNull())
     echo = F.transform(F.coalesce(F.when(_is_object(v), J.elements(J.field(v, "PDs"))), none), _candidate)
-    return distinct_candidates(F.when(F.size(own) > 0, own).otherwise(echo))
+    return distinct_candidates(J.let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(echo)))
 
 
 def summary_text(verified: Column, summary: Column) -> Column:
@@ -180,9 +180,11 @@ def existing_summary(results: DataFrame, models: Sequence[str], legacy: DataFram
     v = F.try_parse_json("data")
     d = results.filter((F.col("stage") == "getGeneSummary") & F.col("model").isin(list(models))).withColumn("_o", order).withColumn("_v", v)
     good = F.col("success") & _is_object(F.col("_v")) & ~J.has(F.col("_v"), "error")
-    raw = J.field(F.col("_v"), "raw_response")
-    d = d.withColumn("_raw", F.when(~F.col("success") & (J.kind(raw) == "string") & (_strip(J.text(raw)) != ""), J.text(raw)))
-    fixed = d.filter("_raw is not null").select("pmid", "gene_id", "_o", (repair or repair_json)(F.col("_raw")).alias("data"), F.lit("repaired").alias("origin")).filter(J.kind(F.try_parse_json("data")) == "object")
+    raw = F.try_variant_get("_v", "$.raw_response", "string")  # no lambda may stand around or below what Python computes
+    said = (F.schema_of_variant(J.field(F.col("_v"), "raw_response")) == "STRING") & (_strip(raw) != "")
+    d = d.withColumn("_raw", F.when(~F.col("success") & said, raw))
+    fixed = d.filter("_raw is not null").select("pmid", "gene_id", "_o", (repair or repair_json)(F.col("_raw")).alias("data"), F.lit("repaired").alias("origin"))
+    fixed = fixed.filter(F.json_object_keys("data").isNotNull())
     every = d.filter(good).select("pmid", "gene_id", "_o", "data", F.lit("saved").alias("origin")).unionByName(fixed)
     if legacy is not None:
         every = every.unionByName(legacy.filter(J.kind(F.try_parse_json("data")) == "object").select("pmid", "gene_id", F.lit(len(models) + 1).alias("_o"), "data", F.lit("legacy").alias("origin")))

@@ -95,9 +95,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm)
 
 
-def char_grams(df: DataFrame, key: list[str], text: str, low: int = 3, high: int = 5) -> DataFrame:
-    """Character n-grams inside words padded by spaces: key, gram, tf."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Array of the character n-grams inside words padded by spaces, repeats included; empty for null."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of_size(w: Column, n: int) -> Column:
@@ -105,25 +105,40 @@ def char_grams(df: DataFrame, key: list[str], text: str, low: int = 3, high: int
         return F.when(F.length(w) >= n, parts).otherwise(F.array().cast("array<string>"))
 
     grams = lambda w: F.concat(*[of_size(w, n) for n in range(low, high + 1)])
-    return df.select(*key, F.explode(F.flatten(F.transform(padded, grams))).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("tf"))
+    return F.coalesce(F.flatten(F.transform(padded, grams)), F.array().cast("array<string>"))
 
 
-def tfidf(grams: DataFrame, key: list[str], fitted: DataFrame, documents: int) -> DataFrame:
-    """Unit-length weights (1 + ln tf) * idf, idf = ln((1 + n) / (1 + df)) + 1; grams that ``fitted`` (gram, df) lacks are dropped."""
-    idf = F.log((F.lit(1.0) + documents) / (1 + F.col("df"))) + 1
-    w = grams.join(fitted, "gram").withColumn("w", (1 + F.log("tf")) * idf)
-    size = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return w.join(size, key).select(*key, "gram", (F.col("w") / F.col("_n")).alias("w"))
+#: Fixed value: a vocabulary of at most so many grams is broadcast, some 20 MB.
+BROADCAST_GRAMS = 200_000
+
+
+def vocabulary(fit_on: DataFrame, text: str) -> DataFrame:
+    """gram and df, the number of rows whose text has it; equal texts are taken apart once."""
+    once = fit_on.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows"))
+    return once.select("_rows", F.explode(F.array_distinct(char_grams(F.col("_text")))).alias("gram")).groupBy("gram").agg(F.sum("_rows").alias("df"))
 
 
 def tfidf_cosine(pairs: DataFrame, key: list[str], a: str, b: str, fit_on: DataFrame, fit_text: str) -> DataFrame:
-    """key and tfidf_cosine of the texts in columns a and b; the vocabulary is fitted on ``fit_text`` of ``fit_on``'s rows."""
-    rows = fit_on.withColumn("_r", F.monotonically_increasing_id())
-    fitted = char_grams(rows, ["_r"], fit_text).groupBy("gram").agg(F.count("*").alias("df"))
-    n = fit_on.count()
-    left, right = (tfidf(char_grams(pairs, key, c), key, fitted, n) for c in (a, b))
-    dot = left.withColumnRenamed("w", "_x").join(right, [*key, "gram"]).groupBy(*key).agg(F.sum(F.col("_x") * F.col("w")).alias("tfidf_cosine"))
-    return pairs.select(*key).join(dot, key, "left").withColumn("tfidf_cosine", F.coalesce("tfidf_cosine", F.lit(0.0)))
+    """key and tfidf_cosine of the texts in columns a and b; the vocabulary is fitted on ``fit_text`` of ``fit_on``'s rows.
+
+    Weights are (1 + ln tf) * idf, idf = ln((1 + n) / (1 + df)) + 1; grams that the vocabulary lacks are dropped.  Texts are dealt out
+    by key before they are taken apart, so their grams are counted where they arise.  The optimiser takes grams for no more
+    than the texts they come from, so all joins say how they are done."""
+    from paperloom.operators.stages import written
+
+    spark = pairs.sparkSession
+    fitted, n = written(vocabulary(fit_on, fit_text)), fit_on.count()
+    fitted = fitted.hint("broadcast" if fitted.count() <= BROADCAST_GRAMS else "merge")
+    dealt = pairs.select(*key, F.col(a).alias("_a"), F.col(b).alias("_b")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    both = dealt.select(*key, char_grams(F.col("_a")).alias("_a"), char_grams(F.col("_b")).alias("_b"))
+    grams = both.select(*key, F.size("_a").alias("_n"), F.posexplode(F.concat("_a", "_b")).alias("_i", "gram")).groupBy(*key, "gram").agg(F.count_if(F.col("_i") < F.col("_n")).alias("_a"), F.count_if(F.col("_i") >= F.col("_n")).alias("_b"))
+    idf = F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1
+    weight = lambda c: F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(0.0)
+    w = grams.join(fitted, "gram").select(*key, weight("_a").alias("_x"), weight("_b").alias("_y"))
+    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+    by = w.groupBy(*key).agg(dot("_x", "_y").alias("_xy"), dot("_x", "_x").alias("_xx"), dot("_y", "_y").alias("_yy"))
+    cosine = F.when(F.col("_xy") > 0, F.col("_xy") / (F.sqrt("_xx") * F.sqrt("_yy"))).otherwise(0.0)
+    return pairs.select(*key).join(by.hint("merge"), key, "left").select(*key, cosine.alias("tfidf_cosine"))
 
 
 def score_pairs(pairs: DataFrame, key: list[str], target: str, candidates: list[str], symbols: str, fit_on: DataFrame, fit_text: str, embedded: dict[str, str] | None = None, lemma=None) -> DataFrame:

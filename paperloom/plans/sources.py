@@ -203,6 +203,11 @@ def alias_service(spark, sf_dir):
     return remote.fetch_aliases(s, _alias_answer, {"db1": "one", "db2": "two"}).withColumn("aliases", F.array_join("aliases", ","))
 
 
+def _dealt(spark, sf_dir):
+    """Customers over as many tasks as shuffles have: a file of a few MB is one split, and each of its rows becomes an archive or article."""
+    return table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def _archives(spark, sf_dir):
     """A zip for each customer: a table, a text, markup, an old document, a nested archive, an image, and files that cannot be read."""
 
@@ -225,7 +230,7 @@ def _archives(spark, sf_dir):
                 out.append(whole.getvalue())
             yield pd.DataFrame({"pmid": p["c_custkey"].astype(str), "content": out})
 
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInPandas(build, "pmid string, content binary")
+    return _dealt(spark, sf_dir).select("c_custkey", "c_name", "c_mktsegment").mapInPandas(build, "pmid string, content binary")
 
 
 def _entities(spark, sf_dir):

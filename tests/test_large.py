@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 from paperloom.functions import similarity
+from paperloom.operators import supplements
 
 
 def _plan(df) -> str:
@@ -38,3 +39,28 @@ def test_tfidf_broadcasts_the_vocabulary_alone(spark):
         assert "BroadcastExchange" not in _plan(d) and all(abs(r.tfidf_cosine - got[r.id]) < 1e-9 for r in d.collect())
     finally:
         similarity.BROADCAST_GRAMS = most
+
+
+def test_archive_lines_leave_python_together(spark, sf):
+    from paperloom.plans import sources
+
+    assert sources._archives(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = []
+    supplements.pd.read_csv, whole = lambda *a, **k: read.append(a) or whole(*a, **k), supplements.pd.read_csv
+    try:
+        for text, lines in [
+            ("name;n\nx;1\n\nother;NA\n", ["\0columns: name | n", "x | 1", "other | "]),
+            ("a\tb\n1\t2\n", ["\0columns: a | b", "1 | 2"]),
+        ]:
+            assert supplements._delimited(text.encode(), ".csv") == lines and not read
+        for text, lines in [
+            ('a,b\n"1,5",2\n', ["\0columns: a | b", "1,5 | 2"]),  # quotes
+            ("a,a\n1,2\n", ["\0columns: a | a.1", "1 | 2"]),  # equal names
+            ("a,\n1,2\n", ["\0columns: a | Unnamed: 1", "1 | 2"]),
+            ("a,b\n1,2\n3\n4,5,6\n", ["\0columns: a | b", "1 | 2", "3 | "]),  # rows of other lengths
+        ]:
+            supplements._delimited(text.encode(), ".csv")
+            assert read and supplements._delimited(text.encode(), ".csv") == lines
+            read.clear()
+    finally:
+        supplements.pd.read_csv = whole

@@ -368,7 +368,7 @@ def match_captions(files: DataFrame, texts: DataFrame) -> DataFrame:
     exact = first(F.col("file").alias("_f")).toDF("pmid", "_f", "_a")
     loose = first(F.lower(stem(F.col("file"))).alias("_s")).toDF("pmid", "_s", "_b")
     d = files.withColumn("_f", file_name(F.col("file"))).withColumn("_s", F.lower(stem(F.col("file"))))
-    return d.join(exact, ["pmid", "_f"], "left").join(loose, ["pmid", "_s"], "left").withColumn("caption", F.coalesce("_a", "_b", F.lit(""))).drop("_f", "_s", "_a", "_b")
+    return d.join(exact.hint("merge"), ["pmid", "_f"], "left").join(loose.hint("merge"), ["pmid", "_s"], "left").withColumn("caption", F.coalesce("_a", "_b", F.lit(""))).drop("_f", "_s", "_a", "_b")
 
 
 def _patterns(pairs: DataFrame) -> DataFrame:
@@ -397,8 +397,8 @@ def context_blocks(pairs: DataFrame, lines: DataFrame, captions: DataFrame | Non
     lines that mention a term; a text without mention shows its first lines, a table its header alone.  Files follow in
     the archive's order until one would exceed the budget.  Images and files that were not read are counted below."""
     text = Window.partitionBy("pmid", "fileno", "is_header").orderBy("pos")
-    numbered = lines.filter("line is not null and kind <> 'error'").withColumn("_n", F.row_number().over(text))
-    hit = _patterns(pairs.select("pmid", "gene_id", "terms")).drop("terms").join(numbered, "pmid")
+    numbered = lines.filter("line is not null and kind <> 'error'").repartition("pmid").withColumn("_n", F.row_number().over(text))
+    hit = _patterns(pairs.select("pmid", "gene_id", "terms")).drop("terms").join(numbered.hint("merge"), "pmid")
     hit = hit.withColumn("_m", ~F.col("is_header") & F.coalesce(F.regexp_like("line", F.col("_p")), F.lit(False)))
     order = Window.partitionBy("pmid", "gene_id", "fileno", "_m").orderBy("pos")
     hit = hit.withColumn("_rn", F.row_number().over(order))
@@ -424,7 +424,7 @@ def context_blocks(pairs: DataFrame, lines: DataFrame, captions: DataFrame | Non
     head = F.concat(F.lit("=== SUPPLEMENTARY MATERIALS (gene "), "gene_id", F.when(names != "", F.concat(F.lit(" / "), names)).otherwise(""), F.lit("; PMCID "), F.coalesce("pmcid", F.lit("")), F.lit(") ==="))
     tail = F.when(F.col("_cut"), "\n[supplementary truncated: character budget reached]").otherwise("")
     blocks = F.concat("_blocks", F.when(extras != "", F.array(extras)).otherwise(F.array().cast("array<string>")))
-    d = pairs.select("pmid", "gene_id", "pmcid", "aliases").join(block, ["pmid", "gene_id"], "left").join(rest, "pmid", "left")
+    d = pairs.select("pmid", "gene_id", "pmcid", "aliases").join(block.hint("merge"), ["pmid", "gene_id"], "left").join(rest.hint("merge"), "pmid", "left")
     text = F.concat(head, F.lit("\n"), F.array_join(blocks, "\n\n"), tail, F.lit("\n=== END SUPPLEMENTARY MATERIALS ===\n"))
     return d.select("pmid", "gene_id", F.when(F.col("_blocks").isNotNull(), text).otherwise("").alias("block"))
 

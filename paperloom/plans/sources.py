@@ -256,7 +256,7 @@ def archive_mentions(spark, sf_dir):
 || CASE WHEN c_custkey % 2 = 1 THEN '[a.txt]' || n || '(gene not found in this file; first lines:)' || n || 'no mention' || n || 'here' || n || n ELSE '' END || '[1 figure/image file(s) present — image extraction deferred]' || n || '[1 non-text file(s) not parsed: broken.zip]' || n || '=== END SUPPLEMENTARY MATERIALS ===' || n AS block FROM (SELECT *, c_mktsegment AS s, chr(10) AS n FROM customer)""")
 def archive_blocks(spark, sf_dir):
     xml = '<a xmlns:x="l"><supplementary-material><media x:href="T.xls"/><label>S1</label></supplementary-material></a>'
-    articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pmid"), F.lit(xml).alias("xml"))
+    articles = _dealt(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("pmid"), F.lit(xml).alias("xml"))
     lines = stages.written(supplements.archive_lines(_archives(spark, sf_dir)))
     return supplements.context_blocks(_entities(spark, sf_dir), lines, supplements.captions(articles)).select("pmid", "block")
 

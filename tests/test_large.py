@@ -64,3 +64,17 @@ def test_archive_lines_leave_python_together(spark, sf):
             read.clear()
     finally:
         supplements.pd.read_csv = whole
+
+
+def test_context_blocks_broadcast_no_lines(spark, tmp_path):
+    lines = spark.createDataFrame([("1", 0, "a.txt", "text", 0, False, "gene abc1"), ("1", 1, "p.png", "image", 0, False, None)], supplements.LINE_SCHEMA)
+    pairs = spark.createDataFrame([("1", "abc1", None, ["x"], ["abc1"])], "pmid string, gene_id string, pmcid string, aliases array<string>, terms array<string>")
+    texts = spark.createDataFrame([("1", 0, "A.pdf", "S1")], "pmid string, pos int, file string, caption string")
+    for name, d in (("lines", lines), ("pairs", pairs), ("texts", texts)):  # files, as the optimiser knows their small size
+        d.write.parquet(f"{tmp_path}/{name}")
+    lines, pairs, texts = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("lines", "pairs", "texts"))
+    for c in (texts, None):
+        d = supplements.context_blocks(pairs, lines, c)
+        assert "BroadcastExchange" not in _plan(d)
+        (r,) = d.collect()
+        assert "[a.txt]" + " — S1" * (c is not None) + "\ngene abc1\n" in r.block and "[1 figure/image file(s)" in r.block

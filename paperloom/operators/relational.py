@@ -34,12 +34,20 @@ def keep_first(df: DataFrame, keys: Cols, order: Sequence[str | Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def last_wins(df: DataFrame, keys: Cols, value: str, position: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(value, position).alias(value))
+def last_wins(df: DataFrame, keys: Cols, value: str, position: str, ties: Cols = ()) -> DataFrame:
+    """The value at the largest position; with ``ties``, that of the first row in their order of those at one (numeric) position, null
+    values and positions aside."""
+    last = F.min_by(value, _place(value, -F.col(position), ties)) if ties else F.max_by(value, position)
+    return df.groupBy(*keys).agg(last.alias(value))
 
 
-def first_wins(df: DataFrame, keys: Cols, value: str, position: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min_by(value, position).alias(value))
+def first_wins(df: DataFrame, keys: Cols, value: str, position: str, ties: Cols = ()) -> DataFrame:
+    """The value at the smallest position; ``ties`` as in ``last_wins``."""
+    return df.groupBy(*keys).agg(F.min_by(value, _place(value, F.col(position), ties) if ties else position).alias(value))
+
+
+def _place(value: str, position: Column, ties: Cols) -> Column:
+    return F.when(F.col(value).isNotNull() & position.isNotNull(), F.struct(position.alias("_p"), *ties))
 
 
 def left_join_unique(left: DataFrame, right: DataFrame, keys: Cols, order: Sequence[str | Column]) -> DataFrame:

@@ -233,8 +233,9 @@ def default_outcome(spark, sf_dir):
 
 @query("""SELECT l_partkey AS k, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS last_value, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS first_value FROM lineitem GROUP BY 1""")
 def last_and_first_wins(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("last_value"), F.col("l_returnflag").alias("first_value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))  # noqa: E741
-    return relational.last_wins(l, ["k"], "last_value", "pos").join(relational.first_wins(l, ["k"], "first_value", "pos"), "k")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("last_value"), F.col("l_returnflag").alias("first_value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))  # noqa: E741
+    order = ["file", "row"]  # a line may stand twice: as in SQL the first in the table counts
+    return relational.last_wins(l, ["k"], "last_value", "pos", order).join(relational.first_wins(l, ["k"], "first_value", "pos", order), "k")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((coalesce(a, 0) + coalesce(b, 0) + l_tax) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + 1), 6) AS mean FROM

@@ -3,8 +3,11 @@
 import math
 from collections import Counter
 
+import duckdb
+
 from paperloom.functions import similarity
 from paperloom.operators import supplements
+from paperloom.plans import catalog
 
 
 def _plan(df) -> str:
@@ -78,3 +81,13 @@ def test_context_blocks_broadcast_no_lines(spark, tmp_path):
         assert "BroadcastExchange" not in _plan(d)
         (r,) = d.collect()
         assert "[a.txt]" + " — S1" * (c is not None) + "\ngene abc1\n" in r.block and "[1 figure/image file(s)" in r.block
+
+
+def test_first_of_tied_rows_wins(spark, tmp_path):
+    rows = [(1, 5, 1, "A"), (1, 5, 1, "B"), (1, 5, 1, "A"), (2, 1, 1, "R"), (2, 1, 1, "N"), (2, 9, 7, "N"), (2, 9, 7, "A"), (3, 1, 1, None), (3, 2, 1, "X"), (3, None, 1, "Y"), (3, 3, 1, None), (4, 1, 1, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["last_and_first_wins"](spark, str(tmp_path)).select("k", "last_value", "first_value").collect()))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(duck.execute(f"SELECT k, last_value, first_value FROM ({catalog.ORACLE_SQL['last_and_first_wins']})").fetchall())
+    assert got == [(1, "A", "A"), (2, "N", "R"), (3, "X", "X"), (4, None, None)]

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.text import any_term_pattern
 from paperloom.functions.values import extension, file_name, stem, truncated
+from paperloom.operators.relational import null_safe_join
 from paperloom.sources import workbook
 
 #: ``fileno`` is a file's place in its archive; kinds without lines: image, other (not read: unknown, broken or beyond the caps), error.
@@ -380,14 +381,16 @@ def mention_counts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     read), found, mentions, files (file, n, in the archive's order).
 
     The lines of a file are searched as one text, as a name may go on in the next line.  Terms are alternatives of one
-    pattern, so overlapping names do not count twice."""
-    texts = lines.filter("line is not null and kind <> 'error'").groupBy("pmid", "fileno", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_t"))
-    hit = _patterns(pairs).filter("_p is not null").join(texts, "pmid").withColumn("n", F.regexp_count("_t", F.col("_p")).cast("long")).filter("n > 0")
-    found = hit.groupBy("pmid", "gene_id").agg(F.sum("n").alias("mentions"), F.transform(F.array_sort(F.collect_list(F.struct("fileno", "file", "n"))), lambda x: F.struct(x["file"].alias("file"), x["n"].alias("n"))).alias("files"))
-    read = lines.filter("kind <> 'error'").select("pmid", F.lit(True).alias("available")).distinct()
-    d = pairs.select("pmid", "gene_id").join(found, ["pmid", "gene_id"], "left").join(read, "pmid", "left")
+    pattern, so overlapping names do not count twice.  Lines are read once, as an archive may stand behind them, and dealt out by
+    paper; the optimiser knows nothing of their size, so joins say how they are done."""
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))), lambda x: x["line"])
+    texts = lines.filter("kind <> 'error'").repartition("pmid").groupBy("pmid", "fileno", "file").agg(F.array_join(held, "\n").alias("_t"))
+    hit = _patterns(pairs).join(texts.hint("merge"), "pmid").withColumn("n", F.when(F.col("gene_id").isNotNull(), F.coalesce(F.regexp_count("_t", F.col("_p")), F.lit(0))).cast("long"))
+    some = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("fileno", "file", "n"))))
+    found = hit.groupBy("pmid", "gene_id").agg(F.sum("n").alias("mentions"), F.transform(some, lambda x: F.struct(x["file"].alias("file"), x["n"].alias("n"))).alias("files"), F.lit(True).alias("available"))
+    d = null_safe_join(pairs.select("pmid", "gene_id"), found.hint("merge"), ["pmid", "gene_id"])
     none = F.array().cast("array<struct<file:string,n:bigint>>")
-    return d.select("pmid", "gene_id", F.coalesce("available", F.lit(False)).alias("available"), F.col("mentions").isNotNull().alias("found"), F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"), F.coalesce("files", none).alias("files"))
+    return d.select("pmid", "gene_id", F.coalesce("available", F.lit(False)).alias("available"), (F.coalesce("mentions", F.lit(0)) > 0).alias("found"), F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"), F.coalesce("files", none).alias("files"))
 
 
 def context_blocks(pairs: DataFrame, lines: DataFrame, captions: DataFrame | None = None, caps: Caps = Caps()) -> DataFrame:

@@ -83,6 +83,16 @@ def test_context_blocks_broadcast_no_lines(spark, tmp_path):
         assert "[a.txt]" + " — S1" * (c is not None) + "\ngene abc1\n" in r.block and "[1 figure/image file(s)" in r.block
 
 
+def test_mention_counts_read_lines_once(spark):
+    lines = spark.createDataFrame([("1", 0, "a.txt", "text", 0, False, "gene abc"), ("1", 0, "a.txt", "text", 1, False, "1 and ABC 1"), ("1", 1, "p.png", "image", 0, False, None), ("2", 0, "q.png", "image", 0, False, None), ("3", 0, "", "error", 0, False, "bad abc-1"), (None, 0, "a.txt", "text", 0, False, "abc1")], supplements.LINE_SCHEMA)
+    pairs = spark.createDataFrame([(p, g, ["abc 1"]) for p in ("1", "2", "3", "4", None) for g in ("abc1", None)] + [("1", "no", ["ab"])], "pmid string, gene_id string, terms array<string>")
+    d = supplements.mention_counts(pairs, lines.mapInArrow(lambda batches: batches, lines.schema))
+    assert _plan(d).count("MapInArrow") == 1 and "BroadcastExchange" not in _plan(d)
+    got = {(r.pmid, r.gene_id): (r.available, r.found, r.mentions, [tuple(f) for f in r.files]) for r in d.collect()}
+    nothing = lambda available: (available, False, 0, [])
+    assert got == {("1", "abc1"): (True, True, 2, [("a.txt", 2)]), ("1", "no"): nothing(True), ("1", None): nothing(True), ("2", "abc1"): nothing(True), ("2", None): nothing(True)} | {(p, g): nothing(False) for p in ("3", "4", None) for g in ("abc1", None)}
+
+
 def test_first_of_tied_rows_wins(spark, tmp_path):
     rows = [(1, 5, 1, "A"), (1, 5, 1, "B"), (1, 5, 1, "A"), (2, 1, 1, "R"), (2, 1, 1, "N"), (2, 9, 7, "N"), (2, 9, 7, "A"), (3, 1, 1, None), (3, 2, 1, "X"), (3, None, 1, "Y"), (3, 3, 1, None), (4, 1, 1, None)]
     spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")

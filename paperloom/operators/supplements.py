@@ -436,8 +436,8 @@ def by_file_type(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Mentions and pairs hit for each extension: ext, mentions, pairs_hit, share in percent."""
     hits = mention_counts(pairs, lines).select("pmid", "gene_id", F.explode("files").alias("f")).select(extension(F.col("f.file")).alias("ext"), "pmid", "gene_id", F.col("f.n").alias("n"))
     by = hits.groupBy("ext").agg(F.sum("n").alias("mentions"), F.countDistinct("pmid", "gene_id").alias("pairs_hit"))
-    total = by.agg(F.greatest(F.sum("mentions"), F.lit(1)).alias("_t")).withColumn("_k", F.lit(1))
-    return by.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select("ext", "mentions", "pairs_hit", F.bround(F.lit(100.0) * F.col("mentions") / F.col("_t"), 1).alias("share"))
+    total = F.sum("mentions").over(Window.partitionBy(F.lit(1)))  # a row per extension: all that precedes is done once
+    return by.withColumn("_t", F.greatest(total, F.lit(1))).select("ext", "mentions", "pairs_hit", F.bround(F.lit(100.0) * F.col("mentions") / F.col("_t"), 1).alias("share"))
 
 
 def attribution(in_legend: str, ocr_files: str, files: str):

@@ -93,6 +93,14 @@ def test_mention_counts_read_lines_once(spark):
     assert got == {("1", "abc1"): (True, True, 2, [("a.txt", 2)]), ("1", "no"): nothing(True), ("1", None): nothing(True), ("2", "abc1"): nothing(True), ("2", None): nothing(True)} | {(p, g): nothing(False) for p in ("3", "4", None) for g in ("abc1", None)}
 
 
+def test_file_types_read_lines_once(spark):
+    lines = spark.createDataFrame([("1", 0, "a.txt", "text", 0, False, "abc1 abc1 abc1"), ("1", 1, "b.csv", "table", 0, False, "abc1")], supplements.LINE_SCHEMA)
+    pairs = spark.createDataFrame([("1", "abc1", ["abc1"]), ("2", "abc1", ["abc1"])], "pmid string, gene_id string, terms array<string>")
+    d = supplements.by_file_type(pairs, lines.mapInArrow(lambda batches: batches, lines.schema))
+    assert _plan(d).count("MapInArrow") == 1
+    assert sorted(map(tuple, d.collect())) == [(".csv", 1, 1, 25.0), (".txt", 3, 1, 75.0)]
+
+
 def test_first_of_tied_rows_wins(spark, tmp_path):
     rows = [(1, 5, 1, "A"), (1, 5, 1, "B"), (1, 5, 1, "A"), (2, 1, 1, "R"), (2, 1, 1, "N"), (2, 9, 7, "N"), (2, 9, 7, "A"), (3, 1, 1, None), (3, 2, 1, "X"), (3, None, 1, "Y"), (3, 3, 1, None), (4, 1, 1, None)]
     spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
